@@ -25,6 +25,10 @@ def host_and_path(url):
     return ascii_lower(F.regexp_extract(url, parts, 1)), F.regexp_extract(url, parts, 2)
 
 
+def bloom_blocks(keys: int) -> int:
+    return max(1, min(MAX_BLOCKS, -(-keys * BITS_PER_KEY // 256)))
+
+
 def _spot(key, blocks: int):
     """(block, bit positions) of a key: two independent hashes, eight bits of 256 within one block."""
     second = F.xxhash64(key, F.lit(0x5EED))
@@ -72,7 +76,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     listed = listed.withColumn("key", F.concat("host", F.lit("\n"), "path")).groupBy("key").agg(
         F.min("host").alias("r_host"), F.min("path").alias("r_path"), F.min("verdict").alias("r_verdict"))
     n, lengths = listed.agg(F.count("*"), F.array_sort(F.collect_set(F.length("r_path")))).first()
-    blocks = max(1, min(MAX_BLOCKS, -(-n * BITS_PER_KEY // 256)))
+    blocks = bloom_blocks(n)
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if n:
