@@ -30,21 +30,16 @@ def bloom_blocks(keys: int) -> int:
 
 
 def _spot(key, blocks: int):
-    """(block, bit positions) of a key: two independent hashes, eight bits of 256 within one block."""
+    """(block, bit positions) of a key: two independent hashes, two bits in each of the four words of one block."""
     second = F.xxhash64(key, F.lit(0x5EED))
     return F.pmod(F.xxhash64(key), F.lit(blocks)), [F.shiftrightunsigned(second, 8 * i).bitwiseAND(F.lit(255)) for i in range(PROBES)]
 
 
 def _words(bits):
-    """Four 64-bit words with the given bit positions set."""
-    out = []
-    for w in range(4):
-        word = F.lit(0).cast("long")
-        for b in bits:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
-            word = word.bitwiseOR(F.when(F.shiftright(b, 6) == w, bit).otherwise(F.lit(0).cast("long")))
-        out.append(word)
-    return out
+    """Four 64-bit words: word w has the bits at positions 2w and 2w + 1 of the list (modulo 64)."""
+    one = F.lit(1).cast("long")
+    at = [F.call_function("shiftleft", one, b.bitwiseAND(F.lit(63)).cast("int")) for b in bits]
+    return [at[2 * w].bitwiseOR(at[2 * w + 1]) for w in range(4)]
 
 
 def blocked_bloom(keys: DataFrame, key_col: str, blocks: int) -> DataFrame:
@@ -54,14 +49,17 @@ def blocked_bloom(keys: DataFrame, key_col: str, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)))
 
 
-def possible_hits(probes: DataFrame, key_col: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """Rows of probes whose key may be listed; none that is listed is lost."""
+def possible_hits(probes: DataFrame, key_col: str, bloom: DataFrame, blocks: int, keep: bool = False) -> DataFrame:
+    """Rows of probes whose key may be listed; none that is listed is lost. keep: all rows, and a boolean `maybe`."""
     block, bits = _spot(F.col(key_col), blocks)
     mine = probes.withColumn("_block", block).withColumns({f"_m{i}": w for i, w in enumerate(_words(bits))})
-    hit = mine.join(F.broadcast(bloom), mine["_block"] == bloom["block"])
+    hit = mine.join(F.broadcast(bloom), mine["_block"] == bloom["block"], "left" if keep else "inner")
+    inside = F.lit(True)
     for i in range(4):
-        hit = hit.where(F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
-    return hit.select(*probes.columns)
+        inside = inside & (F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
+    if keep:
+        return hit.select(*probes.columns, F.coalesce(inside, F.lit(False)).alias("maybe"))
+    return hit.where(inside).select(*probes.columns)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

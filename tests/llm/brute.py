@@ -58,3 +58,27 @@ def near_duplicates(rows, k=2, percent=80):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
+
+
+def item_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", ascii_lower(text or ""))
+
+
+def benchmark_hits(rows, items, k=10):
+    owners = defaultdict(set)
+    for i, t in items:
+        w = item_words(t)
+        for at in range(max(1, len(w) - k + 1)):
+            if w:
+                owners[tuple(w[at : at + k])].add(str(i))
+    sizes = {len(x) for x in owners}
+    out = {}
+    for d, t in rows:
+        w, hit, found = item_words(t), set(), set()
+        for size in sizes:
+            for at in range(len(w) - size + 1):
+                if (run := tuple(w[at : at + size])) in owners:
+                    hit.update(range(at, at + size))
+                    found |= owners[run]
+        out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
