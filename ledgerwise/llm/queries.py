@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, sharding, substring_dedup, url_filter
+from . import decontamination, language_id, near_dedup, packing, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(_table(spark, sf_dir, "documents"), k=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
@@ -29,6 +35,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -37,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_url_filters": op1_url_filters, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
