@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, sharding, substring_dedup, url_filter
+from . import ann, decontamination, language_id, near_dedup, packing, sharding, substring_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0))
+    return chunks.where("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("chunk_no") + 1).alias("chunks"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), top=10)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_warc": op2_warc, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, written
 
 #: Bits a listed key gets, and the most blocks (of 32 bytes) a broadcast filter has: 32 MB.
 BITS_PER_KEY, MAX_BLOCKS, PROBES = 24, 1 << 20, 8
@@ -62,6 +62,16 @@ def possible_hits(probes: DataFrame, key_col: str, bloom: DataFrame, blocks: int
     return hit.where(inside).select(*probes.columns)
 
 
+def without(rows: DataFrame, listed: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id isn't in listed(id); only possible hits of the list's Bloom filter are shuffled. Null ids stay."""
+    keys = written(listed.where("id IS NOT NULL").select("id").distinct(), "listed")
+    blocks = bloom_blocks(keys.count())
+    told = possible_hits(rows, id_col, blocked_bloom(keys, "id", blocks), blocks, keep=True)
+    maybe = told.where("maybe").drop("maybe")
+    maybe = maybe.join(keys, maybe[id_col] == keys["id"], "left_anti")
+    return told.where("NOT maybe").drop("maybe").unionByName(maybe)
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """pages x rules(host, path, verdict) -> (page_id, host, path, rule, verdict), one row per row of pages.
 
