@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_id, near_dedup, packing, sharding, substring_dedup, url_filter, warc
+from . import ann, decontamination, language_id, license_scan, near_dedup, packing, sharding, substring_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths: source / thousands / hundreds / name, where each hundredth document is a LICENSE."""
+    number = F.col("doc_id")
+    name = F.when(number % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), name)
+    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return hits.select(
@@ -58,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_warc": op2_warc, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_warc": op2_warc, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_license_scan": op6_license_scan, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
