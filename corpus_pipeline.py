@@ -3,14 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from ledgerwise.llm import decontamination, language_id, near_dedup, packing, substring_dedup
+from ledgerwise.llm.shared import written
+from ledgerwise.llm.url_filter import without
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without a letter go. Short or ambiguous ones stay."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    found = language_id.identify(docs, keep=others)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id: five words, similarity 0.8 or more."""
+    groups = written(near_dedup.near_duplicates(docs, k=5, percent=80), "groups")
+    return without(docs, groups.where("NOT kept").select(F.col("doc_id").alias("id")), "doc_id")
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; documents of nothing else go."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = substring_dedup.cut_repeats(docs, k=13, keep=others).where("n_removed = 0 OR n_removed < n_words")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no ten words in a row with a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontamination.benchmark_hits(docs, items, window=10).where("n_hit > 0")
+    return without(docs, hits.select(F.col("doc_id").alias("id")), "doc_id")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+
+
+STAGES: list = [
+    ("language ID", identified),
+    ("MinHash near-dedup", one_of_each),
+    ("substring dedup", unrepeated),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerwise.llm.shared import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '_')}")
