@@ -1,9 +1,11 @@
 """Substring dedup: a count-min prefilter finds windows that may repeat, a second pass groups exactly those.
 
-Pass 1 hashes every run of k words of every text and sends, for each task, the cells of two hash rows
-that the task has hit once and more than once. Merging adds the counts, saturated at two, so a cell never
-underestimates: a window that occurs twice always passes. Pass 2 hashes the windows again, sends those
-whose cells are all at two or more, and groups them by 128 bits of hash. False positives form groups of
+Pass 1 takes the fingerprint of every run of k words of every text, which is the least hash of the grams of
+five words within it, and counts it once for each run of neighbouring windows that have it in common (about
+a fifth of all windows). Each task sends the cells of two hash rows that it has hit once and more than once.
+Merging adds the counts, saturated at two, so a cell never underestimates: windows of two documents that are
+equal have equal fingerprints, counted twice, and always pass. Pass 2 hashes the windows again, sends those
+whose cells are all at two or more, and groups them by 95 bits of hash. False positives form groups of
 one and vanish. Within an Arrow batch each window is sent once, with its smallest document; larger
 documents of the batch are settled there. So a window that a third of all documents share is a row for
 each batch, not for each document.
@@ -22,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
 from .textarrays import NOT_SPACE, Words, mix, text_slices
+from .url_filter import bloom_blocks, blocked_bloom, possible_hits
 
 ROWS, MIN_BITS, MAX_BITS, BLOCK_BITS = 2, 16, 29, 22
-#: Windows a task gathers before it sends their cells.
+#: Words of the grams whose least hash is a window's fingerprint, and cells for each byte of text.
+GRAM, CELLS_A_BYTE = 5, 0.12
+#: Fingerprints a task gathers before it sends their cells.
 FLUSH = 1 << 22
 NO_ID = np.iinfo(np.int64).max
 _SALTS = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
@@ -51,6 +57,18 @@ def _ungaps(packed: bytes) -> np.ndarray:
     return at[ends]
 
 
+def _fingerprints(words: Words, plain: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """For each window (by its first word) the least hash of its grams."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    least, done, span = words.runs(plain, min(GRAM, k)), 1, k - min(GRAM, k) + 1
+    while done < span:
+        step = min(done, span - done)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        done += step
+    return least[at]
+
+
 def _sketch_task(k: int, bits: int):
     block_bits = min(BLOCK_BITS, bits)
 
@@ -74,7 +92,12 @@ def _sketch_task(k: int, bits: int):
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 words = Words(data, offsets, NOT_SPACE)
-                held.append(words.windows(words.hashes(), k)[1])
+                plain = words.hashes()
+                at = words.windows(plain, k)[0]
+                prints = _fingerprints(words, plain, at, k)
+                new = np.ones(len(at), bool)  # of each row and each run of windows with one fingerprint
+                new[1:] = (prints[1:] != prints[:-1]) | (at[1:] != at[:-1] + 1)
+                held.append(prints[new])
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush(held)
@@ -125,18 +148,18 @@ def _candidate_task(k: int, bits: int, sketch):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = [[], [], []]
             for lo, _, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets, NOT_SPACE)
                 plain = words.hashes()
                 at, first = words.windows(plain, k)
-                passed = np.ones(len(at), bool)
+                passed, prints = np.ones(len(at), bool), _fingerprints(words, plain, at, k)
                 for row in range(ROWS):
-                    cell = _cells(first, row, bits)
+                    cell = _cells(prints, row, bits)
                     passed &= (table[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1
                 if passed.any():
-                    second = words.windows(plain, k, 1)[1]
+                    second = (words.windows(plain, k, 1)[1] >> np.uint64(33)).astype(np.int32)
                     for have, x in zip(found, (first[passed], second[passed], ids[lo + words.row_of(at[passed])]), strict=True):
                         have.append(x)
             if not found[0]:
@@ -151,7 +174,7 @@ def _candidate_task(k: int, bits: int, sketch):
             again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
             first, second, owner, least = first[~again], second[~again], owner[~again], least[~again]
             settled = np.where(owner > least, owner, -1)
-            yield pa.record_batch([_signed(first), _signed(second), owner, settled], ["h1", "h2", "owner", "settled"])
+            yield pa.record_batch([_signed(first), second, owner, settled], ["h1", "h2", "owner", "settled"])
 
     return task
 
@@ -159,7 +182,7 @@ def _candidate_task(k: int, bits: int, sketch):
 def _cut_task(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, ids = batch.column(2), batch.column(0)
+            ids, marks, copies = batch.column(0), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets, NOT_SPACE)
                 own = marks.slice(lo, hi - lo)
@@ -173,6 +196,7 @@ def _cut_task(k: int):
                     hit = at[np.isin(tell(hashes, row), listed)]
                     steps = np.bincount(hit, minlength=len(gone) + k + 1) - np.bincount(hit + k, minlength=len(gone) + k + 1)
                     gone = np.cumsum(steps)[: len(gone)] > 0
+                gone |= np.repeat(copies[lo:hi] & (words.count >= k), words.count)
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 removed = removed[words.first[1:]] - removed[words.first[:-1]]
                 start, end = words.start[~gone], words.end[~gone]
@@ -194,35 +218,54 @@ def _cut_task(k: int):
                 left = data[stay]
                 place = np.concatenate([[0], np.cumsum(stay)])[offsets]
                 trimmed = [left[a:z].tobytes() for a, z in zip(place, place[1:], strict=False)]
+                more = batch.columns[4:]
                 yield pa.record_batch(
-                    [ids.slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(cut, pa.binary()).cast(pa.string()), pa.array(trimmed, pa.binary()).cast(pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_words", "text"])
+                    [ids.slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(cut, pa.binary()).cast(pa.string()), pa.array(trimmed, pa.binary()).cast(pa.string()), *(x.slice(lo, hi - lo) for x in more)],
+                    ["doc_id", "n_words", "n_removed", "kept_words", "text", *(f"keep{i}" for i in range(len(more)))])
 
     return task
 
 
-def repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(owner, h1): the windows of each document that also start in a document with a smaller id."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def repeated_windows(texts: DataFrame, k: int) -> DataFrame:
+    """texts(id, text) -> (owner, h1): the windows of each document that also start in one with a smaller id."""
+    spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, size) * 0.6))))
+    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1.0, size * CELLS_A_BYTE)))))
     sketch = spark.sparkContext.broadcast(count_min(texts, "text", k, bits))
-    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 long, owner long, settled long")
+    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 int, owner long, settled long")
     least = F.min("owner").over(Window.partitionBy("h1", "h2", "settled"))
     return rows.withColumn("least", least).where("settled >= 0 OR owner > least").select("owner", "h1")
 
 
-def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents -> (doc_id, n_words, n_removed, kept_words, text), a row for each row.
+def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """documents -> (doc_id, n_words, n_removed, kept_words, text, *keep), a row for each row.
 
     A word goes if a window of k words that covers it also starts in a document with a smaller id;
     windows are judged on the input. kept_words has the kept words joined by one space; text is the
     input without the removed words and the white space after them. A null or empty text has no words.
     Rows with the same id don't remove from each other. A null id counts as larger than any other and
-    removes nothing. Other columns, whatever their names, are ignored.
+    removes nothing. Columns named in keep are handed on; others, whatever their names, are ignored.
     """
-    marks = repeated_windows(docs, k, id_col, text_col).groupBy("owner").agg(F.collect_list("h1").alias("marks"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(marks, F.coalesce("id", F.lit(int(NO_ID))) == F.col("owner"), "left").select("id", "text", "marks")
-    return joined.mapInArrow(_cut_task(k), "doc_id long, n_words long, n_removed long, kept_words string, text string")
+    more = [f"keep{i}" for i in range(len(keep))]
+    kinds = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(more, keep, strict=True))
+    texts = docs.select(*(F.col(c).alias(name) for name, c in zip(more, keep, strict=True)), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("key"))
+    keys = written(texts.select("id", "key"), "keys")
+    firsts = written(keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "firsts")
+    copies = written(keys.join(firsts, "key").where("id > first").select("id", "key").distinct(), "copies")
+    blocks = bloom_blocks(copies.count())
+    told = possible_hits(texts, "id", blocked_bloom(copies, "id", blocks), blocks, keep=True)
+    rest = told.where("maybe").select("id", "text", "key").join(copies, ["id", "key"], "left_anti")
+    first = told.where("NOT maybe").select("id", "text").unionByName(rest.select("id", "text"))
+
+    marks = repeated_windows(first, k).withColumn("copy", F.lit(None).cast("binary"))
+    marks = marks.unionByName(copies.select(F.col("id").alias("owner"), F.lit(None).cast("long").alias("h1"), F.col("key").alias("copy")))
+    marks = written(marks.groupBy("owner").agg(F.collect_list("h1").alias("marks"), F.collect_set("copy").alias("copies")), "marks")
+    blocks = bloom_blocks(marks.count())
+    told = possible_hits(texts, "id", blocked_bloom(marks, "owner", blocks), blocks, keep=True)
+    none = F.lit(None).cast("array<bigint>")
+    sure = told.where("NOT maybe").select("id", "text", none.alias("marks"), F.lit(False).alias("copy"), *more)
+    cut = told.where("maybe").join(marks, F.col("id") == F.col("owner"), "left")
+    cut = cut.select("id", "text", "marks", F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)).alias("copy"), *more)
+    schema = f"doc_id long, n_words long, n_removed long, kept_words string, text string{kinds}"
+    out = sure.mapInArrow(_cut_task(k), schema).unionByName(cut.mapInArrow(_cut_task(k), schema))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID)))).withColumnsRenamed(dict(zip(more, keep, strict=True)))

@@ -97,15 +97,18 @@ class Words:
 
     def windows(self, hashes: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words within one row."""
-        n = len(hashes)
-        if n < k:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         row_end = np.repeat(self.first[1:], self.count)
-        at = np.flatnonzero(np.arange(n) + k <= row_end)
+        at = np.flatnonzero(np.arange(len(hashes)) + k <= row_end)
+        return at, self.runs(hashes, k, which)[at]
+
+    def runs(self, hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+        """The hash of the k words from each word on, whatever rows they are in."""
+        n = len(hashes)
         power, inverse = _powers(which, n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * power[:n], out=total[1:])
-        return at, mix((total[at + k] - total[at]) * inverse[at])
+        at = np.arange(max(0, n - k + 1))
+        return mix((total[at + k] - total[at]) * inverse[at])
 
     def row_of(self, at: np.ndarray) -> np.ndarray:
         """The row (within the slice) of each word index."""
