@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import peer_queries, serving_queries  # noqa: F401  they register themselves
+from .plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1 +1 @@
-"""Part of the billing-anomaly library; see the README for the map."""
+"""Column functions of the billing library."""
