@@ -64,10 +64,10 @@ def level5_ratio(spark, d):
     return features.level5_ratio(fixtures.lines(spark, d), FAMILY, LEVEL5)
 
 
-@query(f"""WITH {PROV} SELECT specialty, state, count(*) AS peers, round(quantile_cont(total_payment, 0.5), 2) AS p50, round(quantile_cont(total_payment, 0.9), 2) AS p90, round(quantile_cont(total_payment, 0.99), 2) AS p99
+@query(f"""WITH {PROV} SELECT specialty, state, count(*) AS peers, round(quantile_cont(total_payment, 0.5), 6) AS p50, round(quantile_cont(total_payment, 0.9), 6) AS p90, round(quantile_cont(total_payment, 0.99), 6) AS p99
 FROM prov GROUP BY 1, 2 HAVING count(*) >= 5""")
 def provider_benchmarks(spark, d):
-    return detectors.provider_benchmarks(fixtures.providers(spark, d)).select("specialty", "state", "peers", *(F.round(c, 2).alias(c) for c in ("p50", "p90", "p99")))
+    return detectors.provider_benchmarks(fixtures.providers(spark, d)).select("specialty", "state", "peers", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")))
 
 
 CODE = f"""{LINES}, {PEOPLE}, per AS (SELECT specialty, state, code, npi, CAST(sum(payment) AS DOUBLE) AS payment, sum(services) / count(DISTINCT bene) AS spb, avg(CAST(charge AS DOUBLE)) AS charge FROM lines JOIN people USING (npi) GROUP BY 1, 2, 3, 4),
@@ -78,10 +78,10 @@ def _lines(spark, d):
     return fixtures.lines(spark, d).join(fixtures.people(spark, d).select("npi", "specialty", "state"), "npi")
 
 
-@query(f"WITH {CODE} SELECT specialty, state, code, peers, round(p50, 2) AS p50, round(p90, 2) AS p90, round(p99, 2) AS p99, round(median_spb, 4) AS median_spb, round(median_charge, 5) AS median_charge FROM bench")
+@query(f"WITH {CODE} SELECT specialty, state, code, peers, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99, round(median_spb, 4) AS median_spb, round(median_charge, 5) AS median_charge FROM bench")
 def code_benchmarks(spark, d):
     b = detectors.code_benchmarks(_lines(spark, d))
-    return b.select("specialty", "state", "code", "peers", F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"), F.round("p99", 2).alias("p99"), F.round("median_spb", 4).alias("median_spb"), F.round("median_charge", 5).alias("median_charge"))
+    return b.select("specialty", "state", "code", "peers", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), F.round("p99", 6).alias("p99"), F.round("median_spb", 4).alias("median_spb"), F.round("median_charge", 5).alias("median_charge"))
 
 
 @query(f"""WITH {PROV}, b AS (SELECT specialty, state, count(*) AS peers, quantile_cont(total_payment, 0.5) AS p50, quantile_cont(total_payment, 0.9) AS p90 FROM prov GROUP BY 1, 2 HAVING count(*) >= 10),
