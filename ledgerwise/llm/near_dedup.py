@@ -4,11 +4,15 @@ SuperMinHash gives each element a random permutation of the signature's slots an
 [0, 1), in that order; a slot keeps the least. All elements of a document take step j together, and a
 document stops once every slot holds less than j + 1, since later steps can't lower it.
 
-Documents with equal sets are one class. Classes that share a band are candidates, but never all pairs
-of a bucket: a round compares every member with the bucket's pivots, verifies on full sets and unites.
-Members of the pivot's component need no further comparison. Buckets whose members are in several
-components go on with more pivots, each of which has then met every other member, until none is left.
-So no candidate goes unverified, and a bucket of n near copies costs about n comparisons.
+Documents with equal sets are one class. Classes that share a band are candidates, but never all pairs of
+a bucket. Every member is compared on full sets with the bucket's pivot, the member that has most company
+in all its buckets: among near copies, the one nearest to the original. What the two sets don't share is
+the member's edits. Members linked to the pivot are in one component. A member x that isn't (a straggler)
+may yet be linked to another one y, and sizes and edits tell exactly: with e edits and n shingles,
+|x xor y| = e(x) + e(y) - 2 * shared edits, and a link at 0.8 needs it to be (n(x) + n(y)) / 9 at most. As
+e(x) > (n(x) + n(pivot)) / 9, x and y must share edits, about half of them or more, so a prefix join on
+each one's rarest edits finds all such pairs. No candidate pair goes untold, and a bucket of n near copies
+costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -29,10 +33,6 @@ BANDS, BAND_SLOTS = 32, 5
 SLOTS = BANDS * BAND_SLOTS
 #: Elements whose permutations are in memory at once (a byte for each slot), if no document has more.
 CHUNK = 1 << 16
-#: Of 160 slots, a pair at 0.8 agrees in fewer than 96 with a chance below 1e-9; such pairs aren't read again.
-LEAST_AGREEING = 96
-
-
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of k-word shingles; with fewer words, of the whole row."""
     plain = words.hashes()
@@ -40,10 +40,10 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     cuts = np.searchsorted(at, words.first)
     out = [np.unique(hashes[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
     for row in np.flatnonzero((words.count < k) & (words.count > 0)):
-        whole = np.uint64(words.count[row])
-        for h in plain[words.first[row] : words.first[row + 1]]:
-            whole = mix(np.array([whole * np.uint64(31) + h]))[0]
-        out[row] = np.array([whole], np.uint64)
+        whole = words.count[row : row + 1].astype(np.uint64)
+        for at in range(words.first[row], words.first[row + 1]):
+            whole = mix(whole * np.uint64(31) + plain[at : at + 1])
+        out[row] = whole
     return out
 
 
@@ -95,78 +95,95 @@ def _signature_task(k: int):
                     bands = mix(bands + grouped[:, :, i])
                 key1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 key2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                sketch = mix(ranks).astype(np.uint8)
                 n = hi - lo
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), key1.view(np.int64), key2.view(np.int64), bands, pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    ["doc_id", "n_shingles", "key1", "key2", "bands", "sketch"])
-
-    return task
-
-
-def _agree_task(least: int):
-    """Pairs whose signatures agree in enough slots."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), SLOTS) for c in (2, 3))
-                good = (one == two).sum(axis=1) >= least
-                yield pa.record_batch([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+                yield pa.record_batch([batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), key1.view(np.int64), key2.view(np.int64), bands], ["doc_id", "n_shingles", "key1", "key2", "bands"])
 
     return task
 
 
-def _verify_task(k: int, percent: int):
-    """Pairs of texts whose full sets have 100 * intersection >= percent * union."""
+def _compare_task(k: int):
+    """(a, b, texts) -> sizes of both sets and the shingles that only one of them has."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             sides = []
             for c in (2, 3):
                 sets = []
                 for _, _, data, offsets in text_slices(batch.column(c)):
                     sets += shingle_sets(Words(LOWER[data], offsets, NOT_SPACE), k)
                 sides.append(sets)
-            good = []
-            for one, two in zip(*sides, strict=True):
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            edits = [np.setxor1d(one, two, assume_unique=True).view(np.int64) for one, two in zip(*sides, strict=True)]
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in edits])])
+            sizes = [pa.array([len(x) for x in side], pa.int64()) for side in sides]
+            yield pa.record_batch([batch.column(0), batch.column(1), *sizes, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(edits)))], ["a", "b", "na", "nb", "edits"])
 
     return task
 
 
+def _is_link(total: str, differ: str, percent: int) -> Column:
+    """From |x| + |y| and |x xor y|: 100 * intersection >= percent * union, in whole numbers."""
+    return F.expr(f"100 * (({total}) - ({differ})) >= {percent} * (({total}) + ({differ}))")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (id, comp): each node's smallest reachable id, by least neighbour and pointer jumps."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     state = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id"), "comps")
     for _ in range(rounds):
-        seen = state.select(F.col("id").alias("v"), F.col("comp").alias("vcomp"))
-        near = both.join(seen, "v").groupBy("u").agg(F.min("vcomp").alias("near"))
-        moved = state.join(near, state.id == near.u).select("id", "comp", F.least("comp", "near").alias("low"))
         jump = state.select(F.col("id").alias("low"), F.col("comp").alias("lower"))
-        after = written(moved.join(jump, "low").select("id", F.least("low", "lower").alias("comp"), (F.least("low", "lower") < F.col("comp")).alias("changed")), "comps")
+        moved = written(state.withColumn("low", F.col("comp")).join(jump, "low").select("id", "comp", F.least("low", "lower").alias("low")), "jumped")
+        seen = moved.select(F.col("id").alias("v"), F.col("low").alias("vcomp"))
+        near = both.join(seen, "v").groupBy("u").agg(F.min("vcomp").alias("near"))
+        after = moved.join(near, moved.id == near.u).select("id", F.least("low", "near").alias("comp"), (F.least("low", "near") < F.col("low")).alias("changed"))
+        after = written(after, "comps")
         state = after.select("id", "comp")
         if not after.where("changed").limit(1).count():
             return state
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def verified_links(reps: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that are links: length bound, signature agreement, then full sets of the texts."""
-    one = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    two = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-    likely = written(sized.mapInArrow(_agree_task(LEAST_AGREEING if percent >= 80 else 1), "a long, b long"), "likely")
-    needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+def compared(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """pairs(a, b) -> (a, b, na, nb, edits) from the full sets; only texts in pairs are shuffled."""
+    needed = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
     blocks = bloom_blocks(needed.count())
     few = possible_hits(texts, "id", blocked_bloom(needed, "id", blocks), blocks)
     few = written(few.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    full = likely.join(few.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return written(full.select("a", "b", "ta", "tb").mapInArrow(_verify_task(k, percent), "a long, b long"), "links")
+    full = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return written(full.select("a", "b", "ta", "tb").mapInArrow(_compare_task(k), "a long, b long, na long, nb long, edits array<long>"), "compared")
+
+
+def straggler_links(told: DataFrame, percent: int) -> DataFrame:
+    """Links(a, b) between members of a pivot's group (told: a is the pivot) of which one or both aren't linked to it."""
+    told = told.withColumn("linked", _is_link("na + nb", "size(edits)", percent))
+    mixed = written(told.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("s")).where("n > 1 AND s > 0").select("a"), "mixed")
+    members = told.join(mixed, "a").select("a", "b", "na", "nb", F.size("edits").alias("e"), "edits", "linked")
+    members = written(members, "groups")
+    single = members.select("a", "b", F.explode("edits").alias("edit"))
+    often = written(single.groupBy("a", "edit").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    # an edit that nobody else has can't be shared, and rare ones come first
+    ranked = single.join(often, ["a", "edit"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
+    ranked = ranked.join(members.drop("edits"), ["a", "b"])
+    # the fewest edits that a link's two sides share, seen from either side; d: the most that may differ, as a part of |x| + |y|
+    d = (100 - percent) / (100 + percent)
+    as_any = F.expr(f"greatest(1, ceil((e - {d} * (nb - na)) / 2 - 1e-6))")
+    as_straggler = F.expr(f"greatest(1, ceil((e - {d} * (nb + na)) / (1 + {d}) - 1e-6))")
+    prefix = lambda least: F.transform(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.col("e") - least + 1 - (F.col("e") - F.size("ranked"))).cast("int")), lambda x: x["edit"])
+    either = written(ranked.select("a", "b", "e", "nb", "linked", F.size("ranked").alias("r"), prefix(as_any).alias("any"), prefix(as_straggler).alias("own")), "prefixes")
+    spread = lambda which: either.select("a", "b", "e", "nb", "linked", F.col("r"), F.posexplode(which).alias("pos", "edit"))
+    side = lambda which, who: spread(which).select("a", F.col("b").alias(who), F.col("e").alias(f"e{who}"), F.col("nb").alias(f"n{who}"), (F.col("r") - F.col("pos")).alias(f"r{who}"), "linked", "edit")
+    x, y = side("own", "x").where("NOT linked").drop("linked"), side("any", "y").drop("linked")
+    # at the first edit that two sides share, what is left of either side bounds what they can share
+    fit = F.expr(f"x <> y AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND least(rx, ry) >= (ex + ey - {d} * (nx + ny)) / 2 - 1e-6")
+    pairs = x.withColumnsRenamed({"a": "ax", "edit": "editx"}).join(y, (F.col("ax") == F.col("a")) & (F.col("editx") == F.col("edit")) & fit)
+    pairs = pairs.select("a", "x", "y").distinct()
+    one, two = (members.select("a", F.col("b").alias(c), F.col("nb").alias(f"n{c}"), F.col("edits").alias(f"e{c}")) for c in "xy")
+    pairs = written(pairs, "candidates").join(one, ["a", "x"]).join(two, ["a", "y"])
+    pairs = pairs.withColumn("differ", F.size("ex") + F.size("ey") - 2 * F.size(F.array_intersect("ex", "ey")))
+    return pairs.where(_is_link("nx + ny", "differ", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,40 +196,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links, a null component_id, and is kept. Other columns are ignored. Bands are set for percent >= 80.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_signature_task(k), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary"), "signatures")
+    signed = written(texts.mapInArrow(_signature_task(k), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     same = full.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "rep")
     same = written(same, "members")
-    least = same.select("rep").distinct()
-    reps = full.join(least, full.doc_id == least.rep, "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
-
-    rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
-    # a table, not an aggregate, on the small side: Spark splits the partitions of hot bands only then
-    shared = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
-    rows = written(rows.join(shared, "band"), "buckets").withColumn("comp", F.col("id"))
+    least = classes.select("rep").distinct()
+    reps = full.join(least, full.doc_id == least.rep, "left_semi").dropDuplicates(["doc_id", "key1", "key2"])
+    # two different sets have at most n / (n + 1) in common, n the smaller one's size
+    reps = written(reps.where(f"100 * n_shingles >= {percent} * (n_shingles + 1)").select("doc_id", "n_shingles", "bands"), "representatives")
+
+    rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    # tables, not aggregates, on the small side: Spark splits the partitions of hot keys only then
+    shared = written(rows.groupBy("band").agg(F.count("*").alias("company")).where("company > 1"), "shared")
+    rows = written(rows.join(shared, "band"), "buckets")
+    company = written(rows.groupBy("id").agg(F.sum("company").alias("weight")), "company")
+    rows = written(rows.drop("company").join(company, "id"), "buckets")
+    pivots = rows.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+    pivots = written(pivots, "pivots")
+    pairs = written(rows.join(pivots, "band").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    told = compared(texts, pairs, k)
     # links between different ids that have copies of one another are known already
     links = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    parts, comps, tested = 1, None, None
-    while True:
-        # rows: members that have not been pivots, of buckets with several components
-        spot = F.pmod(F.xxhash64("id"), F.lit(parts))
-        pivots = rows.groupBy("band", spot.alias("spot")).agg(F.min(F.struct("id", "comp")).alias("p"))
-        pivots = written(pivots.select(F.col("band"), F.col("p.id").alias("pivot"), F.col("p.comp").alias("pcomp")), "pivots")
-        pairs = rows.join(pivots, "band").where("comp <> pcomp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verified_links(reps, texts, pairs, k, percent)
-        links = written(links.unionByName(found), "all-links")
-        comps = components(links)
-        rest = rows.join(pivots.select("band", F.col("pivot").alias("id")), ["band", "id"], "left_anti")
-        rest = rest.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = written(rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), "open-bands")
-        rows = written(rest.join(open_, "band").select("band", "id", "comp"), "open")
-        if not rows.limit(1).count():
-            break
-        parts *= 4
+    links = links.unionByName(told.where(_is_link("na + nb", "size(edits)", percent)).select("a", "b"))
+    comps = components(written(links.unionByName(straggler_links(told, percent)), "links"))
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("id", "node"), F.col("doc_id") == F.col("node"), "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
