@@ -52,11 +52,12 @@ def blocked_bloom(keys: DataFrame, key_col: str, blocks: int) -> DataFrame:
 def possible_hits(probes: DataFrame, key_col: str, bloom: DataFrame, blocks: int, keep: bool = False) -> DataFrame:
     """Rows of probes whose key may be listed; none that is listed is lost. keep: all rows, and a boolean `maybe`."""
     block, bits = _spot(F.col(key_col), blocks)
-    mine = probes.withColumn("_block", block).withColumns({f"_m{i}": w for i, w in enumerate(_words(bits))})
-    hit = mine.join(F.broadcast(bloom), mine["_block"] == bloom["block"], "left" if keep else "inner")
+    mine = probes.withColumn("_bloom_at", block).withColumns({f"_bloom_m{i}": w for i, w in enumerate(_words(bits))})
+    own = bloom.select(F.col("block").alias("_bloom_block"), *(F.col(f"w{i}").alias(f"_bloom_w{i}") for i in range(4)))
+    hit = mine.join(F.broadcast(own), F.col("_bloom_at") == F.col("_bloom_block"), "left" if keep else "inner")
     inside = F.lit(True)
     for i in range(4):
-        inside = inside & (F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
+        inside = inside & (F.col(f"_bloom_w{i}").bitwiseAND(F.col(f"_bloom_m{i}")) == F.col(f"_bloom_m{i}"))
     if keep:
         return hit.select(*probes.columns, F.coalesce(inside, F.lit(False)).alias("maybe"))
     return hit.where(inside).select(*probes.columns)
