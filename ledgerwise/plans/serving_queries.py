@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import address_key, keyword_severity
-from ..operators import graph, models, serving, textmine
+from ..operators import briefs, graph, models, serving, textmine
 from ..sources import writers
 from ..streaming import feeds
 from .registry import ALERTS, EDGES, FLAGS, PEOPLE, SCORED, TIER, fixtures, flags, query, scored
@@ -272,6 +272,27 @@ def registry_coverage(spark, d):
     return serving.coverage(fixtures.people(spark, d), o, "npi").select("rows", "matched")
 
 
+@query(f"""WITH {SCORED}, t AS (SELECT npi, CASE WHEN excluded THEN 1 ELSE 0 END AS x, CASE WHEN risk_score >= 75 OR excluded THEN 1 ELSE 0 END AS c, 1 AS z FROM scored)
+SELECT npi, CAST(x + c + z AS BIGINT) AS steps FROM t""")
+def action_plan(spark, d):
+    p = scored(spark, d)
+    p = p.withColumns({"priority": serving.priority(F.col("risk_score"), F.col("excluded"), F.lit(False)), "excess": F.lit(0.0), "cluster_size": F.lit(0), "suspicious_edges": F.lit(0)})
+    return briefs.action_plan(p).groupBy("npi").agg(F.count("*").alias("steps"))
+
+
+@query(f"""WITH {EDGES}, b AS (SELECT source AS npi, target AS other, shared FROM edges UNION ALL SELECT target, source, shared FROM edges)
+SELECT npi, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY npi ORDER BY shared DESC, other) AS n FROM b) WHERE n <= 5""")
+def top_neighbours(spark, d):
+    return briefs.top_neighbours(fixtures.edges(spark, d), 5)
+
+
+@query("""WITH l AS (SELECT o_custkey AS npi, p_brand AS code, sum(l_quantity) AS services, count(DISTINCT l_orderkey) AS benes, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS payment FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT npi, code, CASE WHEN code IN ('Brand#4', 'Brand#5') THEN 'highest visit level' WHEN services / benes > 100 THEN 'many services per beneficiary' ELSE 'usual' END AS note FROM (SELECT *, row_number() OVER (PARTITION BY npi ORDER BY payment DESC, code) AS n FROM l) WHERE n <= 3""")
+def annotated_lines(spark, d):
+    per = fixtures.lines(spark, d).groupBy("npi", "code").agg(F.sum("services").alias("services"), F.count_distinct("bene").alias("beneficiaries"), F.sum("charge").alias("payment"))
+    return briefs.annotated_lines(per, ["Brand#4", "Brand#5"], 3).select("npi", "code", "note")
+
+
 MODEL = ["total_payment", "total_services", "total_beneficiaries", "procedure_types"]
 
 
