@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import LOWER, text_slices
+from .textarrays import LOWER, lean, text_slices
 
 CELLS, BLOCK = 1 << 16, 1 << 12
 SMOOTHING, STEEPNESS = 0.5, 3.0
@@ -124,8 +124,8 @@ class Model:
 def train(labelled: DataFrame) -> Model:
     """labelled(text, lang): counts over all rows with a language; nothing is sampled."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    parts = rows.mapInArrow(_count_task, "lang string, block int, counts binary")
-    merged = parts.repartition("lang", "block").mapInArrow(_sum_task, "lang string, block int, counts binary")
+    parts = rows.mapInArrow(lean(_count_task), "lang string, block int, counts binary")
+    merged = parts.repartition("lang", "block").mapInArrow(lean(_sum_task), "lang string, block int, counts binary")
     counts: dict[str, np.ndarray] = {}
     for got in merged.toLocalIterator():  # CELLS counts for each language
         counts.setdefault(got["lang"], np.zeros(CELLS))[got["block"] * BLOCK : (got["block"] + 1) * BLOCK] = np.frombuffer(got["counts"], np.int64)
@@ -149,7 +149,7 @@ def _predict_task(model):
                     [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(names, pa.string()), pa.array(np.where(known, chance, 0.0)), pa.array(unsure & known), *(x.slice(lo, n) for x in batch.columns[4:])],
                     ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *(f"keep{i}" for i in range(batch.num_columns - 4))])
 
-    return task
+    return lean(task)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textarrays import LOWER, NOT_SPACE, Words, mix, text_slices
+from .textarrays import LOWER, NOT_SPACE, Words, lean, mix, text_slices
 from .url_filter import bloom_blocks, blocked_bloom, possible_hits
 
 #: 32 bands of 5 slots: a pair at 0.8 shares no band with a chance of 3e-6, at 0.9 of 1e-12.
 BANDS, BAND_SLOTS = 32, 5
 SLOTS = BANDS * BAND_SLOTS
 #: Elements whose permutations are in memory at once (a byte for each slot), if no document has more.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
+#: Pairs whose sets are in memory at once.
+COMPARE_ROWS = 512
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of k-word shingles; with fewer words, of the whole row."""
     plain = words.hashes()
@@ -99,28 +101,27 @@ def _signature_task(k: int):
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.record_batch([batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), key1.view(np.int64), key2.view(np.int64), bands], ["doc_id", "n_shingles", "key1", "key2", "bands"])
 
-    return task
+    return lean(task)
 
 
 def _compare_task(k: int):
     """(a, b, texts) -> sizes of both sets and the shingles that only one of them has."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            sides = []
-            for c in (2, 3):
-                sets = []
-                for _, _, data, offsets in text_slices(batch.column(c)):
-                    sets += shingle_sets(Words(LOWER[data], offsets, NOT_SPACE), k)
-                sides.append(sets)
-            edits = [np.setxor1d(one, two, assume_unique=True).view(np.int64) for one, two in zip(*sides, strict=True)]
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in edits])])
-            sizes = [pa.array([len(x) for x in side], pa.int64()) for side in sides]
-            yield pa.record_batch([batch.column(0), batch.column(1), *sizes, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(edits)))], ["a", "b", "na", "nb", "edits"])
-
-    return task
+        for whole in batches:
+            for at in range(0, len(whole), COMPARE_ROWS):
+                batch, sides = whole.slice(at, COMPARE_ROWS), []
+                for c in (2, 3):
+                    sets = []
+                    for _, _, data, offsets in text_slices(batch.column(c)):
+                        sets += shingle_sets(Words(LOWER[data], offsets, NOT_SPACE), k)
+                    sides.append(sets)
+                edits = [np.setxor1d(one, two, assume_unique=True).view(np.int64) for one, two in zip(*sides, strict=True)]
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in edits])])
+                sizes = [pa.array([len(x) for x in side], pa.int64()) for side in sides]
+                yield pa.record_batch([batch.column(0), batch.column(1), *sizes, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(edits)))], ["a", "b", "na", "nb", "edits"])
+
+    return lean(task)
 
 
 def _is_link(total: str, differ: str, percent: int) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textarrays import LOWER, NOT_SPACE, Words, mix, text_slices
+from .textarrays import LOWER, NOT_SPACE, Words, lean, mix, text_slices
 
 DIMS, CELL_BITS = 4, 12
 #: Split of a text before the merges, as in the tokenizer file's byte-level step. Fixed value.
@@ -109,7 +109,7 @@ def _token_task(path: str, end_id: int, length: int):
                     [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(curve_keys(data, offsets)), pa.array(sizes, pa.int64()), pa.array(wholes, pa.list_(pa.int64())), pa.array(rests, pa.binary())],
                     ["uid", "doc_id", "curve", "doc_tokens", "wholes", "rest"])
 
-    return task
+    return lean(task)
 
 
 def _piece_task(length: int, streams: int, wide: bool):
@@ -134,7 +134,7 @@ def _piece_task(length: int, streams: int, wide: bool):
                 [batch.column(0).take(taken), long(starts), long(sizes), long(crcs), batch.column(1).take(taken), long(sequences), long(offsets)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return task
+    return lean(task)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

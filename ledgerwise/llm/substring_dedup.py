@@ -6,9 +6,9 @@ a fifth of all windows). Each task sends the cells of two hash rows that it has
 Merging adds the counts, saturated at two, so a cell never underestimates: windows of two documents that are
 equal have equal fingerprints, counted twice, and always pass. Pass 2 hashes the windows again, sends those
 whose cells are all at two or more, and groups them by 95 bits of hash. False positives form groups of
-one and vanish. Within an Arrow batch each window is sent once, with its smallest document; larger
-documents of the batch are settled there. So a window that a third of all documents share is a row for
-each batch, not for each document.
+one and vanish. Of every SETTLE windows that a task lets pass, each different one is sent once, with its
+smallest document; larger documents among them are settled there. So a window that a third of all
+documents share is a row for each such lot, not for each document.
 
 The sketch has a fixed bound: ROWS rows of at most 2**MAX_BITS one-bit cells after merging (128 MB). A
 corpus too large for it passes more windows to the exact step; none is lost.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textarrays import NOT_SPACE, Words, mix, text_slices
+from .textarrays import NOT_SPACE, Words, lean, mix, text_slices
 from .url_filter import bloom_blocks, blocked_bloom, possible_hits
 
 ROWS, MIN_BITS, MAX_BITS, BLOCK_BITS = 2, 16, 29, 22
@@ -33,6 +33,8 @@ ROWS, MIN_BITS, MAX_BITS, BLOCK_BITS = 2, 16, 29, 22
 GRAM, CELLS_A_BYTE = 5, 0.12
 #: Fingerprints a task gathers before it sends their cells.
 FLUSH = 1 << 22
+#: Windows that pass a task's filter before it settles what it can and sends the rest.
+SETTLE = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 _SALTS = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
 
@@ -105,7 +107,7 @@ def _sketch_task(k: int, bits: int):
         if size:
             yield flush(held)
 
-    return task
+    return lean(task)
 
 
 def _merge_task(bits: int):
@@ -125,7 +127,7 @@ def _merge_task(bits: int):
         for (row, block), (_, twice) in held.items():
             yield pa.record_batch([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["row", "block", "bits"])
 
-    return task
+    return lean(task)
 
 
 def count_min(texts: DataFrame, text_col: str, k: int, bits: int) -> np.ndarray:
@@ -144,12 +146,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _settle(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """A row for each window and document, for each window only its smallest document and those it settles."""
+    first, second, owner = (np.concatenate(x) for x in found)
+    order = np.lexsort((owner, second, first))
+    first, second, owner = first[order], second[order], owner[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = np.zeros(len(first), bool)  # the same window of the same document
+    again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
+    first, second, owner, least = first[~again], second[~again], owner[~again], least[~again]
+    return pa.record_batch([_signed(first), second, owner, np.where(owner > least, owner, -1)], ["h1", "h2", "owner", "settled"])
+
+
 def _candidate_task(k: int, bits: int, sketch):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sketch.value
+        table, found, size = sketch.value, ([], [], []), 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [[], [], []]
             for lo, _, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets, NOT_SPACE)
                 plain = words.hashes()
@@ -162,21 +177,14 @@ def _candidate_task(k: int, bits: int, sketch):
                     second = (words.windows(plain, k, 1)[1] >> np.uint64(33)).astype(np.int32)
                     for have, x in zip(found, (first[passed], second[passed], ids[lo + words.row_of(at[passed])]), strict=True):
                         have.append(x)
-            if not found[0]:
-                continue
-            first, second, owner = (np.concatenate(x) for x in found)
-            order = np.lexsort((owner, second, first))
-            first, second, owner = first[order], second[order], owner[order]
-            new = np.ones(len(first), bool)
-            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-            least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-            again = np.zeros(len(first), bool)  # the same window of the same document
-            again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
-            first, second, owner, least = first[~again], second[~again], owner[~again], least[~again]
-            settled = np.where(owner > least, owner, -1)
-            yield pa.record_batch([_signed(first), second, owner, settled], ["h1", "h2", "owner", "settled"])
-
-    return task
+                    size += int(passed.sum())
+                if size >= SETTLE:
+                    yield _settle(found)
+                    found, size = ([], [], []), 0
+        if size:
+            yield _settle(found)
+
+    return lean(task)
 
 
 def _cut_task(k: int):
@@ -223,7 +231,7 @@ def _cut_task(k: int):
                     [ids.slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(cut, pa.binary()).cast(pa.string()), pa.array(trimmed, pa.binary()).cast(pa.string()), *(x.slice(lo, hi - lo) for x in more)],
                     ["doc_id", "n_words", "n_removed", "kept_words", "text", *(f"keep{i}" for i in range(len(more)))])
 
-    return task
+    return lean(task)
 
 
 def repeated_windows(texts: DataFrame, k: int) -> DataFrame:

@@ -6,13 +6,14 @@ byte ranges of the UTF-8 text, so a word class is a table of 256 booleans.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one step holds; a longer text is a step of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes and rows of text that one step holds; a longer text is a step of its own.
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 12
 #: Odd multipliers and table seeds of two independent polynomial hashes modulo 2**64.
 BASES, SEEDS = (0x9E3779B97F4A7C17, 0xD1342543DE82EF97), (0x51ED270B, 0x2545F491)
 
@@ -24,6 +25,19 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _tables: dict = {}
 
 
+def lean(task: Callable) -> Callable:
+    """The task, after which its worker gives freed memory back: idle workers count as an executor's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (two rounds of shift and multiply)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,7 +78,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-        to = min(to, n)
+        to = min(to, at + SLICE_ROWS, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
