@@ -41,7 +41,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1, added=True)
 
 
 STAGES: list = [

@@ -12,6 +12,7 @@ are kept (two bytes each where the vocabulary allows), until their places are kn
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -33,17 +34,51 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encoder(path: str):
     """A byte-level BPE of a tokenizers file as a tiktoken encoding: the same ids, several times faster.
 
-    Ids are the merges' ranks in such files. Strings of special tokens in a text are ordinary text.
+    Ids are the merges' ranks in such files. encode_ordinary takes strings of added tokens as text.
     """
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        found = json.load(file)
+    found = _file(path)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {x["content"] for x in found.get("added_tokens", [])}
+    special = added_tokens(path)
     ranks = {bytes(shown[c] for c in token): rank for token, rank in found["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@cache
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+@cache
+def added_tokens(path: str) -> dict[str, int]:
+    """The file's added tokens and their ids."""
+    return {x["content"]: x["id"] for x in _file(path).get("added_tokens", [])}
+
+
+def ids_of(path: str, added: bool):
+    """text -> ids. added: as the tokenizer is when loaded, an added token's string in a text is that token.
+
+    Texts are split at added tokens, the longest first, and what lies between is split and merged alone.
+    """
+    code, known = encoder(path), added_tokens(path)
+    if not added or not known:
+        return code.encode_ordinary
+    if any(x.get(flag) for x in _file(path)["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on their neighbours aren't known here")
+    cut = re.compile("|".join(map(re.escape, sorted(known, key=lambda x: (-len(x), x)))))
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for found in cut.finditer(text):
+            ids += code.encode_ordinary(text[at : found.start()])
+            ids.append(known[found[0]])
+            at = found.end()
+        return ids + code.encode_ordinary(text[at:]) if at else code.encode_ordinary(text)
+
+    return encode
 
 
 def hilbert_key(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
@@ -91,15 +126,15 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _token_task(path: str, end_id: int, length: int):
+def _token_task(path: str, end_id: int, length: int, added: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code, encode = encoder(path), ids_of(path, added)
         kind = np.uint16 if max(code.n_vocab, end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 sizes, wholes, rests = [], [], []
                 for a, z in zip(offsets, offsets[1:], strict=False):
-                    ids = np.array([*code.encode_ordinary(data[a:z].tobytes().decode("utf-8", "replace")), end_id], kind)
+                    ids = np.array([*encode(data[a:z].tobytes().decode("utf-8", "replace")), end_id], kind)
                     full = len(ids) // length
                     sizes.append(len(ids))
                     wholes.append([_crc(x) for x in ids[: full * length].reshape(full, length)])
@@ -137,10 +172,12 @@ def _piece_task(length: int, streams: int, wide: bool):
     return lean(task)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """documents -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     A document is its text's ids by the tokenizer file, which every executor has at this path, and end_id.
+    added: strings of the file's added tokens are those tokens, as in the tokenizer as loaded, which the
+    contract's queries ask for; without it they are ordinary text (encode_special_tokens=True).
     A null text is an empty one: one id. Every id lies in exactly one piece, at `offset` of its sequence;
     sequence_id goes from 0 without gaps. Repeated rows and null or repeated ids are documents of their
     own. An empty table gives no pieces. Other columns are ignored.
@@ -148,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     # the row numbers are written with the rows, so they hold whatever is read again
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tokens = written(rows.mapInArrow(_token_task(tokenizer, end_id, length), f"uid long, doc_id {kind}, curve long, doc_tokens long, wholes array<long>, rest binary"), "tokens")
+    tokens = written(rows.mapInArrow(_token_task(tokenizer, end_id, length, added), f"uid long, doc_id {kind}, curve long, doc_tokens long, wholes array<long>, rest binary"), "tokens")
     small = tokens.select("uid", "curve", (F.col("doc_tokens") % length).alias("r"), F.size("wholes").cast("long").alias("m"))
     line = written(small.repartitionByRange("curve", "uid").withColumn("part", F.spark_partition_id()), "line")
     parts = line.groupBy("part").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))  # a row for each partition

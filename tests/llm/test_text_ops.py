@@ -165,6 +165,26 @@ def test_packing(spark):
             assert (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all()
 
 
+def test_added_tokens_as_the_tokenizer_is_loaded(spark, tmp_path):
+    """op4's ids against the library's own, whose added token is one id wherever a text holds it."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from ledgerwise.llm import queries
+
+    loaded = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f"  {end}  \n x {end}\n\n", f"é {end[:-1]} {end} it's", "plain text  here \n", None, "", f"<|{end}|>", f"{'word ' * 3000}{end} {'more ' * 3000}"]
+    want = {d: np.array([*loaded.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in enumerate(texts)}
+    assert want[0].tolist() == [64, 50256, 65, 1]
+    table(spark, enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_packing(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in got) == sum(map(len, want.values()))
+    for r in got:
+        assert r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 def test_hilbert_keys_are_a_walk():
     """Along the curve, neighbours differ by one cell in one dimension, and every cell is met once."""
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
