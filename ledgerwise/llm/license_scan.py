@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by path.
 
-Native DataFrame code only. A file's segments are its lines and, if its name is that of a licence file,
-also its whole text. Terms that occur in templates have the document frequency they have over all files;
-all other terms weigh as one that no file has. A segment can only reach the least cosine with a template
+Native DataFrame code only. A file's segments are its lines, its comments (runs of neighbouring comment
+lines, delimited comments) and, if its name is that of a licence file, also its whole text. With corpus_idf
+every term has the document frequency it has over all files; without, only the templates' terms do and
+all others weigh as one that no file has. A segment can only reach the least cosine with a template
 if it has one of the template's heaviest terms (those without which the rest is too light), so only files
 and lines with such a term are taken apart; none that can match is left out.
 A file without a licence of its own gets that of the licence file in its nearest directory above.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,17 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
 ]
+#: (licence, header). The headers that the licences' own appendices give. For comments and whole files.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+]
+#: A line of a comment, and comments between delimiters.
+COMMENT_LINE = r"[ \t]*+(?://|/\*|\*|#|--|;|%|<!--)"
+COMMENT = r'(?s)/\*.*?\*/|<!--.*?-->|""".*?"""'
+#: A term is common if one of so many files has it; a corpus has at most so many times a file's terms of these.
+COMMON = 1000
 #: Templates are held by every task, as many as this at most.
 MOST_TEMPLATES = 10_000
 LICENSE_FILE = r"(?i)^(license|licence|copying)([.-][a-z0-9.]+)?$"
@@ -51,6 +64,11 @@ def terms_of(text: str) -> list[str]:
     return [x for x in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the headers and of the files in `licenses`, for comments and whole files."""
+    return HEADERS + [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt"))]
+
+
 def template_weights(templates: Iterable[tuple[str, str]], idf: dict[str, float], least: float) -> tuple[list[tuple[str, int, str, float]], set[str]]:
     """((licence, template number, term, weight in a unit vector) ..., the terms that a match must have one of)."""
     rows, needed = [], set()
@@ -67,7 +85,7 @@ def template_weights(templates: Iterable[tuple[str, str]], idf: dict[str, float]
     return rows, needed
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", texts: list[tuple[str, str]] | None = None, corpus_idf: bool = False, comments: bool = False) -> DataFrame:
     """files(id, path, text) -> (doc_id, path, license, score, how, from_path), a row for each row.
 
     how: `own` (a line of the file, or a licence file itself), `inherited` (from_path is the licence file)
@@ -75,38 +93,63 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     name. Of several licence files in one directory the best score counts, then the smaller path. A null
     or empty text has no licence of its own; a null path inherits nothing. Rows with the same path and
     text get the same result; other columns are ignored. Lines and texts of any length are read whole.
+    texts: long templates, compared with whole licence files and comments, not with single lines.
+    corpus_idf: document frequencies of all terms, not of the templates' alone. comments: a file's comments
+    are segments, each run of comment lines, each part of one between empty lines, and each delimited comment.
     """
     spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
+    texts = texts or []
+    if len(templates) + len(texts) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
-    known = sorted({t for _, text in templates for t in terms_of(text)})
-    hold = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, known)).cast("array<string>"))
+    known = sorted({t for _, text in [*templates, *texts] for t in terms_of(text)})
     total, counts = files.count(), dict.fromkeys(known, 0)
-    for term, n in rows.select(F.explode(hold).alias("term")).groupBy("term").count().collect():  # at most a row for each template term
-        counts[term] = n
+    if corpus_idf:
+        held = written(rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "counts")
+        ours = held.where(F.col("term").isin(known)).collect()  # at most a row for each template term
+    else:
+        hold = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, known)).cast("array<string>"))
+        ours = rows.select(F.explode(hold).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # as above
+    counts |= {r["term"]: r["n"] for r in ours}
     idf = {t: math.log((1 + total) / (1 + n)) + 1 for t, n in counts.items()}
     other = math.log(1 + total) + 1
     weights, needed = template_weights(templates, idf, least)
-    must = F.array(*map(F.lit, sorted(needed))).cast("array<string>")
+    long, needed_long = template_weights(texts, idf, least)
+    weights = [(*w, False) for w in weights] + [(name, n + len(templates), t, part, True) for name, n, t, part in long]
+    must, must_long = (F.array(*map(F.lit, sorted(x))).cast("array<string>") for x in (needed, needed | needed_long))
 
-    # segments that may match: (path, tag, line), line 0 is the whole text of a licence file
+    # segments that may match: (path, tag, line), line 0 is the whole text of a licence file, a line below 0 a comment
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     hint = rf"(?i)(?<![a-z0-9])({'|'.join(sorted(needed)) or '(?!)'})(?![a-z0-9])"
-    some = rows.where(F.col("text").rlike(hint)).select("path", "tag", "text", is_file.alias("is_file"))
-    lines = some.select("path", "tag", F.posexplode(F.split("text", "\r?\n|\r")).alias("pos", "segment")).select("path", "tag", (F.col("pos") + 1).alias("line"), "segment")
-    whole = some.where("is_file").select("path", "tag", F.lit(0).alias("line"), F.col("text").alias("segment"))
-    segments = lines.unionByName(whole).withColumn("words", _words(F.col("segment"))).where(F.arrays_overlap("words", must))
+    lines = rows.where(F.col("text").rlike(hint)).select("path", "tag", F.posexplode(F.split("text", "\r?\n|\r")).alias("pos", "segment")).select("path", "tag", (F.col("pos") + 1).alias("line"), "segment")
+    lines = lines.withColumn("words", _words(F.col("segment"))).where(F.arrays_overlap("words", must))
+    whole = rows.where(is_file).select("path", "tag", F.lit(0).alias("line"), F.col("text").alias("segment"))
+    if comments:
+        some = rows.where(F.col("text").rlike(rf'(?m)^{COMMENT_LINE}|/\*|<!--|"""'))
+        runs = F.split("text", rf"(?m)^(?!{COMMENT_LINE}).*$")
+        parts = F.split("text", rf"(?m)^(?!{COMMENT_LINE}.*[A-Za-z0-9]).*$")
+        every = F.array_distinct(F.concat(runs, parts, F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0))))
+        some = some.select("path", "tag", F.posexplode(every).alias("pos", "segment")).select("path", "tag", (-1 - F.col("pos")).alias("line"), "segment")
+        whole = whole.unionByName(some)
+    whole = whole.withColumn("words", _words(F.col("segment"))).where(F.arrays_overlap("words", must_long))
+    segments = lines.unionByName(whole)
     key = ["path", "tag", "line"]
     terms = segments.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    terms = terms.join(F.broadcast(idfs), "term", "left").select(*key, "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
-    terms = written(terms, "terms")
+    if corpus_idf:
+        # common terms, of which there are few, are broadcast: each may be in a large part of the segments
+        terms, common = written(terms, "segments"), F.broadcast(held.where(F.col("n") * COMMON >= total))
+        rest = terms.join(common.select("term"), "term", "left_anti").join(held.where(F.col("n") * COMMON < total), "term", "left")
+        terms = terms.join(common, "term").unionByName(rest)
+        weight = F.log((F.lit(1) + total) / (1 + F.coalesce("n", F.lit(0)))) + 1
+    else:
+        terms = terms.join(F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double")), "term", "left")
+        weight = F.coalesce("idf", F.lit(other))
+    terms = written(terms.select(*key, "term", (F.col("tf") * weight).alias("w")), "terms")
     norms = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = spark.createDataFrame(weights, "license string, template int, term string, part double")
-    dots = terms.join(F.broadcast(weights), "term").groupBy(*key, "license", "template").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    weights = spark.createDataFrame(weights, "license string, template int, term string, part double, long boolean")
+    dots = terms.join(F.broadcast(weights), "term").where("line <= 0 OR NOT long").groupBy(*key, "license", "template").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     same = [dots[c].eqNullSafe(norms[c]) for c in key]
     scored = dots.join(norms, same[0] & same[1] & same[2]).select(dots["path"], dots["tag"], "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     own = scored.groupBy("path", "tag").agg(F.max("score").alias("score"), F.min_by("license", F.struct((-F.col("score")).alias("s"), "license")).alias("license"))

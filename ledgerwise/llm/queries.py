@@ -43,7 +43,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id")
     name = F.when(number % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(number.cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string"), name)
-    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path), texts=license_scan.full_texts(), corpus_idf=True, comments=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,27 @@ def test_license_scan(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_license_query_weighs_all_terms(spark, tmp_path):
+    """Notices with common words, wrapped comments and whole licence texts, among files full of common words."""
+    from ledgerwise.llm import queries
+
+    rng = random.Random(9)
+    common = "you may not use this file except in compliance with see for details is the of and a to under".split()
+    rows = [(i, " ".join(rng.choices(common, k=60)) + f" w{i}", f"s{i}") for i in range(1, 600) if i % 100]
+    full = dict(license_scan.full_texts())
+    header = "Permission is hereby granted, free of charge,\n{0} to any person obtaining\n{0} a copy of this software"
+    rows += [
+        (1001, 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "a"),
+        (1102, f"x = 1\n# {header.format('#')}\ny = 2", "b"), (1203, f"/*\n{header.format('')}\n*/\nint main;", "c"),
+        (1304, f"# Copyright someone else and others\n#\n# {header.format('#')}\n#\n# more about a thing that is not at all near, far zz yy xx vv uu tt ss", "d"),
+        (1400, full["MIT"], "e"), (1401, "inherits", "e"), (1500, full["GPL-2.0"], "f"), (1600, full["BSD-2-Clause"], "g"), (1705, "nothing of the kind", "h"), (1806, None, "i")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.how) for r in queries.op6_license_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    want = {1001: ("Apache-2.0", "own"), 1102: ("MIT", "own"), 1203: ("MIT", "own"), 1304: ("MIT", "own"), 1400: ("MIT", "own"), 1401: ("MIT", "inherited"), 1500: ("GPL-2.0", "own"), 1600: ("BSD-2-Clause", "own")}
+    assert {d: x for d, x in got.items() if x[0]} == want
+
+
 def test_shards(spark):
     rng = random.Random(7)
     texts = [f"text {rng.randint(0, 40)}" for _ in range(500)] + ["hot"] * 300 + [None, "", "é"]
