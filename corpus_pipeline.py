@@ -11,10 +11,10 @@ from ledgerwise.llm.url_filter import without
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go. Short or ambiguous ones stay."""
+    """Documents with a letter, whatever language is found and whether or not one can be. Short or ambiguous ones stay."""
     others = tuple(c for c in docs.columns if c != "doc_id")
-    found = language_id.identify(docs, keep=others)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    found = language_id.identify(docs, keep=others, letter="_letter")
+    return found.where("_letter").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,21 +157,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(5)) == 0, F.lit(True))
 
 
-def identify(docs: DataFrame, train_on: Column | None = None, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, train_on: Column | None = None, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), letter: str | None = None) -> DataFrame:
     """documents -> (doc_id, held_out, lang_pred, score, ambiguous, *keep), a row for each row.
 
     Learns from text and lang of the rows where train_on holds (default: not held_out) and lang isn't
     null; predicts from the text alone. A null text, or one without a letter, is `und` with score 0, and
     so is every text if there is nothing to learn from. With one language that is the answer, score 1.
     Very long texts are read whole. A null id counts as held out. Columns named in keep are handed on; others are ignored.
+    letter: name of one more column, true for texts with a letter whatever their label is.
     """
     train_on = ~held_out(F.col(id_col)) if train_on is None else train_on
     if model is None:
         model = train(docs.where(train_on).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     known = docs.sparkSession.sparkContext.broadcast(model)  # CELLS weights for each bit
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"), letter.alias("letter"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
+    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    kept = {c: F.col(c) for c in keep} | ({letter: has_letter} if letter else {})
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"), has_letter.alias("letter"), *(c.alias(f"keep{i}") for i, c in enumerate(kept.values())))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    more = "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    more = "".join(f", keep{i} {rows.schema[f'keep{i}'].dataType.simpleString()}" for i in range(len(kept)))
     out = rows.mapInArrow(_predict_task(known), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean{more}")
-    return out.withColumnsRenamed({f"keep{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed({f"keep{i}": c for i, c in enumerate(kept)})

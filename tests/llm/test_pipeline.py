@@ -60,3 +60,19 @@ def test_pipeline(spark, tmp_path):
         assert r.doc_tokens == want[r.doc_id]
         tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
     assert tokens == want
+
+
+@pytest.mark.parametrize("lang", ["nothing", "all held out", "und"])
+def test_language_stage_keeps_documents_with_letters(spark, lang):
+    """With no label to learn from, or one that is `und`, only documents without a letter go."""
+    import zlib
+
+    import corpus_pipeline as cp
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    of = {"nothing": lambda d: None, "all held out": lambda d: "en" if held(d) else None, "und": lambda d: "und" if d % 2 else "en"}[lang]
+    rows = [(d, f"some words {d}", of(d), "s", 12) for d in range(40)] + [(100, "12 34 !!", of(100), "s", 8), (101, None, None, "s", 0), (102, "é", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.identified(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {r for r in rows if r[0] not in (100, 101)}
