@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from .scoring import ordinal_rank
+
+#: Specialties that get many referrals by their nature (G-04); edges to or from them are never suspicious.
+EXEMPT = frozenset((
+    "clinical laboratory", "independent laboratory", "pathology", "clinical pathology", "anatomic pathology", "diagnostic radiology", "radiology",
+    "interventional radiology", "nuclear medicine", "radiation oncology", "durable medical equipment", "home health", "skilled nursing facility", "hospice",
+    "ambulance", "ambulatory surgical center", "pharmacy"))
+#: Weights are whole numbers, UNIT to a point of risk, so prefix sums are exact; CELL points of weight make a cell of the join.
+UNIT, CELL, PARTS = 1000, 64, 4096
+#: Draws of each source, and of those that got too few partners by them. Above SMALL providers nine hold 83 % of the weight at most.
+SMALL, DRAWS, MORE_DRAWS = 200, 24, 2048
 
 
 def edge_percent(edges: DataFrame) -> DataFrame:
@@ -82,21 +93,64 @@ def edge_width(shared) -> F.Column:
     return F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.log1p(shared) * 0.6))
 
 
-def sampled_edges(people: DataFrame, per_source: int = 3, seed: int = 42) -> DataFrame:
-    """Synthetic edges within a state: for each provider, partners by risk-weighted sampling without replacement.
+def _quantile(p: DataFrame, column: str, key: str, at: float) -> DataFrame:
+    """One row `cut`: the exact quantile with linear interpolation, from global ranks; null of an empty table."""
+    total = p.agg(F.count("*").alias("_n")).withColumn("_h", F.round(F.lit(at) * (F.col("_n") - 1), 9))
+    ranked = ordinal_rank(p.select(column, key), [column, key], "_rank").join(F.broadcast(total), (F.col("_rank") >= F.floor("_h") + 1) & (F.col("_rank") <= F.ceil("_h") + 1))  # one row
+    low, high = F.min_by(column, "_rank"), F.max_by(column, "_rank")
+    return ranked.agg((low + (high - low) * F.max(F.col("_h") - F.floor("_h"))).alias("cut"))
+
+
+def sampled_edges(people: DataFrame, seed: int = 42) -> DataFrame:
+    """people(npi, state, specialty, risk_score 0 to 100) -> synthetic edges (source, target, is_suspicious) within states.
 
-    Keys -ln(u) / weight with u from a hash; the smallest are taken. Candidates share a hash bucket of the
-    state with the source, so a large state isn't paired with itself.
+    Each provider draws 3 + min(5, risk / 20) partners, all others at most, by risk + 1 over its whole state
+    without replacement. A pair that both ends draw is there once, from the end with more risk. Suspicious:
+    both ends in the top fifth of the risks, neither of an exempt specialty. npi is unique; rows without a
+    state draw nobody.
+
+    Draws are numbers against prefix sums of the weights; a repeat or the source itself is drawn again, which
+    is sampling without replacement. A number finds its provider by the cell of weight it lies in. In states
+    of at most SMALL providers the same distribution comes from keys -ln(u) / weight of all pairs, as there a
+    few may hold nearly all weight and the rest would take many draws.
     """
-    size = Window.partitionBy("state")
-    p = people.select("npi", "state", "risk_score").withColumn("n", F.count("*").over(size))
-    p = p.withColumn("bucket", F.pmod(F.xxhash64("npi", F.lit(seed)), F.greatest(F.lit(1), (F.col("n") / 50).cast("int"))))
-    a = p.select("state", "bucket", F.col("npi").alias("source"))
-    b = p.select("state", "bucket", F.col("npi").alias("target"), "risk_score")
-    u = (F.pmod(F.xxhash64("source", "target", F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    both = a.join(b, ["state", "bucket"]).where("source <> target").withColumn("key", -F.log(u) / (F.coalesce("risk_score", F.lit(0.0)) + 1))
-    first = F.row_number().over(Window.partitionBy("source").orderBy("key", "target"))
-    return both.withColumn("n", first).where(F.col("n") <= per_source).select("source", "target")
+    risk = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.col("risk_score").cast("double"), F.lit(0.0)), F.lit(0.0))))
+    p = people.select("npi", "state", F.lower(F.trim(F.coalesce("specialty", F.lit("")))).isin(sorted(EXEMPT)).alias("exempt"), risk.alias("risk"))
+    cut = _quantile(p, "risk", "npi", 0.8)
+    p = p.where("state IS NOT NULL").withColumns({"w": F.round((F.col("risk") + 1) * UNIT).cast("long"), "part": F.pmod(F.xxhash64("npi"), F.lit(PARTS))})
+    sums = p.groupBy("state", "part").agg(F.sum("w").alias("w"), F.count("*").alias("n"))  # at most PARTS rows for each state
+    before = Window.partitionBy("state").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("state")
+    sums = sums.select("state", "part", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"), F.sum("w").over(whole).alias("all"), F.sum("n").over(whole).alias("n"))
+    within = Window.partitionBy("state", "part").orderBy("npi").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("ahead", F.coalesce(F.sum("w").over(within), F.lit(0))).join(sums, ["state", "part"])
+    p = p.withColumns({"low": F.col("base") + F.col("ahead"), "k": F.least(F.floor(3 + F.least(F.lit(5.0), F.col("risk") / 20)), F.col("n") - 1)})
+
+    # each number in [0, all) to the provider whose weight it lies in
+    cell = lambda x: F.floor(x / (CELL * UNIT))
+    ends = p.where(F.col("n") > SMALL).select("state", F.col("npi").alias("target"), "low", (F.col("low") + F.col("w")).alias("high"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("low") + F.col("w") - 1))).alias("cell"))
+
+    def drawn(sources: DataFrame, draws: int) -> DataFrame:
+        tries = sources.select("state", F.col("npi").alias("source"), "k", "all", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("order"))
+        tries = tries.withColumn("x", F.pmod(F.xxhash64("source", "order", F.lit(seed)), F.col("all"))).withColumn("cell", cell(F.col("x")))
+        hits = tries.join(ends, ["state", "cell"]).where("low <= x AND x < high AND source <> target").groupBy("source", "target", "k").agg(F.min("order").alias("order"))
+        return hits.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("order"))).where("nth <= k").select("source", "target", "k", "nth")
+
+    many = p.where(F.col("n") > SMALL)
+    first = drawn(many, DRAWS)
+    done = first.where("nth = k").select(F.col("source").alias("npi"))
+    more = drawn(many.join(done, "npi", "left_anti"), MORE_DRAWS)
+    few = p.where((F.col("n") <= SMALL) & (F.col("n") > 1))
+    both = few.select("state", F.col("npi").alias("source"), "k").join(few.select("state", F.col("npi").alias("target"), "w"), "state").where("source <> target")  # SMALL for each source
+    u = (F.pmod(F.xxhash64("source", "target", F.lit(seed)), F.lit(1 << 50)) + 1) / float((1 << 50) + 1)
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(-F.log(u) / F.col("w"), "target"))).where("nth <= k")
+    pairs = first.join(done, first.source == done.npi, "left_semi").select("source", "target").unionByName(more.select("source", "target")).unionByName(both.select("source", "target"))
+    for end in ("source", "target"):
+        pairs = pairs.join(p.select(F.col("npi").alias(end), F.col("risk").alias(f"{end}_risk"), F.col("exempt").alias(f"{end}_exempt")), end)
+    pair = [f("source", "target") for f in (F.least, F.greatest)]
+    pairs = pairs.groupBy(pair[0].alias("_a"), pair[1].alias("_b")).agg(F.min_by(F.struct(*pairs.columns), F.struct((-F.col("source_risk")).alias("r"), "source")).alias("e")).select("e.*")
+    high = (F.col("source_risk") >= F.col("cut")) & (F.col("target_risk") >= F.col("cut"))
+    return pairs.crossJoin(F.broadcast(cut)).select("source", "target", (high & ~F.col("source_exempt") & ~F.col("target_exempt")).alias("is_suspicious"))  # one row
 
 
 def cluster_score(n, max_risk, avg_risk, same, excluded) -> F.Column:

@@ -130,6 +130,38 @@ def test_ego_network(spark):
     assert {(r.source, r.target, r.hop) for r in graph.ego_network(edges, 1, 2).collect()} == {(1, 2, 1), (1, 3, 1), (2, 3, 2), (3, 4, 2)}
 
 
+def test_sampled_edges(spark):
+    """Partners come from the whole state by risk, 3 to 8 of them; pairs are there once; exempt ends aren't suspicious."""
+    n = 2000
+    rows = [(i, "AA", "Radiology " if i % 10 == 0 else "Oncology", 100.0 if i < 20 else float(i % 30)) for i in range(n)]
+    rows += [(n + i, "BB", None, [None, 0.0, 90.0][i % 3]) for i in range(7)] + [(n + 10, "CC", "x", 50.0), (n + 11, None, "x", 50.0)]
+    people = spark.createDataFrame(rows, "npi long, state string, specialty string, risk_score double")
+    got = graph.sampled_edges(people).collect()
+    by = {r[0]: r for r in rows}
+    pairs = {frozenset((r.source, r.target)) for r in got}
+    assert len(pairs) == len(got) and all(len(x) == 2 for x in pairs)
+    assert all(by[r.source][1] == by[r.target][1] for r in got)
+    risks = sorted(r[3] or 0.0 for r in rows)
+    h = 0.8 * (len(risks) - 1)
+    cut = risks[int(h)] + (risks[int(h) + 1] - risks[int(h)]) * (h - int(h))
+    for r in got:
+        assert r.is_suspicious == all((by[x][3] or 0) >= cut and by[x][2] != "Radiology " for x in (r.source, r.target))
+    assert any(r.is_suspicious for r in got)
+    degree = dict.fromkeys(by, 0)
+    for x in pairs:
+        for i in x:
+            degree[i] += 1
+    assert all(degree[i] >= min(int(3 + min(5, (r[3] or 0) / 20)), sum(x[1] == r[1] for x in rows) - 1) for i, r in by.items() if r[1])
+    assert degree[n + 10] == degree[n + 11] == 0
+    # 20 of 2,000 hold a share of the weight, and each gets that share of all draws: 3 or 4 a provider, 8 of these 20
+    weight = {i: (r[3] or 0) + 1 for i, r in by.items() if r[1] == "AA"}
+    draws = sum(int(3 + min(5, (by[i][3] or 0) / 20)) for i in weight)
+    mean = sum(degree[i] for i in range(20)) / 20 - 8
+    assert 0.8 < mean / (draws * 101 / sum(weight.values())) < 1.1
+    again = graph.sampled_edges(people.repartition(7)).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in got}
+
+
 def test_exclusion_timing_and_impact(spark):
     d = datetime.date
     df = spark.createDataFrame([(1, d(2020, 1, 1), d(2021, 1, 1), "20190101"), (2, d(2020, 1, 1), d(2021, 1, 1), "20200601"), (3, d(2020, 1, 1), d(2021, 1, 1), "20220101"), (4, d(2020, 1, 1), d(2021, 1, 1), "x")], "npi long, first_bill date, last_bill date, excldate string")
