@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from ..sources.staging import written
 
 
 def ordinal_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Positions from 1 in the order of the columns, which must tell all rows apart; no task holds all rows.
 
-    Rows are range-partitioned, counted per partition, and numbered within; the counts (a row for each
-    partition) give each partition's first number.
+    Rows are range-partitioned and written with the number of their partition, so that counting them and numbering
+    them see the same partitions. The counts (a row for each partition) give each partition's first number.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_part", before.alias("_before"))
@@ -28,15 +29,14 @@ def composite(boosted: Column, isolation: Column, error: Column, weights: tuple[
 
 def top_tail_stretch(df: DataFrame, score: str, key: str, cut: float = 0.95, power: float = 0.6, least: int = 100) -> DataFrame:
     """Scores ranked in the top part are spread from the cut's score up to 1; fewer than `least` rows stay."""
-    ranked = ordinal_rank(df, [score, key], "_rank")
-    total = df.agg(F.count("*").alias("_n"))
-    ranked = ranked.crossJoin(F.broadcast(total))  # one row
-    at = F.floor(cut * (F.col("_n") - 1)) + 1
+    ranked = written(ordinal_rank(df, [score, key], "_rank"), "ranked")
+    n = ranked.count()
+    at = int(cut * (n - 1)) + 1
     floor = ranked.where(F.col("_rank") == at).select(F.col(score).alias("_c0"))
     ranked = ranked.crossJoin(F.broadcast(floor))  # one row, none of an empty table
-    r = (F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
+    r = (F.col("_rank") - 1) / F.lit(max(n - 1, 1))
     spread = F.col("_c0") + (1 - F.col("_c0")) * F.pow((r - cut) / (1 - cut), power)
-    return ranked.withColumn("stretched", F.when((F.col("_n") >= least) & (r >= cut), spread).otherwise(F.col(score))).drop("_rank", "_n", "_c0")
+    return ranked.withColumn("stretched", F.when(F.lit(n >= least) & (r >= cut), spread).otherwise(F.col(score))).drop("_rank", "_c0")
 
 
 def volume_discount(score: Column, specialty: Column, ppb: Column, excluded: Column, specialties: list[str]) -> Column:
@@ -89,9 +89,12 @@ def threshold_report(scored: DataFrame, thresholds: list[int] = range(30, 100, 5
 
 
 def _by_score(scored: DataFrame) -> DataFrame:
-    """(score, pos, neg, pos_above, neg_above) for each distinct score: sums over all larger scores."""
-    per = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    ranged = per.repartitionByRange(F.desc("score")).withColumn("_part", F.spark_partition_id())
+    """(score, pos, neg, pos_above, neg_above) for each distinct score: sums over all larger scores.
+
+    The ranged rows are written with their partition's number, as in ordinal_rank. Rows without a score take no part.
+    """
+    per = scored.where(F.col("score").isNotNull()).groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.coalesce(F.col("label") != 1, F.lit(True))).alias("neg"))
+    ranged = written(per.repartitionByRange(F.desc("score")).withColumn("_part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", F.coalesce(F.sum("p").over(ahead), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n"))
