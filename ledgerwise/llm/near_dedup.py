@@ -24,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 from .textarrays import LOWER, NOT_SPACE, Words, lean, mix, text_slices
 from .url_filter import bloom_blocks, blocked_bloom, possible_hits
 
 #: 32 bands of 5 slots: a pair at 0.8 shares no band with a chance of 3e-6, at 0.9 of 1e-12.
 BANDS, BAND_SLOTS = 32, 5
 SLOTS = BANDS * BAND_SLOTS
-#: Elements whose permutations are in memory at once (a byte for each slot), if no document has more.
+#: Elements whose permutations are in memory at once (a byte for each slot); a larger set is taken in parts.
 CHUNK = 1 << 15
 #: Pairs whose sets are in memory at once.
 COMPARE_ROWS = 512
+
+
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of k-word shingles; with fewer words, of the whole row."""
     plain = words.hashes()
@@ -57,7 +59,10 @@ def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     while at < len(sets):
         to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK, "right")) + at)
         rows = np.flatnonzero(sizes[at:to]) + at
-        if len(rows):
+        if sizes[at] > CHUNK:  # a slot's least rank is the least of the parts' least ranks
+            for a in range(0, sizes[at], CHUNK):
+                np.minimum(out[at], _signatures([sets[at][a : a + CHUNK]], slots)[0], out=out[at])
+        elif len(rows):
             out[rows] = _signatures([sets[r] for r in rows], slots)
         at = to
     return out
@@ -129,22 +134,25 @@ def _is_link(total: str, differ: str, percent: int) -> Column:
     return F.expr(f"100 * (({total}) - ({differ})) >= {percent} * (({total}) + ({differ}))")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """edges(a, b) -> (id, comp): each node's smallest reachable id, by least neighbour and pointer jumps."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """edges(a, b) -> (id, comp): each node's smallest reachable id, by least neighbour and pointer jumps, until no label falls.
+
+    Labels only fall, so the rounds end; a chain of n nodes takes about log n of them. Each round's tables replace the last one's.
+    """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    state = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "id"), "comps")
-    for _ in range(rounds):
+    state = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp"), F.lit(True).alias("changed")).withColumnRenamed("u", "id"), "comps")
+    while state.where("changed").limit(1).count():
         jump = state.select(F.col("id").alias("low"), F.col("comp").alias("lower"))
         moved = written(state.withColumn("low", F.col("comp")).join(jump, "low").select("id", "comp", F.least("low", "lower").alias("low")), "jumped")
         seen = moved.select(F.col("id").alias("v"), F.col("low").alias("vcomp"))
         near = both.join(seen, "v").groupBy("u").agg(F.min("vcomp").alias("near"))
         after = moved.join(near, moved.id == near.u).select("id", F.least("low", "near").alias("comp"), (F.least("low", "near") < F.col("low")).alias("changed"))
         after = written(after, "comps")
-        state = after.select("id", "comp")
-        if not after.where("changed").limit(1).count():
-            return state
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+        dropped(moved, state)
+        state = after
+    dropped(both)
+    return state.select("id", "comp")
 
 
 def compared(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -152,9 +160,11 @@ def compared(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     needed = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
     blocks = bloom_blocks(needed.count())
     few = possible_hits(texts, "id", blocked_bloom(needed, "id", blocks), blocks)
-    few = written(few.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    few = written(few.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     full = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return written(full.select("a", "b", "ta", "tb").mapInArrow(_compare_task(k), "a long, b long, na long, nb long, edits array<long>"), "compared")
+    out = written(full.select("a", "b", "ta", "tb").mapInArrow(_compare_task(k), "a long, b long, na long, nb long, edits array<long>"), "compared")
+    dropped(needed, few)
+    return out
 
 
 def straggler_links(told: DataFrame, percent: int) -> DataFrame:
@@ -193,8 +203,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Words are runs of non-space characters, A-Z lower-cased; a set has the distinct k-word shingles of
     the whole text, or the whole sequence if there are fewer words. Documents are linked at
     100 * intersection >= percent * union; component_id is the smallest id reachable. Null and empty
-    texts are linked with nothing. Rows with the same id are one node. A row with a null id has no
-    links, a null component_id, and is kept. Other columns are ignored. Bands are set for percent >= 80.
+    texts are linked with nothing. Rows with the same id are one node, with the links that its first text
+    (in string order) and its exact copies give it. A row with a null id has no links, a null component_id,
+    and is kept. Repeated rows are given back as often. An empty table gives an empty one. Other columns,
+    whatever their names, are ignored. Texts of any length are read whole, one at a time; a set of more than
+    CHUNK shingles is signed in parts. Bands are set for percent >= 80.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_signature_task(k), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
@@ -210,17 +223,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     # tables, not aggregates, on the small side: Spark splits the partitions of hot keys only then
     shared = written(rows.groupBy("band").agg(F.count("*").alias("company")).where("company > 1"), "shared")
-    rows = written(rows.join(shared, "band"), "buckets")
-    company = written(rows.groupBy("id").agg(F.sum("company").alias("weight")), "company")
-    rows = written(rows.drop("company").join(company, "id"), "buckets")
+    counted = written(rows.join(shared, "band"), "buckets")
+    company = written(counted.groupBy("id").agg(F.sum("company").alias("weight")), "company")
+    rows = written(counted.drop("company").join(company, "id"), "buckets")
+    dropped(shared, counted, company)
     pivots = rows.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
     pivots = written(pivots, "pivots")
     pairs = written(rows.join(pivots, "band").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    dropped(rows, pivots, reps)
     told = compared(texts, pairs, k)
     # links between different ids that have copies of one another are known already
     links = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = links.unionByName(told.where(_is_link("na + nb", "size(edits)", percent)).select("a", "b"))
-    comps = components(written(links.unionByName(straggler_links(told, percent)), "links"))
+    links = written(links.unionByName(straggler_links(told, percent)), "links")
+    comps = components(links)
+    dropped(classes, same, pairs, told, links)
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("id", "node"), F.col("doc_id") == F.col("node"), "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))

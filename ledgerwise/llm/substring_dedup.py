@@ -5,10 +5,11 @@ five words within it, and counts it once for each run of neighbouring windows th
 a fifth of all windows). Each task sends the cells of two hash rows that it has hit once and more than once.
 Merging adds the counts, saturated at two, so a cell never underestimates: windows of two documents that are
 equal have equal fingerprints, counted twice, and always pass. Pass 2 hashes the windows again, sends those
-whose cells are all at two or more, and groups them by 95 bits of hash. False positives form groups of
-one and vanish. Of every SETTLE windows that a task lets pass, each different one is sent once, with its
-smallest document; larger documents among them are settled there. So a window that a third of all
-documents share is a row for each such lot, not for each document.
+whose cells are all at two or more, and groups them by two independent 64-bit hashes of the words. False
+positives form groups of one and vanish. Of every SETTLE windows that a task lets pass, each different one
+is sent once, with its smallest document; larger documents among them are settled there. So a window that
+a third of all documents share is a row for each such lot, not for each document; its smallest document is
+an aggregate that each task forms first, joined back to the rows.
 
 The sketch has a fixed bound: ROWS rows of at most 2**MAX_BITS one-bit cells after merging (128 MB). A
 corpus too large for it passes more windows to the exact step; none is lost.
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 from .textarrays import NOT_SPACE, Words, lean, mix, text_slices
 from .url_filter import bloom_blocks, blocked_bloom, possible_hits
 
@@ -147,7 +148,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _settle(found: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """A row for each window and document, for each window only its smallest document and those it settles."""
+    """A row for each window and document: for each window its smallest document, and those settled by that one."""
     first, second, owner = (np.concatenate(x) for x in found)
     order = np.lexsort((owner, second, first))
     first, second, owner = first[order], second[order], owner[order]
@@ -157,7 +158,7 @@ def _settle(found: list[list[np.ndarray]]) -> pa.RecordBatch:
     again = np.zeros(len(first), bool)  # the same window of the same document
     again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
     first, second, owner, least = first[~again], second[~again], owner[~again], least[~again]
-    return pa.record_batch([_signed(first), second, owner, np.where(owner > least, owner, -1)], ["h1", "h2", "owner", "settled"])
+    return pa.record_batch([_signed(first), _signed(second), owner, pa.array(owner > least)], ["h1", "h2", "owner", "settled"])
 
 
 def _candidate_task(k: int, bits: int, sketch):
@@ -174,7 +175,7 @@ def _candidate_task(k: int, bits: int, sketch):
                     cell = _cells(prints, row, bits)
                     passed &= (table[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1
                 if passed.any():
-                    second = (words.windows(plain, k, 1)[1] >> np.uint64(33)).astype(np.int32)
+                    second = words.windows(words.hashes(1), k, 1)[1]
                     for have, x in zip(found, (first[passed], second[passed], ids[lo + words.row_of(at[passed])]), strict=True):
                         have.append(x)
                     size += int(passed.sum())
@@ -240,9 +241,13 @@ def repeated_windows(texts: DataFrame, k: int) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1.0, size * CELLS_A_BYTE)))))
     sketch = spark.sparkContext.broadcast(count_min(texts, "text", k, bits))
-    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 int, owner long, settled long")
-    least = F.min("owner").over(Window.partitionBy("h1", "h2", "settled"))
-    return rows.withColumn("least", least).where("settled >= 0 OR owner > least").select("owner", "h1")
+    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 long, owner long, settled boolean")
+    rows = written(rows, "candidates")
+    # a row for each window that more than one lot has, in more than one document
+    least = rows.where("NOT settled").groupBy("h1", "h2").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
+    least = written(least.where("least < most").select("h1", "h2", "least"), "least")
+    later = rows.where("NOT settled").join(least, ["h1", "h2"]).where("owner > least")
+    return rows.where("settled").select("owner", "h1").unionByName(later.select("owner", "h1"))
 
 
 def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -252,7 +257,9 @@ def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
     windows are judged on the input. kept_words has the kept words joined by one space; text is the
     input without the removed words and the white space after them. A null or empty text has no words.
     Rows with the same id don't remove from each other. A null id counts as larger than any other and
-    removes nothing. Columns named in keep are handed on; others, whatever their names, are ignored.
+    removes nothing; negative ids are ids as any other. An empty table gives an empty one. Texts of any
+    length are read whole, one at a time. Columns named in keep are handed on; others, whatever their
+    names, are ignored.
     """
     more = [f"keep{i}" for i in range(len(keep))]
     kinds = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(more, keep, strict=True))
@@ -267,7 +274,9 @@ def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
 
     marks = repeated_windows(first, k).withColumn("copy", F.lit(None).cast("binary"))
     marks = marks.unionByName(copies.select(F.col("id").alias("owner"), F.lit(None).cast("long").alias("h1"), F.col("key").alias("copy")))
+    # by distinct windows of one document: no more than it has words
     marks = written(marks.groupBy("owner").agg(F.collect_list("h1").alias("marks"), F.collect_set("copy").alias("copies")), "marks")
+    dropped(keys, firsts)
     blocks = bloom_blocks(marks.count())
     told = possible_hits(texts, "id", blocked_bloom(marks, "owner", blocks), blocks, keep=True)
     none = F.lit(None).cast("array<bigint>")

@@ -7,6 +7,7 @@ byte ranges of the UTF-8 text, so a word class is a table of 256 booleans.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,15 +15,18 @@ import pyarrow as pa
 
 #: Bytes and rows of text that one step holds; a longer text is a step of its own.
 SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 12
-#: Odd multipliers and table seeds of two independent polynomial hashes modulo 2**64.
+#: Multipliers and seeds of two independent hashes.
 BASES, SEEDS = (0x9E3779B97F4A7C17, 0xD1342543DE82EF97), (0x51ED270B, 0x2545F491)
+#: Words of more bytes are hashed by BLAKE2b, shorter ones in steps of eight bytes.
+LONG_WORD = 64
 
 #: [^\x20\x09-\x0D]
 NOT_SPACE = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_tables: dict = {}
+#: The lowest n bytes of eight, for n from 0 to 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def lean(task: Callable) -> Callable:
@@ -45,23 +49,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of a base and of its inverse modulo 2**64."""
-    found = _tables.get(which)
-    if found is None or len(found[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        inverse = pow(BASES[which], -1, 1 << 64)
-        both = []
-        for base in (BASES[which], inverse):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        found = _tables[which] = tuple(both)
-    return found
-
-
-def _letters(which: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEEDS[which]))
+def _pair(x: np.ndarray, y: np.ndarray, which: int) -> np.ndarray:
+    """Hashes of two parts in this order, from the parts' hashes; no sum or product that could be undone by other parts."""
+    return mix(x * np.uint64(BASES[which]) ^ y)
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,11 +93,20 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        power, inverse = _powers(which, len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_letters(which)[self.data] * power[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word's bytes, chained through `mix`; nothing in it is linear in the bytes."""
+        size = self.end - self.start
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), 0, (1,))  # at each byte
+        out = mix(size.astype(np.uint64) * np.uint64(BASES[which]) + np.uint64(SEEDS[which]))
+        here = np.flatnonzero(size <= LONG_WORD)
+        at, left = self.start[here], size[here]
+        while len(here):
+            out[here] = mix(out[here] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+            more = left > 8
+            here, at, left = here[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > LONG_WORD):
+            word = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, salt=bytes([which]))
+            out[i] = int.from_bytes(word.digest(), "little")
+        return out
 
     def windows(self, hashes: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words within one row."""
@@ -116,13 +115,17 @@ class Words:
         return at, self.runs(hashes, k, which)[at]
 
     def runs(self, hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-        """The hash of the k words from each word on, whatever rows they are in."""
-        n = len(hashes)
-        power, inverse = _powers(which, n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * power[:n], out=total[1:])
-        at = np.arange(max(0, n - k + 1))
-        return mix((total[at + k] - total[at]) * inverse[at])
+        """The hash of the k words from each word on, whatever rows they are in: joined from runs of 1, 2, 4 ... words."""
+        n, part, size, out, done = len(hashes), hashes, 1, None, 0
+        if n < k:
+            return np.zeros(0, np.uint64)
+        while True:
+            if k & size:
+                out = part if out is None else _pair(out[: n - done - size + 1], part[done:], which)
+                done += size
+            if done == k:
+                return out
+            part, size = _pair(part[:-size], part[size:], which), 2 * size
 
     def row_of(self, at: np.ndarray) -> np.ndarray:
         """The row (within the slice) of each word index."""

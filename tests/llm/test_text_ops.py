@@ -222,6 +222,54 @@ def test_trigrams_stay_in_their_text():
     assert (one[2:] == two).all()
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words on which every sum of letter values times powers of an odd number agrees modulo 2**64."""
+    bits = np.array([bin(i).count("1") & 1 for i in range(n)])
+    return "".join(np.where(bits, b, a)), "".join(np.where(bits, a, b))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_alike_to_polynomial_hashes(spark, size):
+    from pyspark.sql import functions as F
+
+    one, two = thue_morse(size)
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two), (5, f"{one} {two}"), (6, f"{two} {one}")]
+    got = substring_dedup.cut_repeats(table(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256))
+    assert digest(got.collect()) == brute.cut_repeats(rows)
+    assert digest(near_dedup.near_duplicates(table(spark, rows), 2).collect()) == brute.near_duplicates(rows, 2)
+
+
+def test_window_hashes_tell_word_orders_apart():
+    a, b = thue_morse(2048, "a ", "b ")
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    for which in (0, 1):
+        words = Words(data, np.array([0, len(a), len(data)]), NOT_SPACE)
+        for k in (1, 2, 3, 13, 1024, 2048):
+            at, found = words.windows(words.hashes(which), k, which)
+            seen = {}
+            for i, h in zip(at.tolist(), found.tolist(), strict=True):
+                assert seen.setdefault(h, (a + b).split()[i : i + k]) == (a + b).split()[i : i + k]
+            assert len(at) == 2 * (2048 - k + 1)
+
+
+def test_negative_ids_remove_from_larger_ones(spark):
+    """Among documents of one lot and across lots, negative ids are ids as any other."""
+    rows = [(-5, "a b c d"), (-3, "x a b c d"), (-1, "a b c"), (4, "b c d"), (-7, "q r s")]
+    want = {-5: 0, -3: 4, -1: 3, 4: 3, -7: 0}
+    for parts in (1, 5):
+        got = substring_dedup.cut_repeats(table(spark, rows).repartition(parts), 3).collect()
+        assert {r.doc_id: r.n_removed for r in got} == want
+
+
+def test_long_sets_are_signed_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (5000, 3, 0, 900)]
+    whole = near_dedup.superminhash(sets)
+    monkeypatch.setattr(near_dedup, "CHUNK", 700)
+    assert (near_dedup.superminhash(sets) == whole).all()
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(2)
     words = list({"".join(rng.choices("ab", k=rng.randint(1, 12))) for _ in range(5000)})
