@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, written
 
-#: Bits a listed key gets, and the most blocks (of 32 bytes) a broadcast filter has: 32 MB.
+#: Bits a listed key gets, and the most blocks a broadcast filter has: 32 MB of bits, some 150 MB as a table of rows that Spark joins by hash.
 BITS_PER_KEY, MAX_BLOCKS, PROBES = 24, 1 << 20, 8
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -79,7 +79,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     A rule fits its host and subdomains when the path starts with the rule's; the longest host + path
     wins, ties to the smaller rule string, then the smaller verdict. A url that no rule fits, a null or
     an empty one gets `default` and a null rule. A list of plain canonical URLs is a rule table whose
-    paths are whole. Rules with a null host or path are left out; repeated pages keep all their rows.
+    paths are whole. Rules with a null host or path are left out; no rules, or no pages, are fine; repeated
+    pages keep all their rows; urls of any length are read whole; other columns are ignored.
     """
     listed = rules.where("host IS NOT NULL AND path IS NOT NULL").select(ascii_lower(F.col("host")).alias("host"), "path", "verdict")
     listed = listed.withColumn("key", F.concat("host", F.lit("\n"), "path")).groupBy("key").agg(
@@ -100,7 +101,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         rule = F.concat("r_host", "r_path")
         best = F.min_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct((-F.length(rule)).alias("long"), rule.alias("rule")))
         ruled = hits.join(listed, "key").groupBy("host", "path").agg(best.alias("best"))
-        ruled = ruled.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-        urls = urls.join(ruled, (urls.host == ruled.b_host) & (urls.path == ruled.b_path), "left")
-        return urls.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        # a table, not an aggregate: Spark splits the partition of a url that many pages have only then
+        ruled = written(ruled.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best"), "ruled")
+        none = urls.where("host = ''").select("*", F.lit(None).cast(ruled.schema["best"].dataType).alias("best"))  # no rule fits; they needn't join
+        some = urls.where("host <> ''")
+        some = some.join(ruled, (some.host == ruled.b_host) & (some.path == ruled.b_path), "left").select("page_id", "host", "path", "best")
+        return none.unionByName(some).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
