@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import dropped, new_path, written
 from .textarrays import text_slices
 from .url_filter import bloom_blocks, blocked_bloom, possible_hits
 
-BLOCK_BYTES, CHUNK_BYTES, FILE_BYTES, HEADER_BYTES = 1 << 18, 1 << 16, 1 << 27, 1 << 16
+BLOCK_BYTES, CHUNK_BYTES, FILE_BYTES = 1 << 18, 1 << 16, 1 << 27
 DATE = "2000-01-01T00:00:00Z"
 CHUNKS = "page_id long, chunk_no int, chunk binary, running_sha1 string, bytes_so_far long, is_last boolean, record_type string, refers_to long, payload_bytes long, payload_digest string, target_uri string"
 
@@ -33,7 +33,7 @@ def digest(sha: bytes) -> str:
     return base64.b32encode(sha).decode()
 
 
-def _head(kind: str, page_id, url, size: int, sha: str, refers_to, block: int) -> bytes:
+def _head(kind: str, page_id, url, sha: str, refers_to, block: int) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
     lines += [f"WARC-Target-URI: {re.sub('[\x00-\x20]+', '%20', url)}"] if url else []
     if kind == "revisit":
@@ -47,6 +47,8 @@ def _http(size: int) -> bytes:
 
 
 def _write_task(folder: str):
+    """(page_id, url, payload, refers_to, size, sha): a revisit has no payload here, but its size and hexadecimal SHA-1."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
@@ -54,19 +56,19 @@ def _write_task(folder: str):
         fs.create_dir(at, recursive=True)
         out, name, records, size, done = None, "", 0, 0, []
         for batch in batches:
-            ids, urls, refers = (batch.column(c).to_pylist() for c in (0, 1, 3))
+            ids, urls, refers, sizes, shas = (batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5))
             for lo, _, data, offsets in text_slices(batch.column(2)):
                 for i in range(len(offsets) - 1):
                     payload = memoryview(data)[offsets[i] : offsets[i + 1]]
-                    sha, row = digest(hashlib.sha1(payload).digest()), lo + i
+                    row, body = lo + i, len(payload)
                     kind = "response" if refers[row] is None else "revisit"
-                    http = _http(len(payload))
-                    body = len(payload) if kind == "response" else 0
+                    sha = digest(hashlib.sha1(payload).digest() if kind == "response" else bytes.fromhex(shas[row]))
+                    http = _http(body if kind == "response" else sizes[row])
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out, records, size = fs.open_output_stream(f"{at}/{name}", compression=None), 0, 0
                     member = zlib.compressobj(3, wbits=31)
-                    size += out.write(member.compress(_head(kind, ids[row], urls[row], len(payload), sha, refers[row], len(http) + body) + http))
+                    size += out.write(member.compress(_head(kind, ids[row], urls[row], sha, refers[row], len(http) + body) + http))
                     for a in range(0, body, BLOCK_BYTES):
                         size += out.write(member.compress(payload[a : a + BLOCK_BYTES]))
                     size += out.write(member.compress(b"\r\n\r\n") + member.flush())
@@ -90,20 +92,35 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     A record for each row; a null payload is an empty one. Of equal payloads of at least least_bytes bytes,
     that with the largest id is the response and the others revisit it. Rows with that id are all
-    responses. Rows with a null id and a payload that others have revisit those, if any has an id.
+    responses. Rows with a null id and a payload that others have revisit those, if any has an id. Payloads
+    are equal if their size and SHA-256 are. Urls of any length are kept whole, with %20 for control
+    characters and spaces. No pages give no archives; other columns, whatever their names, are ignored.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "utf-8")).alias("sha"))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    groups = written(groups.where("n > 1 AND original IS NOT NULL").select("sha", "original"), "groups")
-    # only payloads that may have equals are shuffled
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "key": F.unhex(F.sha2("payload", 256))})
+    groups = rows.where(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 AND original IS NOT NULL").select("key", "original"), "groups")
     blocks = bloom_blocks(groups.count())
-    told = possible_hits(rows, "sha", blocked_bloom(groups, "sha", blocks), blocks, keep=True)
-    alone = told.where("NOT maybe").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    equal = told.where("maybe").select("page_id", "url", "payload", "sha").join(groups, "sha", "left")
-    original = F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
-    both = alone.unionByName(equal.select("page_id", "url", "payload", original.alias("refers_to")))
-    return written(both.mapInArrow(_write_task(folder or new_path(pages.sparkSession, "warc")), "path string, records long, bytes long"), "archives")
+    told = possible_hits(rows, "key", blocked_bloom(groups, "key", blocks), blocks, keep=True)
+    no_ref, no_sha = F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("sha")
+    alone = told.where("NOT maybe").select("page_id", "url", "payload", no_ref, "size", no_sha)
+    # rows that may have equals are decided without their payloads
+    maybe = told.where("maybe")
+    small = maybe.select("page_id", "url", "size", "key", F.sha1(F.encode("payload", "utf-8")).alias("sha")).join(groups, "key", "left")
+    small = written(small, "decided")
+    revisits = small.where("original IS NOT NULL AND NOT (original <=> page_id)")
+    revisits = revisits.select("page_id", "url", F.lit(None).cast("string").alias("payload"), F.col("original").alias("refers_to"), "size", "sha")
+    # and only payloads of responses among them are shuffled
+    name = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.hex("key")).alias("name")
+    needed = written(small.where("original IS NULL OR original <=> page_id").select(name).distinct(), "needed")
+    blocks = bloom_blocks(needed.count())
+    full = possible_hits(maybe.drop("maybe").withColumn("name", name), "name", blocked_bloom(needed, "name", blocks), blocks)
+    full = full.join(needed, "name", "left_semi").select("page_id", "url", "payload", no_ref, "size", no_sha)
+    both = alone.unionByName(revisits).unionByName(full)
+    out = written(both.mapInArrow(_write_task(folder or new_path(pages.sparkSession, "warc")), "path string, records long, bytes long"), "archives")
+    dropped(groups, small, needed)
+    return out
 
 
 class _Members:
@@ -127,9 +144,9 @@ class _Members:
                 return True
 
     def head(self) -> tuple[str, dict[str, str]] | None:
-        while (end := self.held.find(b"\r\n\r\n")) < 0:
-            if len(self.held) > HEADER_BYTES:
-                raise ValueError("no end of a header")
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.held) - 3)
             if not self.fill():
                 if self.held:
                     raise ValueError("a record is cut off")
@@ -201,7 +218,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     A revisit is one row without bytes; its size and digest are those of the payload it refers to. An
     empty payload is one empty chunk. Files and chunks of any size are streamed; a file cut off, or a
-    payload that doesn't have its digest, is an error.
+    payload that doesn't have its digest, is an error. A header is held whole: it is as long as its url.
     """
     paths = archives.select("path")
     return paths.repartition(max(1, paths.count())).mapInArrow(_read_task, CHUNKS)
