@@ -3,9 +3,14 @@
 The two halves of a vector are quantised separately; a pair of centroids is a cell. A query walks the
 pairs in the order of its summed distance to them, by the multi-sequence algorithm with a heap, until the
 cells hold enough entries, and these are reranked by the exact distance. Centroids are fitted on a bounded
-sample; every row is indexed. Entries are dealt to blocks by the first centroid, in parts of about
-BLOCK_ROWS, and a query is sent once to each block it has a cell in, so a cell with a third of all rows is
-many tasks' work, and what is shuffled is not a row for each candidate.
+sample; every row is indexed. How many entries are enough is measured: the true neighbours of a bounded
+sample of the queries are found by one scan of all entries, and the walk goes as far as it must to reach a
+share of TARGET of them. With clusters that is a small part of the entries; vectors without structure need
+more than half of them, whatever the index.
+
+Entries are dealt to blocks by the first centroid, in parts of about BLOCK_ROWS, and a query is sent once to
+each block it has a cell in, so a cell with a third of all rows is many tasks' work, and what is shuffled is
+not a row for each candidate. A block is copied once for each QUERY_ROWS queries that walk into it.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .shared import written
 #: Rows that the centroids are fitted on (those with the smallest hashes of their ids), and the most centroids of a half.
 SAMPLE_ROWS, MOST_CENTROIDS = 20_000, 256
 CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 50, 4096, 2048
+#: Queries (with the smallest hashes of their ids) whose true neighbours are found by a scan, and the part of them that the walk must reach.
+TRIAL_QUERIES, TARGET = 128, 0.96
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -96,6 +103,47 @@ def _walk_task(known, dims: int, enough: int):
     return task
 
 
+def _trial_task(trial, dims: int, top: int):
+    """(trial, score, vec_id, i, j): each trial query's nearest among the entries of a task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = trial.value
+        best: list[np.ndarray] = [np.zeros((0, 4))] * len(names)
+        for batch in batches:
+            if len(batch):
+                x, ids, i, j = _matrix(batch.column(1), dims), *(batch.column(c).to_numpy() for c in (0, 2, 3))
+                for q, (name, vector) in enumerate(zip(names, asked, strict=True)):
+                    score = ((x - vector) ** 2).sum(axis=1)
+                    near = np.flatnonzero(ids != name)
+                    near = near[np.argpartition(score[near], top - 1)[:top]] if len(near) > top else near
+                    held = np.concatenate([best[q], np.column_stack([score[near], ids[near], i[near], j[near]])])
+                    best[q] = held[np.argsort(held[:, 0], kind="stable")[:top]]
+        found = np.concatenate(best) if best else np.zeros((0, 4))
+        trial_of = np.repeat(np.arange(len(best)), [len(b) for b in best])
+        yield pa.record_batch([pa.array(trial_of, pa.int32()), pa.array(found[:, 0]), *(pa.array(found[:, c].astype(np.int32)) for c in (2, 3))], ["trial", "score", "i", "j"])
+
+    return task
+
+
+def enough_entries(entries: DataFrame, asked: DataFrame, one: np.ndarray, two: np.ndarray, counts: np.ndarray, top: int, target: float) -> int:
+    """Entries a query must rerank so that, of the true neighbours of TRIAL_QUERIES queries, a share of target is among them."""
+    dims = one.shape[1] + two.shape[1]
+    sample = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIAL_QUERIES).collect()
+    if not sample:
+        return 1
+    x = np.array([r["vector"] for r in sample], np.float64)
+    trial = asked.sparkSession.sparkContext.broadcast(([r["query_id"] for r in sample], x))
+    near = entries.mapInArrow(_trial_task(trial, dims, top), "trial int, score double, i int, j int")
+    rank = F.row_number().over(Window.partitionBy("trial").orderBy("score", "i", "j"))
+    near = near.withColumn("n", rank).where(F.col("n") <= top).collect()  # top rows for each trial query
+    needs = []
+    for q in range(len(x)):
+        cells = walk(((one - x[q, : dims // 2]) ** 2).sum(axis=1), ((two - x[q, dims // 2 :]) ** 2).sum(axis=1), counts, int(counts.sum()))
+        reach = dict(zip(cells, np.cumsum([counts[c] for c in cells]).tolist(), strict=True))
+        needs += [reach[r["i"], r["j"]] for r in near if r["trial"] == q]
+    return int(np.quantile(needs, target, method="higher")) if needs else 1
+
+
 def _rerank(dims: int, top: int, cells: int):
     def block(key, entries: pa.Table, queries: pa.Table) -> pa.Table:
         out = ([], [], [])
@@ -121,13 +169,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(double, lambda v: v != 0), F.lit(False))
 
 
-def search(table: DataFrame, queries: DataFrame, top: int = 10, share: float = 0.7, least: int = 4000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, top: int = 10, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """table, queries -> (query_id, rank, vec_id, score): each query's `top` nearest of table by Euclidean distance.
 
-    A query reranks at least `least` entries and at least `share` of all: vectors without structure, as
-    here, need most cells for a recall of 0.9; with clusters far less does. Rows of the query's own id
-    are no candidates. Ties go to the smaller id. Unusable vectors, null ids and vectors of another
-    length than most have take no part; a query with fewer candidates than `top` gets all of them.
+    A query reranks as many entries as a trial (see enough_entries) needed for a recall of `target`, and at least
+    `top` of them. Rows of the query's own id are no candidates. Ties go to the smaller id. Unusable vectors
+    (null, zero, with null or non-finite components), null ids and vectors of another length than most have
+    take no part; a query with fewer candidates than `top` gets all of them; no vectors give no rows.
+    Repeated rows are candidates as often; other columns are ignored.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
@@ -150,13 +199,14 @@ def search(table: DataFrame, queries: DataFrame, top: int = 10, share: float = 0
 
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector"))
     asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == dims))
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
+    enough = max(2 * top, enough_entries(entries, asked, one, two, counts, top, target))
     index = spark.sparkContext.broadcast((one, two, counts))
-    probes = asked.mapInArrow(_walk_task(index, dims, max(least, int(np.ceil(share * total)))), f"query_id long, vector {kind}, i int, js array<int>")
-    salts = F.array(*(F.lit(max(1, -(-int(n) // BLOCK_ROWS))) for n in counts.sum(axis=1)))
-    salt = F.get(salts, F.col("i"))
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), salt - 1)))
-    spread = entries.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    probes = written(asked.mapInArrow(_walk_task(index, dims, enough), f"query_id long, vector {kind}, i int, js array<int>"), "probes")
+    walked = {r["i"]: r["count"] for r in probes.groupBy("i").count().collect()}  # at most MOST_CENTROIDS rows
+    each = lambda sizes, most: F.get(F.array(*(F.lit(-(-int(n) // most)) for n in sizes)), F.col("i"))
+    salt, part = each(counts.sum(axis=1), BLOCK_ROWS), each([walked.get(i, 0) for i in range(len(one))], QUERY_ROWS)
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), part).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), salt - 1)))
+    spread = entries.where(part > 0).withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), part - 1)))
     near = spread.groupBy("i", "salt", "part").cogroup(probes.groupBy("i", "salt", "part")).applyInArrow(_rerank(dims, top, len(two)), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
