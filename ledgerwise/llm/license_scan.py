@@ -36,19 +36,49 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
 ]
+#: SPDX identifiers, and names as notices give them. Fixed values.
+IDS = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 "
+    "GPL-1.0-only GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later "
+    "MIT MIT-0 MPL-1.1 MPL-2.0 PSF-2.0 Unlicense WTFPL Zlib").split()
+NAMES = [
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("EPL-2.0", "Eclipse Public License, version 2.0"), ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"), ("ISC", "ISC License"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("Unlicense", "Unlicense"), ("Zlib", "zlib License"),
+]
+PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+TEMPLATES += [(x.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {x}") for x in IDS]
+TEMPLATES += [(x, f"{how} the {name}") for x, name in NAMES for how in ("Licensed under", "This work is licensed under", "Released under")]
+TEMPLATES += [(f"CC-{x}-{v}", text) for v in ("4.0", "3.0") for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for text in (
+    f"SPDX-License-Identifier: CC-{x}-{v}", f"Licensed under CC {x} {v}",
+    f"This work is licensed under a Creative Commons {'-'.join(PARTS[p] for p in x.split('-'))} {v} International License")]
+TEMPLATES += [
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
 #: (licence, header). The headers that the licences' own appendices give. For comments and whole files.
+_GNU = "This {0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{4} either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with this {0}. If not, see http://www.gnu.org/licenses/."
 HEADERS = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2", ";", ";")),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3", ":", ",")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1", ";", ";")),
+    ("LGPL-3.0", _GNU.format("program", "Lesser General Public License", "3", ":", ",")),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", "3", ":", ",")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
+#: The numbers of a template of fewer terms must be in what matches it, so one version isn't taken for another.
+NUMBERED = 150
+#: Terms of the heads of licence texts that are templates, too.
+HEADS = (50, 150)
 #: A line of a comment, and comments between delimiters.
 COMMENT_LINE = r"[ \t]*+(?://|/\*|\*|#|--|;|%|<!--)"
 COMMENT = r'(?s)/\*.*?\*/|<!--.*?-->|""".*?"""'
 #: A term is common if one of so many files has it; a corpus has at most so many times a file's terms of these.
 COMMON = 1000
-#: Templates are held by every task, as many as this at most.
-MOST_TEMPLATES = 10_000
+#: Weights of templates (a row for each term of each) are broadcast up to so many rows, and beyond joined by a shuffle.
+MOST_WEIGHTS = 200_000
 LICENSE_FILE = r"(?i)^(license|licence|copying)([.-][a-z0-9.]+)?$"
 LEAST = 0.7
 
@@ -65,8 +95,16 @@ def terms_of(text: str) -> list[str]:
 
 
 def full_texts() -> list[tuple[str, str]]:
-    """(licence, text) of the headers and of the files in `licenses`, for comments and whole files."""
-    return HEADERS + [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt"))]
+    """(licence, text) of the headers, the files in `licenses` and their heads, for comments and whole files."""
+    files = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt"))]
+    heads = [(name, " ".join(terms_of(text)[:n])) for name, text in files for n in HEADS if len(terms_of(text)) > 2 * n]
+    return HEADERS + files + heads
+
+
+def numbers(text: str) -> int:
+    """How many numbers a match must have: the distinct ones of a short template."""
+    terms = terms_of(text)
+    return len({t for t in terms if t.isdigit()}) if len(terms) < NUMBERED else 0
 
 
 def template_weights(templates: Iterable[tuple[str, str]], idf: dict[str, float], least: float) -> tuple[list[tuple[str, int, str, float]], set[str]]:
@@ -90,9 +128,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
 
     how: `own` (a line of the file, or a licence file itself), `inherited` (from_path is the licence file)
     or null. score: cosine with the best template, at `least` or more; ties go to the first licence by
-    name. Of several licence files in one directory the best score counts, then the smaller path. A null
+    name. A match has all numbers of a template of fewer than NUMBERED terms. Of several licence files in one directory the best score counts, then the smaller path. A null
     or empty text has no licence of its own; a null path inherits nothing. Rows with the same path and
-    text get the same result; other columns are ignored. Lines and texts of any length are read whole.
+    text get the same result; no files give no rows; other columns, whatever their names, are ignored. Lines and
+    texts of any length are read whole.
     texts: long templates, compared with whole licence files and comments, not with single lines.
     corpus_idf: document frequencies of all terms, not of the templates' alone. comments: a file's comments
     are segments, each run of comment lines, each part of one between empty lines, and each delimited comment.
@@ -100,8 +139,6 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
     texts = texts or []
-    if len(templates) + len(texts) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
     known = sorted({t for _, text in [*templates, *texts] for t in terms_of(text)})
@@ -117,7 +154,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     other = math.log(1 + total) + 1
     weights, needed = template_weights(templates, idf, least)
     long, needed_long = template_weights(texts, idf, least)
+    least_numbers = [numbers(text) for _, text in [*templates, *texts]]
     weights = [(*w, False) for w in weights] + [(name, n + len(templates), t, part, True) for name, n, t, part in long]
+    weights = [(*w, least_numbers[w[1]], bool(least_numbers[w[1]]) and w[2].isdigit()) for w in weights]
     must, must_long = (F.array(*map(F.lit, sorted(x))).cast("array<string>") for x in (needed, needed | needed_long))
 
     # segments that may match: (path, tag, line), line 0 is the whole text of a licence file, a line below 0 a comment
@@ -148,8 +187,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
         weight = F.coalesce("idf", F.lit(other))
     terms = written(terms.select(*key, "term", (F.col("tf") * weight).alias("w")), "terms")
     norms = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = spark.createDataFrame(weights, "license string, template int, term string, part double, long boolean")
-    dots = terms.join(F.broadcast(weights), "term").where("line <= 0 OR NOT long").groupBy(*key, "license", "template").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    few = len(weights) <= MOST_WEIGHTS
+    weights = spark.createDataFrame(weights, "license string, template int, term string, part double, long boolean, numbers int, number boolean")
+    dots = terms.join(F.broadcast(weights) if few else weights, "term").where("line <= 0 OR NOT long").groupBy(*key, "license", "template").agg(
+        F.sum(F.col("w") * F.col("part")).alias("dot"), F.count_if("number").alias("held"), F.max("numbers").alias("numbers")).where("held = numbers")
     same = [dots[c].eqNullSafe(norms[c]) for c in key]
     scored = dots.join(norms, same[0] & same[1] & same[2]).select(dots["path"], dots["tag"], "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     own = scored.groupBy("path", "tag").agg(F.max("score").alias("score"), F.min_by("license", F.struct((-F.col("score")).alias("s"), "license")).alias("license"))

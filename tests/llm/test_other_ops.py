@@ -149,7 +149,8 @@ def brute_scan(rows, least):
             for lic, notice in templates:
                 t = vector(license_scan.terms_of(notice))
                 cos = round(sum(w * t.get(k, 0) for k, w in v.items()) / (norm(v) * norm(t)), 6) if v else 0
-                if cos >= least:
+                held = {x for x in license_scan.terms_of(notice) if x.isdigit()} <= v.keys()
+                if cos >= least and held:
                     own[i] = min(own.get(i, (0, "z", "")), (-cos, lic, path or ""))
     files = {}
     for i, path, _ in rows:
@@ -204,6 +205,37 @@ def test_license_query_weighs_all_terms(spark, tmp_path):
     assert {d: x for d, x in got.items() if x[0]} == want
 
 
+def test_license_versions_and_families(spark, tmp_path):
+    """Notices that differ by a version or a clause, SPDX tags, and heads of licence files, in the query itself."""
+    from ledgerwise.llm import queries
+
+    full = dict(license_scan.full_texts()[len(license_scan.HEADERS) :])
+    files = {p.stem: p.read_text() for p in sorted(license_scan.Path(license_scan.__file__).with_name("licenses").glob("*.txt"))}
+    assert set(files) == set(full)
+    probes = [
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("Licensed under the GNU General Public License, version 3", "GPL-3.0"),
+        ("Licensed under the GNU General Public License, version 1", None), ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: MIT", "MIT"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("// SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY 3.0", "CC-BY-3.0"), ("Released under the ISC License", "ISC"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "ISC"),
+        ("Released under the MIT License.", "MIT"), ("Licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"), ("words about nothing of the kind", None)]
+    rows = [(1001 + i, text, "a") for i, (text, _) in enumerate(probes)]
+    want = {1001 + i: name for i, (_, name) in enumerate(probes)}
+    for n, (name, text) in enumerate(files.items()):
+        for m, part in enumerate([text, text[:700], text[:1500]] if len(text) > 5000 else [text]):
+            rows.append((100 * (100 + 3 * n + m), part, f"f{n}-{m}"))
+            want[rows[-1][0]] = name
+    header = license_scan._GNU.format("program", "General Public License", "2", ";", ";")
+    rows.append((5001, "/*\n * " + "\n * ".join(header[i : i + 80] for i in range(0, len(header), 80)) + "\n */\nint x;", "c"))
+    want[5001] = "GPL-2.0"
+    rng = random.Random(1)
+    rows += [(200_001 + i, " ".join(rng.choices("you may not use this file the of a to under public work general version free software".split(), k=50)) + f" w{i}", "z") for i in range(300) if (i + 1) % 100]
+    want |= dict.fromkeys((r[0] for r in rows if r[0] > 200_000), None)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.license for r in queries.op6_license_scan(spark, str(tmp_path)).collect()}
+    assert {d: x for d, x in got.items() if x != want[d]} == {}
+
+
 def test_shards(spark):
     rng = random.Random(7)
     texts = [f"text {rng.randint(0, 40)}" for _ in range(500)] + ["hot"] * 300 + [None, "", "é"]
