@@ -5,7 +5,9 @@ a zero: hashed letter trigrams weigh the log ratio of their smoothed frequencies
 counts come from all labelled documents, summed per task and language; the model has a fixed number of
 rows. A text's margin per bit is its mean weight, in units of the margin expected of such texts. Decoding
 takes the codeword with the least loss, each bit weighted by how well its groups can be told apart, and
-flags a text as ambiguous when the second codeword is almost as near.
+flags a text as ambiguous when the second codeword is almost as near. The decoded language must also know
+the text: `known` is the part of its trigrams that this language's training texts have. A language that
+nobody taught has few of them, whatever codeword comes nearest.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SMOOTHING, STEEPNESS = 0.5, 3.0
 #: A text is ambiguous if the second-best codeword gets more than this part of the best one's probability.
 AMBIGUOUS = 0.5
 UNKNOWN = "und"
+#: A text with at least so many trigrams, of which the decoded language knows less than this part, is in none of the languages.
+FOREIGN_GRAMS, FOREIGN_SHARE = 20, 0.3
 
 #: Letters of any script (bytes from 0x80 are parts of other letters) as lower case, all else a space.
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in LOWER], np.uint8)
@@ -97,6 +101,7 @@ class Model:
             scales.append(((one - zero) * ratio).sum() / 2)
         self.weights = np.array(weights, np.float32).reshape(-1, CELLS)
         self.scales = np.maximum(np.array(scales), 1e-9)
+        self.seen = np.array([counts[x] > 0 for x in self.languages]).reshape(-1, CELLS)
         self.trust = self.scales / self.scales.sum() * len(scales) if scales else np.zeros(0)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -109,8 +114,15 @@ class Model:
             out[:, bit] = np.diff(total[seen]) / n / self.scales[bit]
         return out
 
+    def familiar(self, data: np.ndarray, offsets: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(trigrams, part of them that the language has) of each row; 1 for a row without any."""
+        cell, real = _trigrams(data, offsets)
+        hit = self.seen[np.repeat(best, np.diff(offsets)), cell] & real
+        n, k = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (real, hit))
+        return n, np.divide(k, n, out=np.ones(len(n)), where=n > 0)
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the language, probability, ambiguous) of each row."""
+        """(index of the language, probability, ambiguous) of each row. Ties go to the first language by name."""
         if len(self.languages) == 1:
             return np.zeros(len(margins), int), np.ones(len(margins)), np.zeros(len(margins), bool)
         loss = np.logaddexp(0, -STEEPNESS * margins[:, None, :] * self.code[None, :, :]) @ self.trust
@@ -142,12 +154,14 @@ def _predict_task(model):
                 known = letters[lo:hi]
                 if found.languages:
                     best, chance, unsure = found.decode(found.margins(data, offsets))
+                    grams, part = found.familiar(data, offsets, best)
+                    foreign = (grams >= FOREIGN_GRAMS) & (part < FOREIGN_SHARE) & known
                 else:
-                    best, chance, unsure, known = np.zeros(n, int), np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
+                    best, chance, unsure, known, foreign = np.zeros(n, int), np.zeros(n), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
                 names = [found.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(names, pa.string()), pa.array(np.where(known, chance, 0.0)), pa.array(unsure & known), *(x.slice(lo, n) for x in batch.columns[4:])],
-                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *(f"keep{i}" for i in range(batch.num_columns - 4))])
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(names, pa.string()), pa.array(np.where(known, chance, 0.0)), pa.array(unsure & known), pa.array(foreign), *(x.slice(lo, n) for x in batch.columns[4:])],
+                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous", "foreign", *(f"keep{i}" for i in range(batch.num_columns - 4))])
 
     return lean(task)
 
@@ -158,12 +172,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, train_on: Column | None = None, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), letter: str | None = None) -> DataFrame:
-    """documents -> (doc_id, held_out, lang_pred, score, ambiguous, *keep), a row for each row.
+    """documents -> (doc_id, held_out, lang_pred, score, ambiguous, foreign, *keep), a row for each row.
 
     Learns from text and lang of the rows where train_on holds (default: not held_out) and lang isn't
     null; predicts from the text alone. A null text, or one without a letter, is `und` with score 0, and
     so is every text if there is nothing to learn from. With one language that is the answer, score 1.
-    Very long texts are read whole. A null id counts as held out. Columns named in keep are handed on; others are ignored.
+    foreign: the decoded language doesn't know the text (see above); lang_pred is the nearest one nonetheless.
+    Very long texts are read whole. A null id counts as held out. Repeated rows are rows as any other, in training
+    too. An empty table gives an empty one. Columns named in keep are handed on; others are ignored.
     letter: name of one more column, true for texts with a letter whatever their label is.
     """
     train_on = ~held_out(F.col(id_col)) if train_on is None else train_on
@@ -175,5 +191,5 @@ def identify(docs: DataFrame, train_on: Column | None = None, model: Model | Non
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"), has_letter.alias("letter"), *(c.alias(f"keep{i}") for i, c in enumerate(kept.values())))
     kind = rows.schema["doc_id"].dataType.simpleString()
     more = "".join(f", keep{i} {rows.schema[f'keep{i}'].dataType.simpleString()}" for i in range(len(kept)))
-    out = rows.mapInArrow(_predict_task(known), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean{more}")
+    out = rows.mapInArrow(_predict_task(known), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean, foreign boolean{more}")
     return out.withColumnsRenamed({f"keep{i}": c for i, c in enumerate(kept)})

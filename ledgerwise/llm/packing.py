@@ -34,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encoder(path: str):
     """A byte-level BPE of a tokenizers file as a tiktoken encoding: the same ids, several times faster.
 
-    Ids are the merges' ranks in such files. encode_ordinary takes strings of added tokens as text.
+    Ids are the merges' ranks in such files. encode_ordinary takes strings of added tokens as text; see ids_of.
     """
     import tiktoken
 
@@ -58,13 +58,13 @@ def added_tokens(path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in _file(path).get("added_tokens", [])}
 
 
-def ids_of(path: str, added: bool):
-    """text -> ids. added: as the tokenizer is when loaded, an added token's string in a text is that token.
+def ids_of(path: str):
+    """text -> ids, as the tokenizer gives them when loaded: an added token's string in a text is that token.
 
     Texts are split at added tokens, the longest first, and what lies between is split and merged alone.
     """
     code, known = encoder(path), added_tokens(path)
-    if not added or not known:
+    if not known:
         return code.encode_ordinary
     if any(x.get(flag) for x in _file(path)["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that depend on their neighbours aren't known here")
@@ -126,9 +126,9 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _token_task(path: str, end_id: int, length: int, added: bool):
+def _token_task(path: str, end_id: int, length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, encode = encoder(path), ids_of(path, added)
+        code, encode = encoder(path), ids_of(path)
         kind = np.uint16 if max(code.n_vocab, end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(2)):
@@ -172,20 +172,19 @@ def _piece_task(length: int, streams: int, wide: bool):
     return lean(task)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     A document is its text's ids by the tokenizer file, which every executor has at this path, and end_id.
-    added: strings of the file's added tokens are those tokens, as in the tokenizer as loaded, which the
-    contract's queries ask for; without it they are ordinary text (encode_special_tokens=True).
-    A null text is an empty one: one id. Every id lies in exactly one piece, at `offset` of its sequence;
+    Strings of the file's added tokens in a text are those tokens, as in the tokenizer as loaded. A null text is an empty one: one id. Every id lies in exactly one piece, at `offset` of its sequence;
     sequence_id goes from 0 without gaps. Repeated rows and null or repeated ids are documents of their
-    own. An empty table gives no pieces. Other columns are ignored.
+    own. An empty table gives no pieces. Other columns are ignored. Texts of any length are read whole, one at
+    a time; documents whose keys tie lie in the order of the table.
     """
     # the row numbers are written with the rows, so they hold whatever is read again
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tokens = written(rows.mapInArrow(_token_task(tokenizer, end_id, length, added), f"uid long, doc_id {kind}, curve long, doc_tokens long, wholes array<long>, rest binary"), "tokens")
+    tokens = written(rows.mapInArrow(_token_task(tokenizer, end_id, length), f"uid long, doc_id {kind}, curve long, doc_tokens long, wholes array<long>, rest binary"), "tokens")
     small = tokens.select("uid", "curve", (F.col("doc_tokens") % length).alias("r"), F.size("wholes").cast("long").alias("m"))
     line = written(small.repartitionByRange("curve", "uid").withColumn("part", F.spark_partition_id()), "line")
     parts = line.groupBy("part").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))  # a row for each partition

@@ -30,7 +30,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1, added=True)
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous", "foreign")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

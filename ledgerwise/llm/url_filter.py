@@ -64,7 +64,10 @@ def possible_hits(probes: DataFrame, key_col: str, bloom: DataFrame, blocks: int
 
 
 def without(rows: DataFrame, listed: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose id isn't in listed(id); only possible hits of the list's Bloom filter are shuffled. Null ids stay."""
+    """Rows whose id isn't in listed(id); only possible hits of the list's Bloom filter are shuffled. Null ids stay.
+
+    The column of rows may be of any kind that can be hashed: where ids may be null or repeated, a digest of the text.
+    """
     keys = written(listed.where("id IS NOT NULL").select("id").distinct(), "listed")
     blocks = bloom_blocks(keys.count())
     told = possible_hits(rows, id_col, blocked_bloom(keys, "id", blocks), blocks, keep=True)

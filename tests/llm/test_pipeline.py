@@ -62,6 +62,43 @@ def test_pipeline(spark, tmp_path):
     assert tokens == want
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def test_language_stage_rejects_languages_that_nobody_taught(spark):
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    taught = ["".join(rng.choices(LETTERS, k=5)) for _ in range(200)]
+    rows = [(d, " ".join(rng.choices(taught, k=30)), "en", "s", 1) for d in range(60)]
+    rows += [(100, "Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства", None, "s", 1), (101, "мощный", None, "s", 1), (None, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", None, "s", 1), (102, " ".join(taught[:30]), None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.identified(spark, docs, "").collect()} == {*range(60), 101, 102}
+
+
+def test_stages_on_null_and_repeated_ids_more_columns_and_empty_tables(spark, tmp_path):
+    """Contaminated rows go by their own text; clashing names are handed on; nothing in, nothing out."""
+    import corpus_pipeline as cp
+
+    leak = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, owner string, id long, block int, kept boolean, n_removed int, foreign string"
+    row = lambda d, t, n=0: (d, t, "en", "s", len(t or ""), 0.5, "o", 7, 1, False, n, "f")
+    clean = " ".join(f"clean{i}" for i in range(40))
+    rows = [row(1, f"x {leak} y"), row(None, f"x {leak} y"), row(2, clean), row(2, f"z {leak}"), row(None, "quiet words of no other row", 5), row(3, "quiet words of no other row", 6)]
+    docs = spark.createDataFrame(rows, schema)
+    left = cp.decontaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if leak not in r.text)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns and out.count() >= 2 and all(r.foreign == "f" and r.score == 0.5 for r in out.collect()), name
+
+
 @pytest.mark.parametrize("lang", ["nothing", "all held out", "und"])
 def test_language_stage_keeps_documents_with_letters(spark, lang):
     """With no label to learn from, or one that is `und`, only documents without a letter go."""

@@ -144,7 +144,6 @@ def test_packing(spark):
 
     rows = [*corpus(60), (60, "long " * 3000), (60, "twice"), (None, "<|endoftext|> it's 12 !?\n\n  x")]
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     ids = sorted(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in rows)
     for length in (64, 2048):
         got = packing.pack(table(spark, rows), P.path("byte_bpe_50k.json"), length).toPandas()
@@ -165,6 +164,37 @@ def test_packing(spark):
             assert (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all()
 
 
+def test_ids_are_the_tokenizers_own():
+    """On random strings of letters, marks, spaces, controls and added tokens."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    loaded, encode = Tokenizer.from_file(path), packing.ids_of(path)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|", "|>", "'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2028", "\u3000", "\x00", "\x1c", "\x85", "é", "e\u0301", "ß", "中文", "😀", "०१", "²", "½", "_", "-", "12", "9", "a", "The", " the", "x" * 40, "ﬁ", "\u200b", "ي", "א"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert encode(text) == loaded.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_sequences_follow_the_curve(spark):
+    """Whole sequences and remainders are numbered in the order of the documents' keys on the curve."""
+    P = pytest.importorskip("public_tokenizers")
+    rows = [(d, t) for d, t in corpus(80, seed=5) if t] + [(500 + i, f"w{i} " * 300) for i in range(5)]
+    key = {}
+    for d, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        key[d] = int(packing.curve_keys(data, np.array([0, len(data)]))[0])
+    got = packing.pack(table(spark, rows).repartition(4), P.path("byte_bpe_50k.json"), 64).toPandas()
+    whole = got[got.length == 64].sort_values(["sequence_id"])
+    whole = whole[(whole.offset == 0) & (whole.start % 64 == 0)]
+    rest = got[(got.start + got.length == got.doc_tokens) & (got.doc_tokens % 64 > 0)].sort_values(["sequence_id", "offset"])
+    for part in (whole, rest):
+        keys = [key[d] for d in part.doc_id]
+        assert keys == sorted(keys) and len(set(keys)) > 3
+
+
 def test_added_tokens_as_the_tokenizer_is_loaded(spark, tmp_path):
     """op4's ids against the library's own, whose added token is one id wherever a text holds it."""
     P = pytest.importorskip("public_tokenizers")
@@ -209,6 +239,60 @@ def test_language_id(spark):
     assert [got[d].lang_pred for d in (900, 901, 902, 903, None, 904)] == ["und", "und", "und", "aa", "bb", "ee"]
 
 
+def test_language_id_equals_plain_python(spark):
+    """Training and decoding, written out letter by letter."""
+    import math
+
+    rng = random.Random(15)
+    words = {"aa": ["bana", "kolo", "mira"], "bb": ["strutz", "gern", "bana"], "cc": ["ouiè", "éaux", "mira"], "dd": ["xyqa", "kolo", "qoph"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(1, 9))) + rng.choice(["", ".", " 12 "]), k) for i, k in enumerate(rng.choices(sorted(words), k=120))]
+    rows += [(300, "Zzyzx " * 12, None), (301, "a", None), (302, "bana bana", "aa"), (302, "bana bana", "aa"), (303, "быстрая лиса прыгает", None), (304, "éa", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def cells(text):
+        raw = [32, 32, *(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())]
+        out = []
+        for x in zip(raw, raw[1:], raw[2:], strict=False):
+            code = x[0] << 16 | x[1] << 8 | x[2]
+            mixed = (code * 0x9E3779B1 & 0xFFFFFFFF) ^ (code >> 7)
+            out += [(mixed * 0x85EBCA6B & 0xFFFFFFFF) >> 16] if code != 0x202020 else []
+        return out
+
+    names, cellcount = sorted(words), language_id.CELLS
+    counts = {k: {} for k in names}
+    for d, t, k in rows:
+        if k and zlib.crc32(str(d).encode()) % 5:
+            for c in cells(t):
+                counts[k][c] = counts[k].get(c, 0) + 1
+    total = {k: sum(counts[k].values()) + language_id.SMOOTHING * cellcount for k in names}
+    share = lambda k, c: (counts[k].get(c, 0) + language_id.SMOOTHING) / total[k]
+    bits = [[-1 if n == 0 else 1 if (b >> (2 - (n - 1))) & 1 else -1 for n in range(4)] for b in range(1, 8)]
+    every = sorted({c for k in names for c in counts[k]})
+
+    def side(bit, s, c):
+        got = [share(k, c) for k, x in zip(names, bit, strict=True) if x == s]
+        return sum(got) / len(got)
+
+    def scale(bit):
+        known = sum((side(bit, 1, c) - side(bit, -1, c)) * math.log(side(bit, 1, c) / side(bit, -1, c)) for c in every)
+        one, zero = side(bit, 1, -1), side(bit, -1, -1)
+        return (known + (cellcount - len(every)) * (one - zero) * math.log(one / zero)) / 2
+
+    scales = [scale(b) for b in bits]
+    for r in language_id.identify(docs).collect():
+        text = next(t for d, t, _ in rows if d == r.doc_id)
+        got = cells(text)
+        margin = [sum(math.log(side(b, 1, c) / side(b, -1, c)) for c in got) / len(got) / s for b, s in zip(bits, scales, strict=True)]
+        loss = {k: sum(math.log1p(math.exp(-language_id.STEEPNESS * m * b[n])) * s for m, b, s in zip(margin, bits, scales, strict=True)) / sum(scales) * 7 for n, k in enumerate(names)}
+        best = min(names, key=lambda k: loss[k])
+        chance = {k: math.exp(-loss[k]) / sum(math.exp(-x) for x in loss.values()) for k in names}
+        second = sorted(chance.values())[-2]
+        known = sum(c in counts[best] for c in got) / len(got)
+        assert r.lang_pred == best and abs(r.score - chance[best]) < 1e-4
+        assert abs(second - 0.5 * chance[best]) < 1e-3 or r.ambiguous == (second > 0.5 * chance[best])
+        assert r.foreign == (len(got) >= 20 and known < 0.3)
+
+
 def test_codewords_differ():
     for n in (1, 2, 3, 4, 5, 6, 20):
         code = language_id.codewords(n)
