@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Peers a fine group needs before its own statistics count.
@@ -32,18 +32,6 @@ def clip(c, low: float | None = None, high: float | None = None) -> Column:
     return F.when(out.isNotNull(), value)
 
 
-def peer_median(value: str, fine: list[str], coarse: list[str], least: int = MIN_PEERS) -> Column:
-    """Median over the fine group where it has `least` values, else over the coarse group."""
-    near, far = Window.partitionBy(*fine), Window.partitionBy(*coarse)
-    return F.when(F.count(value).over(near) >= least, F.median(value).over(near)).otherwise(F.median(value).over(far))
-
-
-def z_score(value: str, by: list[str]) -> Column:
-    """Sample z-score within a group; 0 where the deviation is 0 or undefined."""
-    group = Window.partitionBy(*by)
-    return safe_divide(F.col(value) - F.avg(value).over(group), F.stddev_samp(value).over(group), 0.0)
-
-
 def display_name(first, last, fallback) -> Column:
     return F.coalesce(F.nullif(F.trim(F.concat_ws(" ", F.trim(_col(first)), F.trim(_col(last)))), F.lit("")), _col(fallback).cast("string"))
 
@@ -56,6 +44,11 @@ def money(c) -> Column:
     return F.when(c >= 1e6, millions).when(c >= 1e3, thousands).otherwise(F.concat(F.lit("$"), F.format_number(F.round(c), 0)))
 
 
+def whole_money(c) -> Column:
+    """$1,250,000"""
+    return F.concat(F.lit("$"), F.format_number(F.round(_col(c).cast("double")), 0))
+
+
 def zero_filled(c, width: int = 10) -> Column:
     """Leading zeros up to width; longer values stay whole."""
     c = F.trim(_col(c).cast("string"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from .peers import with_medians
 
 FLAG = ["npi", "flag_type", "layer", "year", "severity", "confidence", "flag_value", "peer_value", "overpayment"]
 
@@ -59,7 +60,7 @@ TIERS = [(10.0, 3.0, 1), (4.0, 2.0, 2), (2.0, 1.5, 3)]
 def yoy_peer_surge(totals: DataFrame, year: int, floor: float = 10_000.0, tiers: list[tuple[float, float, int]] = TIERS) -> DataFrame:
     """Growth far beyond the median growth of the specialty."""
     pairs = yoy_pairs(totals, year).where(F.col("before") >= floor).withColumn("r", safe_divide("now", "before", None))
-    pairs = pairs.withColumn("peer", F.median("r").over(Window.partitionBy("specialty"))).withColumn("rel", safe_divide("r", "peer", None))
+    pairs = with_medians(pairs, {"peer": "r"}, ["specialty"]).withColumn("rel", safe_divide("r", "peer", None))
     severity: Column = F.lit(None).cast("int")
     for growth, peer, level in reversed(tiers):
         severity = F.when((F.col("r") >= growth) & (F.col("peer") <= peer), level).otherwise(severity)
@@ -89,12 +90,22 @@ def exposure(flags: DataFrame, df: DataFrame) -> DataFrame:
     return df.join(paid, "npi", "left").select("npi", F.coalesce("over", F.greatest(F.lit(0.0), F.col("total_payment") - F.col("peer_median_payment")), F.lit(0.0)).alias("exposure"))
 
 
-def row_flags(df: DataFrame, volume: tuple[float, float] = (5, 3), services: tuple[float, float] = (5, 3), benes: tuple[float, float] = (4, 2.5), z: tuple[float, float] = (6, 3), cost: tuple[float, float] = (4, 2.5), coding: tuple[float, float] = (0.85, 0.7), intensity: dict[str, tuple[float, float]] | None = None, most: int = 3) -> DataFrame:
+#: Services per beneficiary (critical, high) of specialties that deliver many by their nature. Fixed values.
+INTENSITY = {
+    "clinical laboratory": (200, 100), "independent laboratory": (200, 100), "pathology": (120, 60), "diagnostic radiology": (100, 50), "radiology": (100, 50),
+    "nuclear medicine": (80, 40), "radiation oncology": (60, 30), "physical therapy": (50, 25), "physical medicine": (50, 25), "chiropractic": (50, 25),
+    "optometry": (40, 20), "ophthalmology": (40, 20), "durable medical equipment": (200, 100), "home health": (80, 40), "skilled nursing facility": (80, 40),
+}
+#: For all others.
+OFFICE = (15, 8)
+
+
+def row_flags(df: DataFrame, volume: tuple[float, float] = (5, 3), services: tuple[float, float] = (5, 3), benes: tuple[float, float] = (4, 2.5), z: tuple[float, float] = (6, 3), cost: tuple[float, float] = (4, 2.5), coding: tuple[float, float] = (0.85, 0.7), intensity: dict[str, tuple[float, float]] | None = None, most: int = 3, office: tuple[float, float] = OFFICE) -> DataFrame:
     """df -> (npi, flags array<struct<type, severity>>): critical first, at most three; exclusion alone if excluded."""
     level = lambda c, cut: F.when(F.col(c) >= cut[0], F.lit("critical")).when(F.col(c) >= cut[1], F.lit("high"))
-    dense = level("services_per_bene", (15, 8))
-    for name, cut in (intensity or {}).items():
-        dense = F.when(F.col("specialty") == name, level("services_per_bene", cut)).otherwise(dense)
+    dense = level("services_per_bene", office)
+    for name, cut in (INTENSITY if intensity is None else intensity).items():
+        dense = F.when(F.lower(F.trim("specialty")) == name, level("services_per_bene", cut)).otherwise(dense)
     months = F.col("months_enrolled")
     found = [
         ("opt_out_billing", F.when((F.col("is_opt_out") == 1) & (F.col("total_payment") > 0), F.lit("critical"))),
@@ -126,6 +137,19 @@ def flags_to_rows(flagged: DataFrame, existing: DataFrame | None = None) -> Data
     return rows if existing is None else rows.join(existing.select("npi", "flag_type"), ["npi", "flag_type"], "left_anti")
 
 
+def annualised(payment, months) -> Column:
+    """What a part of a year comes to over twelve months; whole years stay."""
+    return F.when((months > 0) & (months < 12), payment * 12 / months).otherwise(payment)
+
+
+def severity_breakdown(flags: DataFrame, layer: int | None = None, year: int | None = None) -> DataFrame:
+    """(severity, n) of the active flags of a layer and year."""
+    for column, value in (("layer", layer), ("year", year)):
+        if value is not None:
+            flags = flags.where(F.col(column) == value)
+    return flags.where("is_active").groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def exclusion_timing(df: DataFrame, first: str = "first_bill", last: str = "last_bill", excluded: str = "excldate") -> DataFrame:
     """PREDATES, DURING or POSTDATES the billing period, and years between exclusion and the last bill."""
     day = F.try_to_timestamp(F.col(excluded), F.lit("yyyyMMdd")).cast("date")

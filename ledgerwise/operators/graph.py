@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from .peers import beside
 from .scoring import ordinal_rank
 
 #: Specialties that get many referrals by their nature (G-04); edges to or from them are never suspicious.
@@ -26,11 +29,15 @@ def edge_percent(edges: DataFrame) -> DataFrame:
 
 
 def edge_outliers(edges: DataFrame, people: DataFrame, cut: float = 0.99) -> DataFrame:
-    """Edges at or above a percent rank within their pair of specialties."""
+    """Edges at or above a percent rank within their pair of specialties; ranks come from counts of equal weights."""
     a = people.select(F.col("npi").alias("source"), F.col("specialty").alias("specialty1"))
     b = people.select(F.col("npi").alias("target"), F.col("specialty").alias("specialty2"))
-    rank = F.percent_rank().over(Window.partitionBy("specialty1", "specialty2").orderBy("shared"))
-    return edges.join(a, "source").join(b, "target").withColumn("rank", rank).where(F.col("rank") >= cut)
+    both, pair = edges.join(a, "source").join(b, "target"), ["specialty1", "specialty2"]
+    counts = both.groupBy(*pair, "shared").agg(F.count("*").alias("n"))  # a row for each distinct weight of a pair
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*pair).orderBy("shared").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = safe_divide(below, F.sum("n").over(Window.partitionBy(*pair)) - 1)
+    top = counts.withColumn("rank", rank).where(F.col("rank") >= cut).drop("n")
+    return beside(both, top, [*pair, "shared"]).where("rank IS NOT NULL")
 
 
 def suspicious_edges(edges: DataFrame, flagged: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -184,6 +191,37 @@ def address_coverage(people: DataFrame, ready: int = 10_000) -> DataFrame:
     return people.agg(F.count("*").alias("providers"), F.count("address").alias("with_address"), (F.count("address") >= ready).alias("is_ready"))
 
 
+def cluster_of(people: DataFrame, npi, least: int = 2) -> DataFrame:
+    """The cluster at one provider's address, from two providers on; no row without one. Only that address is aggregated."""
+    at = people.where((F.col("npi") == npi) & F.col("address").isNotNull()).select("address").limit(1)
+    return address_clusters(people.join(F.broadcast(at), "address", "left_semi"), least)  # one row
+
+
+def cluster_count(people: DataFrame, least: int = 3) -> DataFrame:
+    """(clusters, providers): addresses that `least` providers or more share, and how many those are."""
+    sizes = people.where("address IS NOT NULL").groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("providers"))
+
+
+def node_search(people: DataFrame, edges: DataFrame, text: str, access: list[str] = (), columns: tuple[str, ...] = ("npi", "name"), limit: int = 20) -> DataFrame:
+    """Providers whose columns hold the text (two characters or more): those with edges of their own first, then by risk."""
+    if len(text) < 2:
+        raise ValueError("two characters or more")
+    found = reduce(lambda a, b: a | b, (F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower())) for c in columns))
+    out = people.where(found)
+    if access:
+        out = out.where(F.col("state").isin(list(access)))
+    known = edges.select(F.col("source").alias("npi")).distinct().withColumn("has_edges", F.lit(True))
+    out = out.join(known, "npi", "left").withColumn("has_edges", F.coalesce("has_edges", F.lit(False)))
+    return out.orderBy(F.desc("has_edges"), F.desc_nulls_last("risk_score"), "npi").limit(limit)
+
+
+def pack_summary(people: DataFrame, state: str | None = None) -> DataFrame:
+    """(providers, high_risk, excluded) of a state or of all."""
+    own = people if state is None else people.where(F.col("state") == state)
+    return own.agg(F.count("*").alias("providers"), F.count_if(F.col("risk_score") >= 70).alias("high_risk"), F.count_if("excluded").alias("excluded"))
+
+
 def lead_pack(people: DataFrame, flags: DataFrame, impact: DataFrame, limit: int = 50, state: str | None = None) -> DataFrame:
     """Leads of a state: three times the limit by risk, ranked anew by risk, excess, kinds of flags and cluster."""
     sizes = people.where("address IS NOT NULL").groupBy("address").agg(F.count("*").alias("cluster_size"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, peer_median
+from ..functions.columns import clip
 from ..operators import detectors, features, scoring
+from ..operators.peers import with_medians, with_peer_medians, with_z_score
+from ..sources.staging import written
 from .registry import FLAGS, LABELS, LINES, PEOPLE, PROV, SCORED, TIER, TOTALS, fixtures, flags, labels, query, scored, totals
 
 GROUPS = "FROM prov WINDOW f AS (PARTITION BY specialty, state), c AS (PARTITION BY specialty)"
@@ -14,7 +16,7 @@ GROUPS = "FROM prov WINDOW f AS (PARTITION BY specialty, state), c AS (PARTITION
 @query(f"""WITH {PROV} SELECT npi, specialty, state, round(m, 2) AS peer_median_payment, round(total_payment / m, 4) AS payment_vs_peer
 FROM (SELECT *, CASE WHEN count(total_payment) OVER f >= 10 THEN median(total_payment) OVER f ELSE median(total_payment) OVER c END AS m {GROUPS}) WHERE total_payment / m >= 1.3""")
 def peer_ratio_fallback(spark, d):
-    p = fixtures.providers(spark, d).withColumn("m", peer_median("total_payment", features.FINE, features.COARSE))
+    p = with_peer_medians(written(fixtures.providers(spark, d), "providers"), {"m": "total_payment"}, features.FINE, features.COARSE)
     r = F.col("total_payment") / F.col("m")
     return p.where(r >= 1.3).select("npi", "specialty", "state", F.round("m", 2).alias("peer_median_payment"), F.round(r, 4).alias("payment_vs_peer"))
 
@@ -174,22 +176,28 @@ def composite(spark, d):
     return p.select("npi", F.round(scoring.composite(F.col("risk_score") / 100, F.least(F.col("pv") / 3, F.lit(1.0)), F.least(F.col("ppb_vs_peer") / 3, F.lit(1.0))), 4).alias("score"))
 
 
-ROWFLAGS = f"""{SCORED}, m AS (SELECT *, total_services / median(total_services) OVER (PARTITION BY specialty) AS sv, total_beneficiaries / median(total_beneficiaries) OVER (PARTITION BY specialty) AS bv FROM scored),
-u AS (SELECT npi, 2 AS n, 'billing_volume' AS t, CASE WHEN pv >= 1.5 THEN 'critical' ELSE 'high' END AS s FROM m WHERE NOT excluded AND pv >= 1.2
+ROWFLAGS = f"""{SCORED}, m AS (SELECT *, total_services / median(total_services) OVER (PARTITION BY specialty) AS sv, total_beneficiaries / median(total_beneficiaries) OVER (PARTITION BY specialty) AS bv,
+  coalesce((total_payment - avg(total_payment) OVER (PARTITION BY specialty)) / nullif(stddev_samp(total_payment) OVER (PARTITION BY specialty), 0), 0) AS z,
+  total_services / total_beneficiaries AS spb, npi % 17 AS months, npi % 41 = 0 AS opt, (npi * 13 % 100) / 100.0 AS lv5 FROM scored),
+u AS (SELECT npi, 0 AS n, 'opt_out_billing' AS t, 'critical' AS s FROM m WHERE NOT excluded AND opt AND total_payment > 0
+UNION ALL SELECT npi, 1, 'new_provider_spike', CASE WHEN pv >= 5 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND months > 0 AND months < 12 AND pv >= 3
+UNION ALL SELECT npi, 2, 'billing_volume', CASE WHEN pv >= 1.5 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND pv >= 1.2
 UNION ALL SELECT npi, 3, 'service_pattern', CASE WHEN sv >= 1.5 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND sv >= 1.2
 UNION ALL SELECT npi, 4, 'beneficiary_volume', CASE WHEN bv >= 1.5 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND bv >= 1.2
-UNION ALL SELECT npi, 6, 'cost_per_patient', CASE WHEN ppb_vs_peer >= 1.3 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND ppb_vs_peer >= 1.1 AND total_payment / total_beneficiaries > 500),
+UNION ALL SELECT npi, 5, 'statistical_outlier', CASE WHEN z >= 0.4 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND pv < 1.2 AND z >= 0.2
+UNION ALL SELECT npi, 6, 'cost_per_patient', CASE WHEN ppb_vs_peer >= 1.3 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND ppb_vs_peer >= 1.1 AND total_payment / total_beneficiaries > 500
+UNION ALL SELECT npi, 7, 'service_intensity', CASE WHEN spb >= CASE WHEN specialty = 'BUILDING' THEN 140 ELSE 120 END THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND spb >= CASE WHEN specialty = 'BUILDING' THEN 120 ELSE 110 END
+UNION ALL SELECT npi, 8, 'em_upcoding', CASE WHEN lv5 >= 0.85 THEN 'critical' ELSE 'high' END FROM m WHERE NOT excluded AND lv5 >= 0.7),
 k AS (SELECT npi, t AS flag_type, s AS severity FROM (SELECT *, row_number() OVER (PARTITION BY npi ORDER BY s <> 'critical', n) AS r FROM u) WHERE r <= 3 UNION ALL SELECT npi, 'leie_exclusion', 'critical' FROM m WHERE excluded)"""
 
 
 def _flagged(spark, d):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("specialty")
-    p = scored(spark, d).withColumns({
-        "payment_vs_peer": F.col("pv"), "services_vs_peer": F.col("total_services") / F.median("total_services").over(by), "benes_vs_peer": F.col("total_beneficiaries") / F.median("total_beneficiaries").over(by),
-        "payment_zscore": F.lit(0.0), "payment_per_bene": F.col("total_payment") / F.col("total_beneficiaries"), "services_per_bene": F.lit(0.0), "level5_ratio": F.lit(0.0), "months_enrolled": F.lit(12.0), "is_opt_out": F.lit(0.0)})
-    return detectors.row_flags(p, volume=(1.5, 1.2), services=(1.5, 1.2), benes=(1.5, 1.2), cost=(1.3, 1.1))
+    p = scored(spark, d)
+    p = with_z_score(with_medians(p, {"_s": "total_services", "_b": "total_beneficiaries"}, ["specialty"]), "total_payment", ["specialty"], "payment_zscore")
+    p = p.withColumns({
+        "payment_vs_peer": F.col("pv"), "services_vs_peer": F.col("total_services") / F.col("_s"), "benes_vs_peer": F.col("total_beneficiaries") / F.col("_b"), "payment_per_bene": F.col("total_payment") / F.col("total_beneficiaries"),
+        "services_per_bene": F.col("total_services") / F.col("total_beneficiaries"), "level5_ratio": (F.col("npi") * 13 % 100) / F.lit(100.0), "months_enrolled": (F.col("npi") % 17).cast("double"), "is_opt_out": (F.col("npi") % 41 == 0).cast("double")})
+    return detectors.row_flags(p, volume=(1.5, 1.2), services=(1.5, 1.2), benes=(1.5, 1.2), z=(0.4, 0.2), cost=(1.3, 1.1), intensity={"building": (140, 120)}, office=(120, 110))
 
 
 @query(f"WITH {ROWFLAGS} SELECT * FROM k")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from ..operators.peers import with_medians
+from ..sources.staging import written
 from . import fixtures
 
 QUERIES: dict = {}
@@ -40,19 +42,21 @@ def query(sql: str | None):
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Providers with a deterministic proxy score."""
-    from pyspark.sql import Window
-
-    p, by = fixtures.providers(spark, d), Window.partitionBy("specialty")
-    p = p.withColumns({"med": F.median("total_payment").over(by), "med_ppb": F.median(F.col("total_payment") / F.col("total_beneficiaries")).over(by)})
+    """Providers with a deterministic proxy score, written once for all that a query does with them."""
+    p = written(fixtures.providers(spark, d).withColumn("_ppb", F.col("total_payment") / F.col("total_beneficiaries")), "providers")
+    p = with_medians(p, {"med": "total_payment", "med_ppb": "_ppb"}, ["specialty"]).drop("_ppb")
     p = p.withColumns({"pv": F.col("total_payment") / F.col("med"), "ppb_vs_peer": F.col("total_payment") / F.col("total_beneficiaries") / F.col("med_ppb")})
     risk = F.round(F.least(F.lit(100.0), 45.0 * F.col("pv") + (F.col("npi") * 37) % 11), 2)
-    return p.withColumns({"risk_score": risk, "address": F.concat("state", F.lit(" "), (F.col("npi") % 7).cast("string"))})
+    return written(p.withColumns({"risk_score": risk, "address": F.concat("state", F.lit(" "), (F.col("npi") % 7).cast("string"))}), "scored")
 
 
 def flags(p: DataFrame) -> DataFrame:
-    one = p.where("pv >= 1.2").select("npi", F.lit("billing_volume").alias("flag_type"), F.when(F.col("pv") >= 1.5, 1).otherwise(2).alias("severity"), (F.col("total_payment") - F.col("med")).alias("overpayment"), (F.col("npi") % 5 != 0).alias("is_active"))
-    return one.unionByName(p.where("ppb_vs_peer >= 1.2").select("npi", F.lit("cost_per_patient").alias("flag_type"), F.lit(3).alias("severity"), F.lit(0.0).alias("overpayment"), F.lit(True).alias("is_active")))
+    """Both kinds of flags in one pass over the providers."""
+    flag = lambda kind, severity, over, active: F.struct(F.lit(kind).alias("flag_type"), severity.alias("severity"), over.alias("overpayment"), active.alias("is_active"))
+    volume = flag("billing_volume", F.when(F.col("pv") >= 1.5, 1).otherwise(2), F.col("total_payment") - F.col("med"), F.col("npi") % 5 != 0)
+    cost = flag("cost_per_patient", F.lit(3), F.lit(0.0), F.lit(True))
+    every = F.filter(F.array(F.when(F.col("pv") >= 1.2, volume), F.when(F.col("ppb_vs_peer") >= 1.2, cost)), lambda x: x.isNotNull())
+    return p.select("npi", F.explode(every).alias("f")).select("npi", "f.*")
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwise.functions import columns as C
-from ledgerwise.operators import detectors, features, graph, models, scoring, serving, textmine
+from ledgerwise.operators import detectors, features, graph, models, peers, scoring, serving, textmine
 from ledgerwise.sources import readers, writers
 
 
@@ -26,13 +26,14 @@ def test_safe_divide_and_clip(spark):
 
 def test_z_score_of_equal_values_is_0(spark):
     df = spark.createDataFrame([(5.0, "A"), (5.0, "A"), (5.0, "A"), (10.0, "B")], "v double, g string")
-    assert {r[0] for r in df.select(C.z_score("v", ["g"])).collect()} == {0.0}
+    assert {r[0] for r in peers.with_z_score(df, "v", ["g"], "z").select("z").collect()} == {0.0}
 
 
 def test_peer_median_falls_back_to_the_coarse_group(spark):
     rows = [("s", "X", float(i)) for i in range(10)] + [("s", "Y", 100.0)]
-    df = spark.createDataFrame(rows, "specialty string, state string, v double").withColumn("m", C.peer_median("v", ["specialty", "state"], ["specialty"]))
-    assert {(r.state, r.m) for r in df.collect()} == {("X", 4.5), ("Y", 5.0)}
+    rows += [(None, None, 3.0), (None, "X", 5.0)]
+    df = peers.with_peer_medians(spark.createDataFrame(rows, "specialty string, state string, v double"), {"m": "v"}, ["specialty", "state"], ["specialty"])
+    assert {(r.specialty, r.state, r.m) for r in df.collect()} == {("s", "X", 4.5), ("s", "Y", 5.0), (None, None, 4.0), (None, "X", 4.0)}
 
 
 @pytest.mark.parametrize("street,key", [("123 North Main Street, Suite 4B", "123 n main st|la|CA|90001"), ("5 Oak Ave #12", "5 oak ave|la|CA|90001"), ("77 Norwood Road", "77 norwood rd|la|CA|90001"), ("1", None)])
