@@ -1,8 +1,9 @@
 """Model scores: isolation forest, boosted trees, reconstruction error, attributions.
 
-Spark ML has no isolation forest and no autoencoder. The forest is built here: trees of random cuts over
-bounded samples, scored row by row inside a pandas UDF. Reconstruction error comes from principal
-components, a stated substitute. Attributions are the change of the score with a feature at its median.
+Spark ML has no isolation forest and no autoencoder. The forest is built here: each tree is grown in a task of its
+own from a sample of all rows, and all trees are walked level by level inside a pandas UDF. Reconstruction
+error comes from principal components, a stated substitute. Attributions are the change of the fitted model's
+score with a feature at its median.
 """
 
 from __future__ import annotations
@@ -13,78 +14,130 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import class_balance, ordinal_rank
 
-#: Rows that the forest's samples are drawn from, and rows of a tree.
-POOL, TREE_ROWS = 20_000, 256
-
-
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """features: median and interquartile range at 0 and 1; columns without spread become 0."""
     vectors = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep").transform(df)
     return RobustScaler(inputCol="_raw", outputCol="features", withCentering=True).fit(vectors).transform(vectors).drop("_raw")
 
 
-def _tree(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
-    if depth == 0 or len(x) <= 1 or (x.max(axis=0) == x.min(axis=0)).all():
-        return (len(x),)
-    open_ = np.flatnonzero(x.max(axis=0) > x.min(axis=0))
-    f = int(rng.choice(open_))
-    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-    left = x[:, f] < cut
-    return (f, cut, _tree(x[left], rng, depth - 1), _tree(x[~left], rng, depth - 1))
+def grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[list, list, list, list]:
+    """A tree of random cuts as arrays (feature, cut, left child, path length of a leaf); the right child follows the left one."""
+    feature, cut, child, length = [-1], [0.0], [0], [0.0]
+    waiting = [(0, x, 0)]
+    while waiting:
+        node, rows, at = waiting.pop()
+        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
+        open_ = [f for f in features if high[f] > low[f]]
+        if at == depth or len(rows) <= 1 or not open_:
+            length[node] = at + _c(len(rows))
+            continue
+        f = int(rng.choice(open_))
+        feature[node], cut[node], child[node] = f, float(rng.uniform(low[f], high[f])), len(feature)
+        left = rows[:, f] < cut[node]
+        for side in (left, ~left):
+            waiting.append((len(feature), rows[side], at + 1))
+            for have, empty in zip((feature, cut, child, length), (-1, 0.0, 0, 0.0), strict=True):
+                have.append(empty)
+    return feature, cut, child, length
 
 
 def _c(n: int) -> float:
     return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
-def _depths(tree: tuple, x: np.ndarray, at: int = 0) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), at + _c(tree[0]))
-    out, left = np.empty(len(x)), x[:, tree[0]] < tree[1]
-    for side, sub in ((left, tree[2]), (~left, tree[3])):
-        if side.any():
-            out[side] = _depths(sub, x[side], at + 1)
-    return out
+def _lengths(tree: tuple, x: np.ndarray, depth: int) -> np.ndarray:
+    feature, cut, child, length = tree
+    node = np.zeros(len(x), int)
+    for _ in range(depth):
+        f = feature[node]
+        right = x[np.arange(len(x)), np.maximum(f, 0)] >= cut[node]
+        node = np.where(f >= 0, child[node] + right, node)
+    return length[node]
 
 
-def isolation_scores(df: DataFrame, columns: list[str], key: str = "npi", trees: int = 100, seed: int = 42) -> DataFrame:
-    """df with isolation (0 to 1, larger is odder) and isolation_rank (rank / n, ties by key).
+def isolation_scores(df: DataFrame, columns: list[str], key: str = "npi", trees: int = 100, seed: int = 42, tree_rows: int = 256, features: float = 0.8, contamination: float = 0.02) -> DataFrame:
+    """df with isolation (0 to 1, larger is odder), isolation_rank (rank / n, ties by key) and is_outlier (the oddest part).
 
-    Trees grow from the POOL rows with the smallest hashes of their key: a bound that doesn't grow with the data.
+    The trees * tree_rows rows with the smallest hashes of their key, a bound given by these two parameters, are dealt to the
+    trees, so each tree has a sample of all rows without replacement (fewer, if there are fewer). Each tree cuts a part
+    `features` of the columns, drawn for it. Cuts are uniform between a feature's least and largest value, so scaling
+    the columns changes nothing. Nulls count as 0.
     """
-    pool = np.array(df.orderBy(F.xxhash64(key), key).limit(POOL).select(*columns).toPandas(), float)
-    rng = np.random.default_rng(seed)
-    size = min(TREE_ROWS, len(pool))
-    depth = int(np.ceil(np.log2(max(2, size))))
-    forest = [_tree(pool[rng.choice(len(pool), size, replace=False)], rng, depth) for _ in range(trees)] if size else []
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)]
+    pool = df.select(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("k"), *x).orderBy("h", "k").limit(trees * tree_rows)
+    total = df.count()
+    held = min(total, trees * tree_rows)
+    rows = min(tree_rows, held)
+    depth = int(np.ceil(np.log2(max(2, rows))))
+    dealt = max(1, held // max(1, rows))  # as many trees as the rows are enough for; the others take the samples again with other cuts
+    n = F.row_number().over(Window.orderBy("h", "k"))  # of the pool only
+    pool = pool.withColumn("n", n).withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: t % dealt == F.col("n") % dealt)))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        tree = int(part["tree"].iloc[0])
+        rng = np.random.default_rng([seed, tree])
+        data = part.sort_values("n")[[f"x{i}" for i in range(len(columns))]].to_numpy(float)[:rows]
+        some = rng.choice(len(columns), max(1, round(features * len(columns))), replace=False)
+        return pd.DataFrame([[tree, *grow(data, some, rng, depth)]], columns=["tree", "feature", "cut", "child", "length"])
+
+    grown = pool.groupBy("tree").applyInPandas(one, "tree int, feature array<int>, cut array<double>, child array<int>, length array<double>").orderBy("tree").collect()  # 2 * tree_rows nodes for each tree at most
+    forest = [tuple(np.array(t[c]) for c in ("feature", "cut", "child", "length")) for t in grown]
     known = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in parts:
-            x = np.column_stack([c.to_numpy(float) for c in cols])
-            mean = np.mean([_depths(t, x) for t in known.value], axis=0) if known.value else np.zeros(len(x))
-            yield pd.Series(2 ** (-mean / max(_c(size), 1e-9)))
+            data = np.column_stack([c.fillna(0.0).to_numpy(float) for c in cols])
+            mean = np.mean([_lengths(t, data, depth) for t in known.value], axis=0) if known.value else np.zeros(len(data))
+            yield pd.Series(2 ** (-mean / max(_c(rows), 1e-9)))
 
-    out = df.withColumn("isolation", F.round(score(*columns), 10))
-    total = df.count()
-    return ordinal_rank(out, ["isolation", key], "_r").withColumn("isolation_rank", F.col("_r") / total).drop("_r")
+    out = df.withColumn("isolation", F.round(score(*(F.col(c).cast("double") for c in columns)), 10))
+    out = ordinal_rank(out, ["isolation", key], "_r").withColumn("isolation_rank", F.col("_r") / total)
+    return out.withColumn("is_outlier", F.col("isolation_rank") > 1 - contamination).drop("_r")
 
 
-def boosted_scores(df: DataFrame, columns: list[str], rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42) -> DataFrame:
-    """df(label, weight) with boosted: the probability of label 1; the weight carries the class balance."""
+def boosted_model(df: DataFrame, columns: list[str], rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42):
+    """(df(label, weight) with scaled features, the fitted trees); the weight carries the class balance."""
     scale = class_balance(df).first()[0]
     rows = scaled(df, columns).withColumn("_w", F.col("weight") * F.when(F.col("label") == 1, scale).otherwise(1.0))
-    model = GBTClassifier(labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed).fit(rows)
+    return rows, GBTClassifier(labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed).fit(rows)
+
+
+def boosted_scores(df: DataFrame, columns: list[str], rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42) -> DataFrame:
+    """df(label, weight) with boosted: the probability of label 1."""
+    rows, model = boosted_model(df, columns, rounds, depth, step, seed)
     return model.transform(rows).withColumn("boosted", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "_w", "features")
 
 
+def attributions(rows: DataFrame, model, columns: list[str], key: str = "npi", n: int = 3) -> DataFrame:
+    """rows(features, scaled to a median of 0), a fitted classifier -> (key, score, top, values): what each feature does to a row's score.
+
+    values: feature -> the score less what the fitted model gives with that feature alone at its median; top: the n
+    largest by size, ties by name. A model pass for each feature, within one stage and without a shuffle.
+    """
+    def scored(df: DataFrame, features: str, out: str) -> DataFrame:
+        other = model.copy().setFeaturesCol(features).setProbabilityCol(f"_p{out}").setRawPredictionCol("").setPredictionCol(f"_q{out}")
+        return other.transform(df).withColumn(out, vector_to_array(f"_p{out}")[1]).drop(f"_p{out}", f"_q{out}")
+
+    def at_median(i: int):
+        return array_to_vector(F.transform("_x", lambda v, j: F.when(j == i, 0.0).otherwise(v)))
+
+    out = scored(rows.select(key, "features", vector_to_array("features").alias("_x")), "features", "score")
+    for i in range(len(columns)):
+        out = out.withColumn(f"_f{i}", at_median(i))
+        out = scored(out, f"_f{i}", f"_s{i}").drop(f"_f{i}")
+    parts = [F.struct((-F.abs(F.col("score") - F.col(f"_s{i}"))).alias("s"), F.lit(c).alias("name"), (F.col("score") - F.col(f"_s{i}")).alias("v")) for i, c in enumerate(columns)]
+    best = F.array_sort(F.array(*parts))
+    values = F.map_from_entries(F.transform(best, lambda x: F.struct(x["name"], x["v"])))
+    return out.select(key, "score", F.transform(F.slice(best, 1, n), lambda x: x["name"]).alias("top"), values.alias("values"))
+
+
 def reconstruction_errors(df: DataFrame, columns: list[str], k: int = 4) -> DataFrame:
     """df with error: mean squared error of the first k components, as a part of the largest one."""
     rows = scaled(df, columns)
@@ -100,7 +153,7 @@ def reconstruction_errors(df: DataFrame, columns: list[str], k: int = 4) -> Data
 
 
 def top_drivers(df: DataFrame, weights: dict[str, float], key: str = "npi", n: int = 3) -> DataFrame:
-    """(key, top, values): for a linear score, weight x (value - median) of each feature; the n largest by size."""
+    """(key, top, values): for a linear score, weight x (value - median) of each feature, which is exact; the n largest by size."""
     middle = df.agg(*(F.median(c).alias(f"_{c}") for c in weights))
     wide = df.crossJoin(F.broadcast(middle))  # one row
     parts = F.array(*(F.struct((-F.abs((F.col(c) - F.col(f"_{c}")) * w)).alias("s"), F.lit(c).alias("name"), ((F.col(c) - F.col(f"_{c}")) * w).alias("v")) for c, w in weights.items()))

@@ -74,6 +74,13 @@ def labelled(panel: DataFrame, split: DataFrame, positive: DataFrame, cleared: D
     return out.withColumn("label", F.col("kind").isin("investigator", "exclusion", "soft").cast("int")).drop("hard", "found", "clear")
 
 
+def label_sets(outcomes: DataFrame, holdout: DataFrame, confirmed: tuple[str, ...] = ("substantiated", "referred_to_doj", "referred_to_state_ag"), cleared: tuple[str, ...] = ("unsubstantiated", "closed_no_action")) -> tuple[DataFrame, DataFrame]:
+    """outcomes(npi, outcome) -> (positive, cleared) providers, once each, without the holdout; a cleared one isn't positive."""
+    of = lambda names: outcomes.where(F.lower(F.trim("outcome")).isin(list(names))).select("npi").distinct().join(holdout.select("npi"), "npi", "left_anti")
+    clear = of(cleared)
+    return of(confirmed).join(clear, "npi", "left_anti"), clear
+
+
 def class_balance(df: DataFrame) -> DataFrame:
     """Negatives for each positive."""
     return df.agg(safe_divide(F.count_if(F.col("label") == 0), F.greatest(F.count_if(F.col("label") == 1), F.lit(1))).alias("scale"))

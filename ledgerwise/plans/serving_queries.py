@@ -313,12 +313,6 @@ def pca_recon(spark, d):
     return models.reconstruction_errors(p, MODEL, 2).select("npi", "error")
 
 
-@query(None)
-def drivers(spark, d):
-    p = scored(spark, d).select("npi", *(F.col(c).cast("double").alias(c) for c in MODEL))
-    return models.top_drivers(p, {"total_payment": 1e-6, "total_services": 1e-3, "total_beneficiaries": 0.1, "procedure_types": 0.05})
-
-
 @query(None)
 def sampled_edges(spark, d):
     return graph.sampled_edges(scored(spark, d))

@@ -80,6 +80,27 @@ def registry_file(spark: SparkSession, path: str, keys: DataFrame | None = None)
     return df if keys is None else df.join(keys.select("npi").distinct(), "npi", "left_semi")
 
 
+UPDATE = {
+    "npi": ["npi"], "entity_type": ["entity type code"], "credential": ["provider credential text"], "taxonomy_code": ["healthcare provider taxonomy code_1"], "enrollment_date": ["provider enumeration date"],
+}
+
+
+def registry_updates(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """Registry columns of the known providers, cut to what the table holds (20 and 10 characters), the date as one; blanks and bad dates are null."""
+    df = resolve(read_csv(spark, path), UPDATE, ("npi",))
+    text = lambda c, n=None: F.nullif(F.substring(F.trim(c), 1, n) if n else F.trim(c), F.lit(""))
+    day = F.try_to_timestamp(F.trim("enrollment_date"), F.lit("MM/dd/yyyy")).cast("date")
+    out = df.select(F.trim("npi").alias("npi"), text("entity_type").alias("entity_type"), text("credential", 20).alias("credential"), text("taxonomy_code", 10).alias("taxonomy_code"), day.alias("enrollment_date"))
+    return out.join(keys.select("npi").distinct(), "npi", "left_semi")
+
+
+def changed_files(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """(path, sha256, change): files that known(path, sha256) doesn't have, or has with another digest."""
+    old = known.select("path", F.col("sha256").alias("_old"))
+    out = file_digests(spark, path).join(old, "path", "left").where("_old IS NULL OR _old <> sha256")
+    return out.select("path", "sha256", F.when(F.col("_old").isNull(), "new").otherwise("changed").alias("change"))
+
+
 def pair_file(spark: SparkSession, path: str, least: int = 11) -> DataFrame:
     """Shared-patient pairs, with or without a header; ids get their leading zeros back, loops and weak pairs go."""
     from ..functions.columns import zero_filled

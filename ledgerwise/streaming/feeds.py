@@ -13,6 +13,11 @@ def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def since(events: DataFrame, started, back: str = "5 minutes") -> DataFrame:
+    """What was created after a feed's start, less the time that a new listener looks back."""
+    return events.where(F.col("created_at") > F.lit(started).cast("timestamp") - F.expr(f"INTERVAL {back}"))
+
+
 def live_alerts(alerts: DataFrame, people: DataFrame, worst: int = 2, access: list[str] = ()) -> DataFrame:
     """A stream of alerts joined to the providers' table; each row once, whatever the timing."""
     out = alerts.where(F.col("severity") <= worst).join(people.select("npi", "name", "state"), "npi")
