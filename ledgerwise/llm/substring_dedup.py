@@ -5,11 +5,11 @@ five words within it, and counts it once for each run of neighbouring windows th
 a fifth of all windows). Each task sends the cells of two hash rows that it has hit once and more than once.
 Merging adds the counts, saturated at two, so a cell never underestimates: windows of two documents that are
 equal have equal fingerprints, counted twice, and always pass. Pass 2 hashes the windows again, sends those
-whose cells are all at two or more, and groups them by two independent 64-bit hashes of the words. False
-positives form groups of one and vanish. Of every SETTLE windows that a task lets pass, each different one
-is sent once, with its smallest document; larger documents among them are settled there. So a window that
-a third of all documents share is a row for each such lot, not for each document; its smallest document is
-an aggregate that each task forms first, joined back to the rows.
+whose cells are all at two or more, and groups them by two independent hashes of the words, of 64 and 32
+bits. False positives form groups of one and vanish. Of every SETTLE windows that a task lets pass, each
+different one is sent once, with its smallest document; larger documents among them are settled there, and
+settled rows are groups of their own. So a window that a third of all documents share is one row of each
+lot, a small part of any partition, and not a row for each document.
 
 The sketch has a fixed bound: ROWS rows of at most 2**MAX_BITS one-bit cells after merging (128 MB). A
 corpus too large for it passes more windows to the exact step; none is lost.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
@@ -158,7 +158,7 @@ def _settle(found: list[list[np.ndarray]]) -> pa.RecordBatch:
     again = np.zeros(len(first), bool)  # the same window of the same document
     again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
     first, second, owner, least = first[~again], second[~again], owner[~again], least[~again]
-    return pa.record_batch([_signed(first), _signed(second), owner, pa.array(owner > least)], ["h1", "h2", "owner", "settled"])
+    return pa.record_batch([_signed(first), second, owner, pa.array(owner, mask=owner == least)], ["h1", "h2", "owner", "settled"])
 
 
 def _candidate_task(k: int, bits: int, sketch):
@@ -175,7 +175,7 @@ def _candidate_task(k: int, bits: int, sketch):
                     cell = _cells(prints, row, bits)
                     passed &= (table[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1
                 if passed.any():
-                    second = words.windows(words.hashes(1), k, 1)[1]
+                    second = (words.windows(words.hashes(1), k, 1)[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     for have, x in zip(found, (first[passed], second[passed], ids[lo + words.row_of(at[passed])]), strict=True):
                         have.append(x)
                     size += int(passed.sum())
@@ -241,13 +241,9 @@ def repeated_windows(texts: DataFrame, k: int) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1.0, size * CELLS_A_BYTE)))))
     sketch = spark.sparkContext.broadcast(count_min(texts, "text", k, bits))
-    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 long, owner long, settled boolean")
-    rows = written(rows, "candidates")
-    # a row for each window that more than one lot has, in more than one document
-    least = rows.where("NOT settled").groupBy("h1", "h2").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
-    least = written(least.where("least < most").select("h1", "h2", "least"), "least")
-    later = rows.where("NOT settled").join(least, ["h1", "h2"]).where("owner > least")
-    return rows.where("settled").select("owner", "h1").unionByName(later.select("owner", "h1"))
+    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 int, owner long, settled long")
+    least = F.min("owner").over(Window.partitionBy("h1", "h2", "settled"))  # settled: null, or the owner
+    return rows.withColumn("least", least).where("settled IS NOT NULL OR owner > least").select("owner", "h1")
 
 
 def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
