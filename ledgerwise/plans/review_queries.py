@@ -235,11 +235,12 @@ def _csv(df, name: str, header: bool = True) -> str:
     return path
 
 
-@query(f"""WITH {PROV} SELECT lpad(CAST(npi AS VARCHAR), 10, '1') AS npi, name AS last_name, specialty, total_services, CAST(total_beneficiaries AS DOUBLE) AS total_beneficiaries, round(total_payment, 2) AS total_payment FROM prov WHERE npi % 10 <> 3 AND total_payment > 0""")
+@query(f"""WITH {PROV} SELECT lpad(CAST(npi AS VARCHAR), 10, '1') AS npi, name AS last_name, specialty, total_services, CAST(total_beneficiaries AS DOUBLE) AS total_beneficiaries, CAST(round(CAST(total_payment AS DECIMAL(18,4)), 2) AS DOUBLE) AS total_payment FROM prov WHERE npi % 10 <> 3 AND total_payment > 0""")
 def provider_file_read(spark, d):
     p = fixtures.providers(spark, d)
     npi = F.when(F.col("npi") % 10 == 3, "bad").otherwise(F.lpad(F.col("npi").cast("string"), 10, "1"))
-    path = _csv(p.select(F.concat(F.lit(" "), npi).alias("Rndrng_NPI"), F.col("name").alias("Rndrng_Prvdr_Last_Org_Name"), F.col("specialty").alias("Rndrng_Prvdr_Type"), F.col("total_services").alias("Tot_Srvcs"), F.col("total_beneficiaries").alias("TOT_BENES"), F.concat(F.lit("$"), F.format_number("total_payment", 2)).alias("Tot_Mdcr_Pymt_Amt")), "providers-csv")
+    cents = F.round(F.col("total_payment").cast("decimal(18,4)"), 2)  # exact, as half a cent of a double isn't
+    path = _csv(p.select(F.concat(F.lit(" "), npi).alias("Rndrng_NPI"), F.col("name").alias("Rndrng_Prvdr_Last_Org_Name"), F.col("specialty").alias("Rndrng_Prvdr_Type"), F.col("total_services").alias("Tot_Srvcs"), F.col("total_beneficiaries").alias("TOT_BENES"), F.concat(F.lit("$"), F.format_number(cents, 2)).alias("Tot_Mdcr_Pymt_Amt")), "providers-csv")
     return readers.provider_file(spark, path).select("npi", "last_name", "specialty", "total_services", "total_beneficiaries", "total_payment")
 
 
