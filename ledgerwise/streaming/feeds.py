@@ -55,6 +55,6 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def refresh(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def refresh(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """What has come in since the last run, applied once: the timed list refresh and the nightly sweep."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
