@@ -84,6 +84,14 @@ def with_parts(cases: DataFrame, people: DataFrame, notes: DataFrame, documents:
     return out.join(listed(notes, "notes"), "case_id", "left").join(listed(documents, "documents"), "case_id", "left")
 
 
+def record_outcomes(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """cases with the last of their outcomes(case_id, outcome, at; ties by outcome); with one, a case is closed unless it is referred."""
+    last = outcomes.groupBy("case_id").agg(F.max(F.struct("at", "outcome")).alias("_last"))
+    out = cases.drop("outcome", "resolved_at").join(last, "case_id", "left")
+    status = F.when(F.col("_last").isNull() | F.col("status").isin("referred", "closed"), F.col("status")).otherwise("closed")
+    return out.withColumns({"status": status, "outcome": F.col("_last.outcome"), "resolved_at": F.col("_last.at")}).drop("_last")
+
+
 def sweep_order(cases: DataFrame, watched: tuple[str, ...] = OPEN, most: int = 500) -> DataFrame:
     """The cases that a sweep takes: those that have waited longest; the limit is the sweep's own."""
     return cases.where(F.col("status").isin(*watched)).orderBy(F.asc_nulls_last("updated_at"), "case_id").limit(most)

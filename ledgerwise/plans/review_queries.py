@@ -340,6 +340,29 @@ def outcome_labels(spark, d):
     return positive.withColumn("kind", F.lit("positive")).unionByName(cleared.withColumn("kind", F.lit("cleared")))
 
 
+OUTCOMES = """outcomes AS (SELECT l_orderkey AS case_id, CASE l_returnflag WHEN 'R' THEN 'substantiated' WHEN 'A' THEN 'referred_to_doj' ELSE 'unsubstantiated' END AS outcome, l_shipdate AS told_at FROM lineitem WHERE l_orderkey % 3 = 0)"""
+
+
+def _outcomes(spark, d):
+    told = F.when(F.col("l_returnflag") == "R", "substantiated").when(F.col("l_returnflag") == "A", "referred_to_doj").otherwise("unsubstantiated")
+    return fixtures.table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("case_id"), told.alias("outcome"), F.col("l_shipdate").alias("at"))
+
+
+@query(f"""WITH {CASES}, {OUTCOMES}, o AS (SELECT case_id, max({{'told_at': told_at, 'outcome': outcome}}) AS last FROM outcomes GROUP BY 1)
+SELECT case_id, CASE WHEN last IS NULL THEN CASE WHEN case_id % 5 = 0 THEN 'referred' ELSE status END WHEN case_id % 5 = 0 THEN 'referred' ELSE 'closed' END AS status, last.outcome AS outcome FROM cases LEFT JOIN o USING (case_id)""")
+def recorded_outcomes(spark, d):
+    c = _cases(spark, d).withColumn("status", F.when(F.col("case_id") % 5 == 0, "referred").otherwise(F.col("status")))
+    return review.record_outcomes(c, _outcomes(spark, d)).select("case_id", "status", "outcome")
+
+
+@query(f"""WITH {ALERTS}, {OUTCOMES}, sure AS (SELECT DISTINCT o_custkey AS npi FROM outcomes JOIN orders ON case_id = o_orderkey WHERE outcome <> 'unsubstantiated' AND o_orderkey % 9 = 0)
+SELECT flag_id, CASE WHEN flag_id % 7 <> 0 AND npi IN (SELECT npi FROM sure) THEN 1.0 ELSE 0.5 END AS confidence, flag_id % 7 <> 0 AND npi IN (SELECT npi FROM sure) AS reviewed FROM alerts""")
+def outcome_feedback(spark, d):
+    told = _outcomes(spark, d).where("case_id % 9 = 0").join(_cases(spark, d).select("case_id", "npi"), "case_id")
+    a = fixtures.alerts(fixtures.table(spark, d, "events")).withColumns({"is_active": F.col("flag_id") % 7 != 0, "confidence": F.lit(0.5)})
+    return serving.outcome_feedback(a, told, ["substantiated", "referred_to_doj", "referred_to_state_ag"]).select("flag_id", "confidence", "reviewed")
+
+
 @query(f"WITH {SCORED} SELECT npi, round(CASE WHEN excluded THEN greatest(b, 0.97) WHEN b > 0 THEN b ELSE least(risk_score / 100, 0.99) END, 6) AS confidence FROM (SELECT *, CASE WHEN npi % 3 = 0 THEN 0 ELSE least(pv / 4, 1) END AS b FROM scored)")
 def model_confidence(spark, d):
     b = F.when(F.col("npi") % 3 == 0, 0.0).otherwise(F.least(F.col("pv") / 4, F.lit(1.0)))
