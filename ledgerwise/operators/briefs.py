@@ -43,6 +43,22 @@ def key_findings(df: DataFrame) -> DataFrame:
     return df.select("npi", F.filter(every, lambda x: x.isNotNull()).alias("findings"))
 
 
+def measures(df: DataFrame, z: float = 2, ratio: float = 1.5, entropy: tuple[float, float] = (1.5, 3.5), coding: float = 0.4, intensity: float = 30) -> DataFrame:
+    """(npi, measures): eight labelled measures with their reading, those that stand out; nulls don't."""
+    one = lambda when, label, reading: F.when(when, F.struct(F.lit(label).alias("label"), reading.alias("reading")))
+    score, mixed = F.col("risk_score"), F.col("entropy")
+    every = F.array(
+        one(score > 0, "risk score", F.when(score >= 95, "top <1%").when(score >= 90, "top 1%").otherwise("top 5%")),
+        one(F.col("payment_zscore") > z, "payment z-score", F.format_string("%.1f", "payment_zscore")),
+        one(F.col("payment_vs_peer") > ratio, "payment against peers", F.format_string("%.1fx", "payment_vs_peer")),
+        one(F.col("total_payment") > 0, "total paid", money("total_payment")),
+        one(((mixed > 0) & (mixed < entropy[0])) | (mixed > entropy[1]), "billing entropy", F.when(mixed < entropy[0], "few codes").otherwise("very many codes")),
+        one(F.col("level5_ratio") > coding, "highest-level visits", F.format_string("%.0f%%", F.col("level5_ratio") * 100)),
+        one(F.col("excluded"), "exclusion", F.lit("on the list")),
+        one(F.col("services_per_bene") > intensity, "services per beneficiary", F.when(F.col("is_facility"), "usual for a facility").otherwise("unusual for an office")))
+    return df.select("npi", F.filter(every, lambda x: x.isNotNull()).alias("measures"))
+
+
 def action_plan(df: DataFrame) -> DataFrame:
     """(npi, n, action): steps in order, numbered from 1."""
     every = F.array(

@@ -435,3 +435,15 @@ def drivers(spark, d):
 
 
 INPUTS = ["total_payment", "total_services", "total_beneficiaries", "procedure_types"]
+
+
+@query(f"""WITH {SCORED} SELECT npi, concat_ws('; ', CASE WHEN risk_score > 0 THEN 'risk score: ' || CASE WHEN risk_score >= 95 THEN 'top <1%' WHEN risk_score >= 90 THEN 'top 1%' ELSE 'top 5%' END END, CASE WHEN npi % 7 > 3 THEN 'payment z-score' END,
+CASE WHEN pv > 1.5 THEN 'payment against peers' END, CASE WHEN total_payment > 0 THEN 'total paid' END, CASE npi % 5 WHEN 1 THEN 'billing entropy: few codes' WHEN 4 THEN 'billing entropy: very many codes' END, CASE WHEN npi % 10 > 4 THEN 'highest-level visits' END, CASE WHEN excluded THEN 'exclusion' END,
+CASE WHEN total_services / total_beneficiaries > 110 THEN 'services per beneficiary: ' || CASE WHEN npi % 4 = 0 THEN 'usual for a facility' ELSE 'unusual for an office' END END) AS measures FROM scored""")
+def brief_measures(spark, d):
+    npi = F.col("npi")
+    p = scored(spark, d).withColumns({
+        "payment_zscore": (npi % 7).cast("double"), "payment_vs_peer": F.col("pv"), "entropy": (npi % 5).cast("double"), "level5_ratio": npi % 10 / 10.0,
+        "services_per_bene": F.col("total_services") / F.col("total_beneficiaries"), "is_facility": npi % 4 == 0})
+    told = F.transform("measures", lambda m: F.when(m["label"].isin("risk score", "billing entropy", "services per beneficiary"), F.concat_ws(": ", m["label"], m["reading"])).otherwise(m["label"]))
+    return briefs.measures(p, z=3, intensity=110).select("npi", F.array_join(told, "; ").alias("measures"))
