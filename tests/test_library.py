@@ -245,3 +245,9 @@ def test_isolation_finds_the_odd_one(spark):
     assert models.reconstruction_errors(df, ["a", "b"], 2).agg(F.max("error")).first()[0] <= 1
     top = models.top_drivers(df, {"a": 1.0, "b": 1.0}).where("npi = 17").first()
     assert top.top[0] == "a" and top["values"]["a"] > 400
+
+
+def test_robust_scaling(spark):
+    df = spark.createDataFrame([(i, float(i), 7.0) for i in range(1, 102)], "npi long, a double, same double")
+    got = {r.npi: list(r.features) for r in models.scaled(df, ["a", "same"]).collect()}
+    assert got[51] == [0.0, 0.0] and got[101] == [1.0, 0.0] and got[1] == [-1.0, 0.0]
