@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_id, license_scan, near_dedup, packing, sharding, substring_dedup, url_filter, warc
+from . import ann, decontamination, divergence, fill_middle, language_id, license_scan, near_dedup, packing, sharding, substring_dedup, url_filter, warc, word_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,35 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_warc": op2_warc, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_license_scan": op6_license_scan, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"), seed="7", fim_percent=100, spm_percent=50)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = word_bpe.decode(word_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_warc": op2_warc, "op3_neighbours": op3_neighbours, "op4_packing": op4_packing, "op5_substring_dedup": op5_substring_dedup, "op6_license_scan": op6_license_scan, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_near_dedup": op9_near_dedup, "op10_sharding": op10_sharding, "op11_fill_middle": op11_fill_middle, "op12_divergence": op12_divergence, "op13_word_bpe": op13_word_bpe}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce({}, '')"))
+_HASHED = "CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), {}, 8) AS UINTEGER)"
+_SHARE = "1 + (1000000000 * CAST({n} + 5 AS HUGEINT)) // ({total} + 5 * {v})"
 _BITS = "CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR)"
 
 ORACLE = {
@@ -117,4 +140,27 @@ link AS (SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id, doc_id = m AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)""",
+    "op11_fill_middle": f"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l,
+    {", ".join(f"{_HASHED.format(1 + 8 * i)} AS h{i + 1}" for i in range(4))} FROM documents),
+c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS z FROM l),
+s AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:z], '') AS m, array_to_string(l[z + 1:], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s""",
+    "op12_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+gp AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, v FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, {_SHARE.format(n="n", total="total", v="v")} AS p FROM gp),
+lq AS (SELECT lang, term, {_SHARE.format(n="n", total="total", v="v")} AS q FROM (SELECT lang, term, n, sum(n) OVER (PARTITION BY lang) AS total, v FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2) JOIN v USING (lang))),
+pair AS (SELECT g.lang, g.source, h.source AS item, coalesce((SELECT sum(abs(a.p - b.p)) FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term WHERE a.lang = g.lang AND a.source = g.source AND b.source = h.source), 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source),
+term AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN lq USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term', * FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 50""",
 }
