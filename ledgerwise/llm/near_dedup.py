@@ -7,12 +7,16 @@ document stops once every slot holds less than j + 1, since later steps can't lo
 Documents with equal sets are one class. Classes that share a band are candidates, but never all pairs of
 a bucket. Every member is compared on full sets with the bucket's pivot, the member that has most company
 in all its buckets: among near copies, the one nearest to the original. What the two sets don't share is
-the member's edits. Members linked to the pivot are in one component. A member x that isn't (a straggler)
-may yet be linked to another one y, and sizes and edits tell exactly: with e edits and n shingles,
-|x xor y| = e(x) + e(y) - 2 * shared edits, and a link at 0.8 needs it to be (n(x) + n(y)) / 9 at most. As
-e(x) > (n(x) + n(pivot)) / 9, x and y must share edits, about half of them or more, so a prefix join on
-each one's rarest edits finds all such pairs. No candidate pair goes untold, and a bucket of n near copies
-costs about n comparisons.
+the member's edits. Members linked to a pivot are in one component; so are those whose pivots are.
+
+A member x that isn't linked to a pivot (a straggler) may yet be linked to another member y of that pivot's
+group. This matters only if y is in another component so far, and sizes and edits tell exactly: with e edits
+and n shingles, |x xor y| = e(x) + e(y) - 2 * shared edits, and a link at 0.8 needs it to be
+(n(x) + n(y)) / 9 at most. As e(x) > (n(x) + n(pivot)) / 9, x and y must share edits, about half of them or
+more, so a prefix join on each one's rarest edits finds all such pairs. Edits that only one component has
+can't be shared with another; they aren't joined. So no link that would change a component goes untold, a
+bucket of n near copies costs about n comparisons, and so do several families of near copies in one bucket,
+each of which has its own pivot in the buckets that its members share with nobody else.
 """
 
 from __future__ import annotations
@@ -90,6 +94,24 @@ def _signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return ranks
 
 
+def _set_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Two independent 64-bit sums that equal sets have in common."""
+    salts = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
+    return [np.array([mix(s ^ salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in salts]
+
+
+def _key_task(k: int):
+    """(id, text) -> (id, text, key1, key2)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                keys = _set_keys(shingle_sets(Words(LOWER[data], offsets, NOT_SPACE), k))
+                yield pa.record_batch([*(c.slice(lo, hi - lo) for c in batch.columns), *keys], ["id", "text", "key1", "key2"])
+
+    return lean(task)
+
+
 def _signature_task(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +122,9 @@ def _signature_task(k: int):
                 bands = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
                 for i in range(BAND_SLOTS):
                     bands = mix(bands + grouped[:, :, i])
-                key1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                key2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 n = hi - lo
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), key1.view(np.int64), key2.view(np.int64), bands], ["doc_id", "n_shingles", "key1", "key2", "bands"])
+                yield pa.record_batch([batch.column(0).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), *_set_keys(sets), bands], ["doc_id", "n_shingles", "key1", "key2", "bands"])
 
     return lean(task)
 
@@ -155,46 +175,68 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return state.select("id", "comp")
 
 
-def compared(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """pairs(a, b) -> (a, b, na, nb, edits) from the full sets; only texts in pairs are shuffled."""
-    needed = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
+def compared(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """pairs(a, b) of classes -> (a, b, na, nb, edits) from the full sets; only texts of classes in pairs are shuffled.
+
+    A class's text is one of its least id whose set has the class's keys; an id with several texts may stand for several.
+    """
+    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    needed = written(needed.join(classes, "class").select("class", F.col("rep").alias("id"), "key1", "key2"), "needed")
     blocks = bloom_blocks(needed.count())
     few = possible_hits(texts, "id", blocked_bloom(needed, "id", blocks), blocks)
-    few = written(few.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    full = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    few = few.mapInArrow(_key_task(k), "id long, text string, key1 long, key2 long").join(needed, ["id", "key1", "key2"])
+    few = written(few.groupBy("id", "key1", "key2", "class").agg(F.min("text").alias("text")).select("class", "text"), "texts")
+    full = pairs.join(few.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(few.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
     out = written(full.select("a", "b", "ta", "tb").mapInArrow(_compare_task(k), "a long, b long, na long, nb long, edits array<long>"), "compared")
     dropped(needed, few)
     return out
 
 
-def straggler_links(told: DataFrame, percent: int) -> DataFrame:
-    """Links(a, b) between members of a pivot's group (told: a is the pivot) of which one or both aren't linked to it."""
+def straggler_candidates(told: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members of pivots' groups with their edits, pairs (a, x, y) of members of group a that may be linked).
+
+    told(a, b, na, nb, edits): a is the pivot. comps(class, comp): components by what is known so far. At least one of
+    x and y isn't linked to the pivot, and they are of different components. Both tables are the caller's to drop.
+    """
     told = told.withColumn("linked", _is_link("na + nb", "size(edits)", percent))
-    mixed = written(told.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("s")).where("n > 1 AND s > 0").select("a"), "mixed")
-    members = told.join(mixed, "a").select("a", "b", "na", "nb", F.size("edits").alias("e"), "edits", "linked")
+    placed = written(told.select("a", "b", "linked").join(comps.withColumnRenamed("class", "b"), "b"), "placed")
+    mixed = placed.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(~F.col("linked")).alias("s")).where("low < high AND s > 0")
+    mixed = written(mixed.select("a"), "mixed")
+    members = told.join(mixed, "a").join(placed.select("a", "b", "comp"), ["a", "b"]).select("a", "b", "na", "nb", F.size("edits").alias("e"), "edits", "linked", "comp")
     members = written(members, "groups")
-    single = members.select("a", "b", F.explode("edits").alias("edit"))
-    often = written(single.groupBy("a", "edit").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    # an edit that nobody else has can't be shared, and rare ones come first
+    single = members.select("a", "b", "comp", F.explode("edits").alias("edit"))
+    often = single.groupBy("a", "edit").agg(F.count("*").alias("often"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    often = written(often.where("low < high").select("a", "edit", "often"), "often")
+    # an edit of one component can't be shared with another, and rare ones come first
     ranked = single.join(often, ["a", "edit"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("often", "edit"))).alias("ranked"))
     ranked = ranked.join(members.drop("edits"), ["a", "b"])
     # the fewest edits that a link's two sides share, seen from either side; d: the most that may differ, as a part of |x| + |y|
     d = (100 - percent) / (100 + percent)
     as_any = F.expr(f"greatest(1, ceil((e - {d} * (nb - na)) / 2 - 1e-6))")
     as_straggler = F.expr(f"greatest(1, ceil((e - {d} * (nb + na)) / (1 + {d}) - 1e-6))")
-    prefix = lambda least: F.transform(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.col("e") - least + 1 - (F.col("e") - F.size("ranked"))).cast("int")), lambda x: x["edit"])
-    either = written(ranked.select("a", "b", "e", "nb", "linked", F.size("ranked").alias("r"), prefix(as_any).alias("any"), prefix(as_straggler).alias("own")), "prefixes")
-    spread = lambda which: either.select("a", "b", "e", "nb", "linked", F.col("r"), F.posexplode(which).alias("pos", "edit"))
-    side = lambda which, who: spread(which).select("a", F.col("b").alias(who), F.col("e").alias(f"e{who}"), F.col("nb").alias(f"n{who}"), (F.col("r") - F.col("pos")).alias(f"r{who}"), "linked", "edit")
+    prefix = lambda least: F.transform(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.size("ranked") - least + 1).cast("int")), lambda x: x["edit"])
+    either = ranked.select("a", "b", "comp", "e", "nb", "linked", F.size("ranked").alias("r"), prefix(as_any).alias("any"), prefix(as_straggler).alias("own"))
+    either = written(either, "prefixes")
+    side = lambda which, who: either.select("a", "b", "comp", "e", "nb", "linked", "r", F.posexplode(which).alias("pos", "edit")).select(
+        "a", F.col("b").alias(who), F.col("comp").alias(f"c{who}"), F.col("e").alias(f"e{who}"), F.col("nb").alias(f"n{who}"), (F.col("r") - F.col("pos")).alias(f"r{who}"), "linked", "edit")
     x, y = side("own", "x").where("NOT linked").drop("linked"), side("any", "y").drop("linked")
     # at the first edit that two sides share, what is left of either side bounds what they can share
-    fit = F.expr(f"x <> y AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND least(rx, ry) >= (ex + ey - {d} * (nx + ny)) / 2 - 1e-6")
+    fit = F.expr(f"cx <> cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND least(rx, ry) >= (ex + ey - {d} * (nx + ny)) / 2 - 1e-6")
     pairs = x.withColumnsRenamed({"a": "ax", "edit": "editx"}).join(y, (F.col("ax") == F.col("a")) & (F.col("editx") == F.col("edit")) & fit)
-    pairs = pairs.select("a", "x", "y").distinct()
+    pairs = written(pairs.select("a", "x", "y").distinct(), "candidates")
+    dropped(placed, mixed, often, either)
+    return members, pairs
+
+
+def straggler_links(told: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links(x, y) between classes of different components that a pivot's group has in common; see straggler_candidates."""
+    members, pairs = straggler_candidates(told, comps, percent)
     one, two = (members.select("a", F.col("b").alias(c), F.col("nb").alias(f"n{c}"), F.col("edits").alias(f"e{c}")) for c in "xy")
-    pairs = written(pairs, "candidates").join(one, ["a", "x"]).join(two, ["a", "y"])
-    pairs = pairs.withColumn("differ", F.size("ex") + F.size("ey") - 2 * F.size(F.array_intersect("ex", "ey")))
-    return pairs.where(_is_link("nx + ny", "differ", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = pairs.join(one, ["a", "x"]).join(two, ["a", "y"])
+    found = found.withColumn("differ", F.size("ex") + F.size("ey") - 2 * F.size(F.array_intersect("ex", "ey")))
+    found = written(found.where(_is_link("nx + ny", "differ", percent)).select("x", "y").distinct(), "stragglers")
+    dropped(members, pairs)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,8 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Words are runs of non-space characters, A-Z lower-cased; a set has the distinct k-word shingles of
     the whole text, or the whole sequence if there are fewer words. Documents are linked at
     100 * intersection >= percent * union; component_id is the smallest id reachable. Null and empty
-    texts are linked with nothing. Rows with the same id are one node, with the links that its first text
-    (in string order) and its exact copies give it. A row with a null id has no links, a null component_id,
+    texts are linked with nothing. Rows with the same id are one node, with the links of all its texts. A row with a null id has no links, a null component_id,
     and is kept. Repeated rows are given back as often. An empty table gives an empty one. Other columns,
     whatever their names, are ignored. Texts of any length are read whole, one at a time; a set of more than
     CHUNK shingles is signed in parts. Bands are set for percent >= 80.
@@ -212,15 +253,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_signature_task(k), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    same = full.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "rep")
-    same = written(same, "members")
-    least = classes.select("rep").distinct()
-    reps = full.join(least, full.doc_id == least.rep, "left_semi").dropDuplicates(["doc_id", "key1", "key2"])
+    keys = ["key1", "key2", "n_shingles"]
+    classes = full.groupBy(*keys).agg(F.min("doc_id").alias("rep")).withColumn("class", F.monotonically_increasing_id())
+    classes = written(classes, "classes")  # with their numbers
+    same = written(full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
     # two different sets have at most n / (n + 1) in common, n the smaller one's size
-    reps = written(reps.where(f"100 * n_shingles >= {percent} * (n_shingles + 1)").select("doc_id", "n_shingles", "bands"), "representatives")
+    able = classes.where(f"100 * n_shingles >= {percent} * (n_shingles + 1)")
+    reps = full.join(able.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).dropDuplicates(["class"])
+    reps = written(reps.select("class", "n_shingles", "bands"), "representatives")
 
-    rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    rows = reps.select(F.explode("bands").alias("band"), F.col("class").alias("id"))
     # tables, not aggregates, on the small side: Spark splits the partitions of hot keys only then
     shared = written(rows.groupBy("band").agg(F.count("*").alias("company")).where("company > 1"), "shared")
     counted = written(rows.join(shared, "band"), "buckets")
@@ -231,13 +273,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pivots = written(pivots, "pivots")
     pairs = written(rows.join(pivots, "band").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     dropped(rows, pivots, reps)
-    told = compared(texts, pairs, k)
-    # links between different ids that have copies of one another are known already
-    links = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = links.unionByName(told.where(_is_link("na + nb", "size(edits)", percent)).select("a", "b"))
-    links = written(links.unionByName(straggler_links(told, percent)), "links")
+    told = compared(texts, classes, pairs, k)
+    # classes as the ids that stand for them; links between ids that have copies of one another are known already
+    stand = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}"))
+    as_ids = lambda links, a, b: links.join(stand(a), a).join(stand(b), b).select(F.col(f"rep_{a}").alias("a"), F.col(f"rep_{b}").alias("b"))
+    links = told.where(_is_link("na + nb", "size(edits)", percent)).select("a", "b")
+    links = written(same.unionByName(as_ids(links, "a", "b")).where("a <> b"), "links")
     comps = components(links)
-    dropped(classes, same, pairs, told, links)
+    of_class = classes.join(comps, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("comp", "rep").alias("comp"))
+    of_class = written(of_class, "placed")
+    found = straggler_links(told, of_class, percent)
+    place = lambda c: of_class.select(F.col("class").alias(c), F.col("comp").alias(f"comp_{c}"))
+    more = written(found.join(place("x"), "x").join(place("y"), "y").select(F.col("comp_x").alias("a"), F.col("comp_y").alias("b")).distinct(), "more")
+    joined = components(more)
     out = signed.select("doc_id", "n_shingles").join(comps.withColumnRenamed("id", "node"), F.col("doc_id") == F.col("node"), "left")
-    comp = F.coalesce("comp", "doc_id")
+    out = out.withColumn("first", F.coalesce("comp", "doc_id")).drop("comp").join(joined.withColumnsRenamed({"id": "from", "comp": "to"}), F.col("first") == F.col("from"), "left")
+    dropped(classes, same, pairs, told, links, of_class, found, more)
+    comp = F.coalesce("to", "first")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
