@@ -26,6 +26,8 @@ from .shared import written
 from .textarrays import LOWER, NOT_SPACE, Words, lean, mix, text_slices
 
 DIMS, CELL_BITS = 4, 12
+#: White space in a row from which on a text is the tokenizers library's.
+RUN = 1 << 14
 #: Split of a text before the merges, as in the tokenizer file's byte-level step. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -46,6 +48,13 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def _file(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
@@ -61,16 +70,24 @@ def added_tokens(path: str) -> dict[str, int]:
 def ids_of(path: str):
     """text -> ids, as the tokenizer gives them when loaded: an added token's string in a text is that token.
 
-    Texts are split at added tokens, the longest first, and what lies between is split and merged alone.
+    Texts are split at added tokens, the longest first, and what lies between is split and merged alone. tiktoken's
+    pattern overflows its stack on very long runs of white space; texts with a run of RUN go to the tokenizers library.
     """
     code, known = encoder(path), added_tokens(path)
+    long_run = re.compile(r"\s{%d}" % RUN).search
+
+    def library(text: str) -> list[int]:
+        return _library(path).encode(text, add_special_tokens=False).ids
+
     if not known:
-        return code.encode_ordinary
+        return lambda text: library(text) if len(text) > RUN and long_run(text) else code.encode_ordinary(text)
     if any(x.get(flag) for x in _file(path)["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that depend on their neighbours aren't known here")
     cut = re.compile("|".join(map(re.escape, sorted(known, key=lambda x: (-len(x), x)))))
 
     def encode(text: str) -> list[int]:
+        if len(text) > RUN and long_run(text):
+            return library(text)
         ids, at = [], 0
         for found in cut.finditer(text):
             ids += code.encode_ordinary(text[at : found.start()])
