@@ -149,24 +149,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _settle(found: list[list[np.ndarray]]) -> pa.RecordBatch:
     """A row for each window and document: for each window its smallest document, and those settled by that one."""
-    first, second, owner = (np.concatenate(x) for x in found)
-    order = np.lexsort((owner, second, first))
-    first, second, owner = first[order], second[order], owner[order]
+    first, second, owner, part = (np.concatenate(x) for x in found)
+    order = np.lexsort((part, owner, second, first))
+    first, second, owner, part = first[order], second[order], owner[order], part[order]
     new = np.ones(len(first), bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
     again = np.zeros(len(first), bool)  # the same window of the same document
-    again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
-    first, second, owner, least = first[~again], second[~again], owner[~again], least[~again]
-    return pa.record_batch([_signed(first), second, owner, pa.array(owner, mask=owner == least)], ["h1", "h2", "owner", "settled"])
+    again[1:] = ~new[1:] & (owner[1:] == owner[:-1]) & (part[1:] == part[:-1])
+    first, second, owner, part, least = first[~again], second[~again], owner[~again], part[~again], least[~again]
+    return pa.record_batch([_signed(first), second, owner, part, pa.array(owner, mask=owner == least)], ["h1", "h2", "owner", "part", "settled"])
 
 
 def _candidate_task(k: int, bits: int, sketch):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, found, size = sketch.value, ([], [], []), 0
+        table, found, size = sketch.value, ([], [], [], []), 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in text_slices(batch.column(1)):
+            ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for lo, _, data, offsets in text_slices(batch.column(2)):
                 words = Words(data, offsets, NOT_SPACE)
                 plain = words.hashes()
                 at, first = words.windows(plain, k)
@@ -176,12 +176,13 @@ def _candidate_task(k: int, bits: int, sketch):
                     passed &= (table[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & 1 == 1
                 if passed.any():
                     second = (words.windows(words.hashes(1), k, 1)[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    for have, x in zip(found, (first[passed], second[passed], ids[lo + words.row_of(at[passed])]), strict=True):
+                    rows = lo + words.row_of(at[passed])
+                    for have, x in zip(found, (first[passed], second[passed], ids[rows], parts[rows]), strict=True):
                         have.append(x)
                     size += int(passed.sum())
                 if size >= SETTLE:
                     yield _settle(found)
-                    found, size = ([], [], []), 0
+                    found, size = ([], [], [], []), 0
         if size:
             yield _settle(found)
 
@@ -236,14 +237,25 @@ def _cut_task(k: int):
 
 
 def repeated_windows(texts: DataFrame, k: int) -> DataFrame:
-    """texts(id, text) -> (owner, h1): the windows of each document that also start in one with a smaller id."""
+    """texts(id, part, text) -> (owner, part, h1): the windows of each document that also start in one with a smaller id."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1.0, size * CELLS_A_BYTE)))))
     sketch = spark.sparkContext.broadcast(count_min(texts, "text", k, bits))
-    rows = texts.mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 int, owner long, settled long")
+    rows = texts.select("id", "part", "text").mapInArrow(_candidate_task(k, bits, sketch), "h1 long, h2 int, owner long, part int, settled long")
     least = F.min("owner").over(Window.partitionBy("h1", "h2", "settled"))  # settled: null, or the owner
-    return rows.withColumn("least", least).where("settled IS NOT NULL OR owner > least").select("owner", "h1")
+    return rows.withColumn("least", least).where("settled IS NOT NULL OR owner > least").select("owner", "part", "h1")
+
+
+def _parts(often: DataFrame):
+    """A function that adds a number `part` to rows of (id, key): 0, or for ids that may be in `often` one by the text's key."""
+    n = often.count()
+    if not n:
+        return lambda rows: rows.withColumn("part", F.lit(0))
+    blocks = bloom_blocks(n)
+    bloom = blocked_bloom(often, "id", blocks)
+    of_text = F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("int") + 1
+    return lambda rows: possible_hits(rows, "id", bloom, blocks, keep=True).withColumn("part", F.when(F.col("maybe"), of_text).otherwise(F.lit(0))).drop("maybe")
 
 
 def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -261,23 +273,27 @@ def cut_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
     kinds = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(more, keep, strict=True))
     texts = docs.select(*(F.col(c).alias(name) for name, c in zip(more, keep, strict=True)), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("key"))
     keys = written(texts.select("id", "key"), "keys")
+    # of ids that many rows have (a null id, above all), each text is a part of its own: no row gathers the windows of all
+    often = written(keys.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "often")
+    parted = _parts(often)
+    texts = parted(texts)
     firsts = written(keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "firsts")
-    copies = written(keys.join(firsts, "key").where("id > first").select("id", "key").distinct(), "copies")
+    copies = written(parted(keys.join(firsts, "key").where("id > first").select("id", "key").distinct()), "copies")
     blocks = bloom_blocks(copies.count())
     told = possible_hits(texts, "id", blocked_bloom(copies, "id", blocks), blocks, keep=True)
-    rest = told.where("maybe").select("id", "text", "key").join(copies, ["id", "key"], "left_anti")
-    first = told.where("NOT maybe").select("id", "text").unionByName(rest.select("id", "text"))
+    rest = told.where("maybe").select("id", "part", "text", "key").join(copies, ["id", "part", "key"], "left_anti")
+    first = told.where("NOT maybe").select("id", "part", "text").unionByName(rest.select("id", "part", "text"))
 
     marks = repeated_windows(first, k).withColumn("copy", F.lit(None).cast("binary"))
-    marks = marks.unionByName(copies.select(F.col("id").alias("owner"), F.lit(None).cast("long").alias("h1"), F.col("key").alias("copy")))
-    # by distinct windows of one document: no more than it has words
-    marks = written(marks.groupBy("owner").agg(F.collect_list("h1").alias("marks"), F.collect_set("copy").alias("copies")), "marks")
+    marks = marks.unionByName(copies.select(F.col("id").alias("owner"), "part", F.lit(None).cast("long").alias("h1"), F.col("key").alias("copy")))
+    # by distinct windows of one document, or of an often seen id's texts of one part: no more than these have words
+    marks = written(marks.groupBy("owner", F.col("part").alias("of_part")).agg(F.collect_list("h1").alias("marks"), F.collect_set("copy").alias("copies")), "marks")
     dropped(keys, firsts)
     blocks = bloom_blocks(marks.count())
     told = possible_hits(texts, "id", blocked_bloom(marks, "owner", blocks), blocks, keep=True)
     none = F.lit(None).cast("array<bigint>")
     sure = told.where("NOT maybe").select("id", "text", none.alias("marks"), F.lit(False).alias("copy"), *more)
-    cut = told.where("maybe").join(marks, F.col("id") == F.col("owner"), "left")
+    cut = told.where("maybe").join(marks, (F.col("id") == F.col("owner")) & (F.col("part") == F.col("of_part")), "left")
     cut = cut.select("id", "text", "marks", F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)).alias("copy"), *more)
     schema = f"doc_id long, n_words long, n_removed long, kept_words string, text string{kinds}"
     out = sure.mapInArrow(_cut_task(k), schema).unionByName(cut.mapInArrow(_cut_task(k), schema))
