@@ -88,15 +88,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     listed = rules.where("host IS NOT NULL AND path IS NOT NULL").select(ascii_lower(F.col("host")).alias("host"), "path", "verdict")
     listed = listed.withColumn("key", F.concat("host", F.lit("\n"), "path")).groupBy("key").agg(
         F.min("host").alias("r_host"), F.min("path").alias("r_path"), F.min("verdict").alias("r_verdict"))
-    n, lengths = listed.agg(F.count("*"), F.array_sort(F.collect_set(F.length("r_path")))).first()
+    labels = F.length("r_host") - F.length(F.replace("r_host", F.lit("."))) + 1
+    # how many different ones there are is bound by the longest rule's length, not by the number of rules
+    n, lengths, counts = listed.agg(F.count("*"), F.array_sort(F.collect_set(F.length("r_path"))), F.array_sort(F.collect_set(labels))).first()
     blocks = bloom_blocks(n)
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if n:
-        # a url's candidates: each suffix of its host at a label boundary with each listed length of path
-        labels = F.split("host", r"\.")
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        seen = urls.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix"))
+        # a url's candidates: the host's ends of as many labels as a rule's host has, each with each listed length of path
+        labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+        ends = F.array_compact(F.array(*(F.when(labels >= k, F.substring_index("host", ".", -k)) for k in counts)))
+        seen = urls.where("host <> ''").select("host", "path", F.explode(ends).alias("suffix"))
         fit = F.filter(F.array(*(F.lit(x) for x in lengths)), lambda k: k <= F.length("path"))
         seen = seen.select("host", "path", "suffix", F.explode(fit).alias("k"))
         seen = seen.select("host", "path", F.concat("suffix", F.lit("\n"), F.expr("substring(path, 1, k)")).alias("key"))
