@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 #: (licence, notice). Common short notices in public use.
 TEMPLATES = [
@@ -75,9 +75,11 @@ HEADS = (50, 150)
 #: A line of a comment, and comments between delimiters.
 COMMENT_LINE = r"[ \t]*+(?://|/\*|\*|#|--|;|%|<!--)"
 COMMENT = r'(?s)/\*.*?\*/|<!--.*?-->|""".*?"""'
+#: Beginnings and ends of delimited comments that differ.
+DELIMITERS = (("/*", "*/"), ("<!--", "-->"))
 #: A term is common if one of so many files has it; a corpus has at most so many times a file's terms of these.
 COMMON = 1000
-#: Weights of templates (a row for each term of each) are broadcast up to so many rows, and beyond joined by a shuffle.
+#: Weights of templates (a row for each term of each) and common terms are broadcast up to so many rows, and beyond joined by a shuffle.
 MOST_WEIGHTS = 200_000
 LICENSE_FILE = r"(?i)^(license|licence|copying)([.-][a-z0-9.]+)?$"
 LEAST = 0.7
@@ -88,6 +90,14 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), "")
 
 
+def _closed(text: Column) -> Column:
+    """The text with blanks in place of beginnings of comments that have no end, so that no search for one runs to the text's end."""
+    for begin, end in DELIMITERS:
+        rest = F.substring_index(text, end, -1)  # behind the last end
+        text = F.concat(F.left(text, F.length(text) - F.length(rest)), F.replace(rest, F.lit(begin), F.lit(" " * len(begin))))
+    return text
+
+
 def terms_of(text: str) -> list[str]:
     import re
 
@@ -169,7 +179,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
         some = rows.where(F.col("text").rlike(rf'(?m)^{COMMENT_LINE}|/\*|<!--|"""'))
         runs = F.split("text", rf"(?m)^(?!{COMMENT_LINE}).*$")
         parts = F.split("text", rf"(?m)^(?!{COMMENT_LINE}.*[A-Za-z0-9]).*$")
-        every = F.array_distinct(F.concat(runs, parts, F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0))))
+        every = F.array_distinct(F.concat(runs, parts, F.regexp_extract_all(_closed(F.col("text")), F.lit(COMMENT), F.lit(0))))
         some = some.select("path", "tag", F.posexplode(every).alias("pos", "segment")).select("path", "tag", (-1 - F.col("pos")).alias("line"), "segment")
         whole = whole.unionByName(some)
     whole = whole.withColumn("words", _words(F.col("segment"))).where(F.arrays_overlap("words", must_long))
@@ -178,7 +188,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     terms = segments.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
     if corpus_idf:
         # common terms, of which there are few, are broadcast: each may be in a large part of the segments
-        terms, common = written(terms, "segments"), F.broadcast(held.where(F.col("n") * COMMON >= total))
+        found, common = written(terms, "segments"), held.where(F.col("n") * COMMON >= total)
+        common, terms = (F.broadcast(common) if common.count() <= MOST_WEIGHTS else common), found
         rest = terms.join(common.select("term"), "term", "left_anti").join(held.where(F.col("n") * COMMON < total), "term", "left")
         terms = terms.join(common, "term").unionByName(rest)
         weight = F.log((F.lit(1) + total) / (1 + F.coalesce("n", F.lit(0)))) + 1
@@ -195,6 +206,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     scored = dots.join(norms, same[0] & same[1] & same[2]).select(dots["path"], dots["tag"], "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     own = scored.groupBy("path", "tag").agg(F.max("score").alias("score"), F.min_by("license", F.struct((-F.col("score")).alias("s"), "license")).alias("license"))
     own = written(own, "own")
+    dropped(terms, *((held, found) if corpus_idf else ()))
 
     # the licence of each directory, then of the nearest one above or at each directory that has files
     folder = F.when(F.col("path").isNotNull(), F.regexp_replace("path", "[^/]*$", ""))
@@ -206,6 +218,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     above = folders.select("folder", F.explode(F.array_distinct(above)).alias("over"))
     found = above.join(of_folder.withColumnRenamed("folder", "o"), F.col("over") == F.col("o")).groupBy("folder").agg(F.max_by("up", F.length("over")).alias("up"))
     found = written(found.withColumnRenamed("folder", "f"), "inherited")
+    dropped(of_folder)
     out = rows.select("doc_id", "path", "tag", folder.alias("folder"))
     own = own.select(F.col("path").alias("p"), F.col("tag").alias("t"), F.col("license").alias("own"), F.col("score").alias("own_score"))
     out = out.join(own, out["path"].eqNullSafe(own["p"]) & (out["tag"] == own["t"]), "left").join(found, F.col("folder") == F.col("f"), "left")
