@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .textarrays import lean, text_slices
 
 #: Pieces, their bytes and nodes of the trie that a task remembers, and bytes of text between two looks at how many there are.
-PIECES, PIECE_BYTES, NODES, STEP = 400_000, 8 << 20, 800_000, 1 << 19
+PIECES, PIECE_BYTES, NODES, STEP = 200_000, 8 << 20, 350_000, 1 << 19
 #: Symbols down to which nodes are kept; what longer words have in common beyond is rarely met again.
 DEEP = 64
 #: Normalisation and split of the tokenizer files that this module reads. Fixed values.
@@ -61,7 +61,6 @@ class Vocabulary:
             raise ValueError("added tokens that depend on their neighbours aren't known here")
         self.added = {x["content"].encode(): x["id"] for x in found["added_tokens"]}
         ids = model["vocab"]
-        self.names = {i: name for name, i in ids.items()} | {i: name.decode() for name, i in self.added.items()}
         self.text = {i: self.symbols(name) for name, i in ids.items()}
         self.ids = {text: i for i, text in self.text.items()}
         self.sizes = {i: len(text) for i, text in self.text.items()}
@@ -305,10 +304,19 @@ def _encode_task(path: str):
     return lean(task)
 
 
+@cache
+def token_names(path: str) -> pa.Array:
+    """The tokens' strings by id."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    ids = found["model"]["vocab"] | {x["content"]: x["id"] for x in found["added_tokens"]}
+    of = {i: name for name, i in ids.items()}
+    return pa.array([of.get(i) for i in range(max(of) + 1)])
+
+
 def _decode_task(path: str, names: list[str], step: int = 1 << 18):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path).vocabulary.names
-        shown = pa.array([of.get(i) for i in range(max(of) + 1)])
+        shown = token_names(path)
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False))
             at = 0
