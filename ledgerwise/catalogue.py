@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import peer_queries, record_queries, review_queries, serving_queries, stream_queries  # noqa: F401  they register themselves
+from .plans import index_queries, model_queries, peer_queries, record_queries, review_queries, serving_queries, stream_queries  # noqa: F401  they register themselves
 from .plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

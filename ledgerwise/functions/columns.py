@@ -36,6 +36,12 @@ def display_name(first, last, fallback) -> Column:
     return F.coalesce(F.nullif(F.trim(F.concat_ws(" ", F.trim(_col(first)), F.trim(_col(last)))), F.lit("")), _col(fallback).cast("string"))
 
 
+def title_case(c) -> Column:
+    """Each run of letters with a capital first and small letters after: O'Neil, Mc-Donald, 3M."""
+    runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
+
+
 def money(c) -> Column:
     """$1.25M, $3.4K or $950."""
     c = _col(c).cast("double")

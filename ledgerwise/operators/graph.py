@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from ..sources.staging import written
 from .peers import beside
 from .scoring import ordinal_rank
 
@@ -96,6 +97,47 @@ def ego_network(edges: DataFrame, center: int, hops: int = 1, most_edges: int =
     return among(both, top)
 
 
+def _best(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """The first `most` rows of each key; Spark drops the others in the tasks already, so a hub's edges aren't gathered."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def ego_networks(edges: DataFrame, centers: DataFrame, hops: int = 1, most_edges: int = 100, most_inner: int = 150, people: DataFrame | None = None, most_nodes: int = 60, second_edges: int = 500) -> DataFrame:
+    """ego_network of every provider in centers(npi), in one plan: (center, columns of edges, hop).
+
+    A node keeps its strongest edges only, as many as one network can take from it, before it is joined to the networks
+    it is in; so a hub that many networks share brings each of them a bounded number of rows. Edges among a
+    centre's neighbours are looked up by their pairs, of which `most_edges` is the bound, not by a hub's edges. Edges
+    must be one row for each source and target.
+    """
+    order = [F.desc("shared"), "source", "target"]
+    names = edges.columns
+    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), *names).unionByName(edges.where("source <> target").select(F.col("target").alias("node"), F.col("source").alias("other"), *names))
+    asked = centers.select(F.col("npi").alias("node")).distinct()
+    first = _best(ends.join(asked, "node", "left_semi"), ["node"], order, most_edges).withColumnRenamed("node", "center")
+    first = written(first, "first")
+    near = first.select("center", F.col("other").alias("npi")).distinct()
+    hop1 = first.select("center", *names, F.lit(1).alias("hop"))
+    if hops == 1:
+        pairs = near.withColumnRenamed("npi", "source").join(near.withColumnRenamed("npi", "target"), "center")
+        inner = _best(pairs.join(edges, ["source", "target"]), ["center"], order, most_inner)
+        return hop1.unionByName(inner.select("center", *names, F.lit(0).alias("hop")))
+    # a neighbour's edges with the centre itself, one each way, take places of it
+    strong = _best(ends.join(near.select(F.col("npi").alias("node")).distinct(), "node", "left_semi"), ["node"], order, second_edges + 2)
+    second = near.join(strong, near.npi == strong.node).where("source <> center AND target <> center").select("center", *names).distinct()
+    hop2 = _best(second, ["center"], order, second_edges).withColumn("hop", F.lit(2))
+    both = hop1.unionByName(hop2)
+    if people is None:
+        return both
+    both = written(both, "both")
+    nodes = both.select("center", F.col("source").alias("npi")).unionByName(both.select("center", F.col("target").alias("npi"))).distinct()
+    known = nodes.join(people.select("npi", "risk_score"), "npi")
+    top = _best(known, ["center"], [F.col("npi") != F.col("center"), F.desc_nulls_last("risk_score"), "npi"], most_nodes).select("center", "npi")
+    for end in ("source", "target"):
+        both = both.join(top.withColumnRenamed("npi", end), ["center", end], "left_semi")
+    return both.select("center", *names, "hop")
+
+
 def edge_width(shared) -> F.Column:
     return F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.log1p(shared) * 0.6))
 

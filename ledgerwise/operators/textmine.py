@@ -16,6 +16,16 @@ def strip_forms(name) -> Column:
     return F.trim(F.regexp_replace(name, rf"(?i)[,.\s]+({'|'.join(FORMS)})\.?\s*$", ""))
 
 
+#: What a press release tells of criminal actions, and of civil ones. Fixed values.
+CRIMINAL = ["sentenced", "convicted", "guilty", "indicted", "arrested", "fraud charges", "criminal"]
+CIVIL = ["settlement", "civil monetary penalty", "cmp", "false claims"]
+
+
+def enforcement_severity(text, criminal: list[str] = CRIMINAL, civil: list[str] = CIVIL) -> Column:
+    """critical for a criminal action, adverse for a civil one alone, else warning; phrases count wherever they are, without negation."""
+    return keyword_severity(text, [("critical", criminal), ("adverse", civil)], [], default="warning")
+
+
 def judged(texts: DataFrame, buckets: list[tuple[str, list[str]]], negations: list[str], text_col: str = "text") -> DataFrame:
     return texts.withColumn("severity", keyword_severity(text_col, buckets, negations)).withColumn("phrases", matched_phrases(text_col, buckets, negations))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
 from ..operators.peers import with_medians
-from ..sources.staging import written
+from ..sources.staging import dropped, written
 from . import fixtures
 
 QUERIES: dict = {}
@@ -41,13 +41,23 @@ def query(sql: str | None):
     return add
 
 
+#: Where the scored providers of a session and a folder are; queries share them.
+_WRITTEN: dict[tuple[str, str], tuple] = {}
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Providers with a deterministic proxy score, written once for all that a query does with them."""
-    p = written(fixtures.providers(spark, d).withColumn("_ppb", F.col("total_payment") / F.col("total_beneficiaries")), "providers")
-    p = with_medians(p, {"med": "total_payment", "med_ppb": "_ppb"}, ["specialty"]).drop("_ppb")
-    p = p.withColumns({"pv": F.col("total_payment") / F.col("med"), "ppb_vs_peer": F.col("total_payment") / F.col("total_beneficiaries") / F.col("med_ppb")})
-    risk = F.round(F.least(F.lit(100.0), 45.0 * F.col("pv") + (F.col("npi") * 37) % 11), 2)
-    return written(p.withColumns({"risk_score": risk, "address": F.concat("state", F.lit(" "), (F.col("npi") % 7).cast("string"))}), "scored")
+    """Providers with a deterministic proxy score, written once for all queries of a session, in the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WRITTEN:
+        base = written(fixtures.providers(spark, d).withColumn("_ppb", F.col("total_payment") / F.col("total_beneficiaries")), "providers")
+        p = with_medians(base, {"med": "total_payment", "med_ppb": "_ppb"}, ["specialty"]).drop("_ppb")
+        p = p.withColumns({"pv": F.col("total_payment") / F.col("med"), "ppb_vs_peer": F.col("total_payment") / F.col("total_beneficiaries") / F.col("med_ppb")})
+        risk = F.round(F.least(F.lit(100.0), 45.0 * F.col("pv") + (F.col("npi") * 37) % 11), 2)
+        out = written(p.withColumns({"risk_score": risk, "address": F.concat("state", F.lit(" "), (F.col("npi") % 7).cast("string"))}), "scored")
+        dropped(base)
+        _WRITTEN[key] = (out.schema, out.written_to)
+    schema, path = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def flags(p: DataFrame) -> DataFrame:
