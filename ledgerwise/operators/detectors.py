@@ -6,20 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from ..sources.staging import written
 from .peers import with_medians
+from .quantiles import percentiles
 
 FLAG = ["npi", "flag_type", "layer", "year", "severity", "confidence", "flag_value", "peer_value", "overpayment"]
 
 
-def code_benchmarks(lines: DataFrame, least: int = 5) -> DataFrame:
-    """Per specialty, state and code: peers, median/p90/p99 payment per provider, services per beneficiary, charge."""
-    per = lines.groupBy("specialty", "state", "code", "npi").agg(
+def _percentiles(per: DataFrame, by: list[str], value: str, hot: int) -> DataFrame:
+    """(by, peers, p50, p90, p99); see quantiles.percentiles for groups of more than `hot` rows."""
+    p = percentiles(per, by, value, [0.5, 0.9, 0.99], hot=hot)
+    return p.select(*by, F.col("n").alias("peers"), *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("p50", "p90", "p99"))))
+
+
+def code_benchmarks(lines: DataFrame, least: int = 5, hot: int | None = None) -> DataFrame:
+    """Per specialty, state and code: peers, median/p90/p99 payment per provider, services per beneficiary, charge.
+
+    Without `hot`, a group's distinct values are in one task's memory; with it, groups of more providers than that are
+    selected by counted ranges, of any size.
+    """
+    by = ["specialty", "state", "code"]
+    per = lines.groupBy(*by, "npi").agg(
         F.sum("payment").cast("double").alias("payment"), safe_divide(F.sum("services"), F.count_distinct("bene"), None).alias("spb"), F.avg(F.col("charge").cast("double")).alias("charge"))
+    if hot is not None:
+        per = written(per, "per-provider")
+        out = _percentiles(per, by, "payment", hot)
+        for name, column in (("median_spb", "spb"), ("median_charge", "charge")):
+            other = percentiles(per, by, column, [0.5], hot=hot).select(*(F.col(c).alias(f"_{c}") for c in by), F.get("p", F.lit(0)).alias(name))
+            out = out.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*(f"_{c}" for c in by))
+        return out.where(F.col("peers") >= least)
     out = per.groupBy("specialty", "state", "code").agg(F.count("*").alias("peers"), F.percentile("payment", [0.5, 0.9, 0.99]).alias("p"), F.percentile("spb", 0.5).alias("median_spb"), F.percentile("charge", 0.5).alias("median_charge"))
     return out.where(F.col("peers") >= least).select("specialty", "state", "code", "peers", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"), "median_spb", "median_charge")
 
 
-def provider_benchmarks(providers: DataFrame, least: int = 5) -> DataFrame:
+def provider_benchmarks(providers: DataFrame, least: int = 5, hot: int | None = None) -> DataFrame:
+    """As code_benchmarks, for providers' totals; with `hot`, providers without a payment aren't peers."""
+    if hot is not None:
+        out = _percentiles(providers, ["specialty", "state"], "total_payment", hot).where(F.col("peers") >= least)
+        return out.select("specialty", "state", F.lit(None).cast("string").alias("code"), "peers", "p50", "p90", "p99")
     out = providers.groupBy("specialty", "state").agg(F.count("*").alias("peers"), F.percentile("total_payment", [0.5, 0.9, 0.99]).alias("p"))
     return out.where(F.col("peers") >= least).select("specialty", "state", F.lit(None).cast("string").alias("code"), "peers", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"))
 

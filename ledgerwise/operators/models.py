@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import class_balance, ordinal_rank
@@ -102,16 +102,24 @@ def isolation_scores(df: DataFrame, columns: list[str], key: str = "npi", trees:
     return out.withColumn("is_outlier", F.col("isolation_rank") > 1 - contamination).drop("_r")
 
 
-def boosted_model(df: DataFrame, columns: list[str], rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42):
-    """(df(label, weight) with scaled features, the fitted trees); the weight carries the class balance."""
-    scale = class_balance(df).first()[0]
-    rows = scaled(df, columns).withColumn("_w", F.col("weight") * F.when(F.col("label") == 1, scale).otherwise(1.0))
-    return rows, GBTClassifier(labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed).fit(rows)
+def boosted_model(df: DataFrame, columns: list[str], rounds: int = 400, depth: int = 6, step: float = 0.05, seed: int = 42, features: float = 0.8, train: Column | None = None):
+    """(df(label, weight) with scaled features, the fitted trees); the weight carries the class balance.
 
-
-def boosted_scores(df: DataFrame, columns: list[str], rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42) -> DataFrame:
-    """df(label, weight) with boosted: the probability of label 1."""
-    rows, model = boosted_model(df, columns, rounds, depth, step, seed)
+    Each tree sees eight tenths of the rows, each of its cuts a part `features` of the columns. train: the rows to fit on (all
+    by default); scaling and balance are of these, so rows that are held out teach nothing.
+    """
+    fit_on = df if train is None else df.where(train)
+    scale = class_balance(fit_on).first()[0]
+    vectors = lambda x: VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep").transform(x)
+    scaler = RobustScaler(inputCol="_raw", outputCol="features", withCentering=True).fit(vectors(fit_on))
+    rows = scaler.transform(vectors(df)).drop("_raw").withColumn("_w", F.col("weight") * F.when(F.col("label") == 1, scale).otherwise(1.0))
+    trees = GBTClassifier(labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy=str(features), seed=seed)
+    return rows, trees.fit(rows if train is None else rows.where(train))
+
+
+def boosted_scores(df: DataFrame, columns: list[str], rounds: int = 400, depth: int = 6, step: float = 0.05, seed: int = 42, features: float = 0.8, train: Column | None = None) -> DataFrame:
+    """df(label, weight) with boosted: the probability of label 1, by a model of the rows that `train` names (all by default)."""
+    rows, model = boosted_model(df, columns, rounds, depth, step, seed, features, train)
     return model.transform(rows).withColumn("boosted", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "_w", "features")
 
 

@@ -9,16 +9,18 @@ from ..functions.columns import safe_divide
 from ..sources.staging import written
 
 
-def ordinal_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+def ordinal_rank(df: DataFrame, order: list[str], name: str = "rank", total: str | None = None) -> DataFrame:
     """Positions from 1 in the order of the columns, which must tell all rows apart; no task holds all rows.
 
     Rows are range-partitioned and written with the number of their partition, so that counting them and numbering
-    them see the same partitions. The counts (a row for each partition) give each partition's first number.
+    them see the same partitions. The counts (a row for each partition) give each partition's first number, and their sum,
+    as column `total` if asked for.
     """
     ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_part", before.alias("_before"))
+    every = [F.sum("count").over(Window.partitionBy()).alias(total)] if total else []
+    counts = counts.select("_part", before.alias("_before"), *every)
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_own", own).join(F.broadcast(counts), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
@@ -29,14 +31,12 @@ def composite(boosted: Column, isolation: Column, error: Column, weights: tuple[
 
 def top_tail_stretch(df: DataFrame, score: str, key: str, cut: float = 0.95, power: float = 0.6, least: int = 100) -> DataFrame:
     """Scores ranked in the top part are spread from the cut's score up to 1; fewer than `least` rows stay."""
-    ranked = written(ordinal_rank(df, [score, key], "_rank"), "ranked")
-    n = ranked.count()
-    at = int(cut * (n - 1)) + 1
-    floor = ranked.where(F.col("_rank") == at).select(F.col(score).alias("_c0"))
+    ranked = ordinal_rank(df, [score, key], "_rank", total="_n")
+    floor = ranked.where(F.col("_rank") == F.floor(F.lit(cut) * (F.col("_n") - 1)) + 1).select(F.col(score).alias("_c0"))
     ranked = ranked.crossJoin(F.broadcast(floor))  # one row, none of an empty table
-    r = (F.col("_rank") - 1) / F.lit(max(n - 1, 1))
+    r = (F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
     spread = F.col("_c0") + (1 - F.col("_c0")) * F.pow((r - cut) / (1 - cut), power)
-    return ranked.withColumn("stretched", F.when(F.lit(n >= least) & (r >= cut), spread).otherwise(F.col(score))).drop("_rank", "_c0")
+    return ranked.withColumn("stretched", F.when((F.col("_n") >= least) & (r >= cut), spread).otherwise(F.col(score))).drop("_rank", "_n", "_c0")
 
 
 def volume_discount(score: Column, specialty: Column, ppb: Column, excluded: Column, specialties: list[str]) -> Column:

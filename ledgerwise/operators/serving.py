@@ -57,7 +57,7 @@ def dashboard(people: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     out = people.agg(
         F.count("*").alias("providers"), c(90).alias("critical"), c(70, 90).alias("high"), c(50, 70).alias("medium"), F.count_if("excluded").alias("excluded"), F.count_distinct("state").alias("states"),
         F.sum("total_payment").alias("total_payment"), F.sum(F.when(F.col("risk_score") >= 70, F.col("total_payment"))).alias("payment_at_risk"), F.avg("risk_score").alias("avg_risk"))
-    return out if cases is None else out.crossJoin(cases.agg(F.count_if(F.col("status") == "open").alias("open_cases")))
+    return out if cases is None else out.crossJoin(F.broadcast(cases.agg(F.count_if(F.col("status") == "open").alias("open_cases"))))  # one row each
 
 
 def state_map(people: DataFrame, flags: DataFrame) -> DataFrame:

@@ -26,6 +26,63 @@ def enforcement_severity(text, criminal: list[str] = CRIMINAL, civil: list[str]
     return keyword_severity(text, [("critical", criminal), ("adverse", civil)], [], default="warning")
 
 
+#: A press release's card in a page, and what is read from it. Patterns are fixed values.
+CARD = r'(?is)<article[^>]*class="[^"]*node--type-press-release[^>]*>(.*?)</article>'
+CARD_TITLE = r'(?s)<h2[^>]*>\s*<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>'
+CARD_DATE = r'datetime="([0-9]{4}-[0-9]{2}-[0-9]{2})'
+CARD_BODY = r'(?s)<div[^>]*class="[^"]*field--name-body[^>]*>(.*?)</div>'
+
+
+def press_cards(pages: DataFrame, site: str, id_col: str = "page_id", html_col: str = "html", most: int = 400, criminal: list[str] = CRIMINAL, civil: list[str] = CIVIL) -> DataFrame:
+    """(id, n, title, url, date, summary, severity): the press releases of each page, in order.
+
+    Titles and summaries are without tags, summaries cut to `most` characters; urls without a scheme are of the site; a card
+    without a title goes, one without a date or body has null or ''. The severity is told from title and summary.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " "))
+    each = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(CARD), F.lit(1))).alias("n", "card")).where(F.col("card").rlike(CARD_TITLE))
+    href = F.regexp_extract("card", CARD_TITLE, 1)
+    found = each.select(
+        "id", "n", plain(F.regexp_extract("card", CARD_TITLE, 2)).alias("title"), F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(site), href)).alias("url"),
+        F.to_date(F.nullif(F.regexp_extract("card", CARD_DATE, 1), F.lit(""))).alias("date"), F.substring(plain(F.regexp_extract("card", CARD_BODY, 1)), 1, most).alias("summary"))
+    return found.withColumn("severity", enforcement_severity(F.concat_ws(" ", "title", "summary"), criminal, civil))
+
+
+REGISTRY_RECORD = """struct<basic:struct<status:string, enumeration_date:string, first_name:string, last_name:string, organization_name:string>,
+other_names:array<struct<organization_name:string, first_name:string>>, addresses:array<struct<address_purpose:string>>, taxonomies:array<struct<desc:string>>>"""
+
+
+def registry_checks(records: DataFrame, as_of: str) -> DataFrame:
+    """records(npi, record JSON, first_name, last_name, organization as billed) -> (npi, severity, title), the checks of a registry record.
+
+    Deactivated; enumerated up to 36 months ago, of 30 days each; a name that differs from the billed one (organizations may
+    contain one another); other names; three or more places; and where nothing is found, that the identity was verified. A
+    record that isn't JSON is verified against nothing: no row.
+    """
+    r = records.select("npi", "first_name", "last_name", "organization", F.from_json("record", REGISTRY_RECORD).alias("r")).where("r.basic IS NOT NULL OR r.addresses IS NOT NULL OR r.taxonomies IS NOT NULL")
+    name = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    status = F.coalesce("r.basic.status", F.lit("A"))
+    day = F.try_to_timestamp("r.basic.enumeration_date", F.lit("yyyy-MM-dd")).cast("date")
+    months = F.greatest(F.lit(0), F.floor(F.datediff(F.lit(as_of).cast("date"), day) / 30)).cast("int")
+    organization, billed = name("r.basic.organization_name"), name("organization")
+    last, billed_last = name("r.basic.last_name"), name("last_name")
+    other = (organization != "") & (billed != "")
+    differs = F.when(other, ~(F.contains(organization, billed) | F.contains(billed, organization))).when((last != "") & (billed_last != ""), last != billed_last).otherwise(F.lit(False))
+    aliases = F.size(F.filter(F.transform(F.coalesce("r.other_names", F.array()), lambda o: F.coalesce(F.nullif(o["organization_name"], F.lit("")), o["first_name"], F.lit(""))), lambda a: a != ""))
+    places = F.size(F.filter(F.coalesce("r.addresses", F.array()), lambda a: F.upper(F.coalesce(a["address_purpose"], F.lit(""))) == "LOCATION"))
+    found = lambda when, severity, title: F.when(when, F.struct(F.lit(severity).alias("severity"), title.alias("title")))
+    every = F.array_compact(F.array(
+        found((status != "") & (F.upper(status) != "A"), "critical", F.concat(F.lit("deactivated, status "), status)),
+        found(months <= 24, "warning", F.concat(F.lit("new, "), months.cast("string"), F.lit(" months"))),
+        found((months > 24) & (months <= 36), "info", F.concat(F.lit("new, "), months.cast("string"), F.lit(" months"))),
+        found(differs, "adverse", F.lit("name differs from billing record")),
+        found(aliases > 0, "info", F.concat(aliases.cast("string"), F.lit(" other names"))),
+        found(places >= 3, "info", F.concat(places.cast("string"), F.lit(" places")))))
+    specialty = F.coalesce(F.get("r.taxonomies", F.lit(0))["desc"], F.lit("unspecified"))
+    verified = F.array(F.struct(F.lit("none").alias("severity"), F.concat(F.lit("identity verified, "), specialty).alias("title")))
+    return r.select("npi", F.explode(F.when(F.size(every) > 0, every).otherwise(verified)).alias("f")).select("npi", "f.*")
+
+
 def judged(texts: DataFrame, buckets: list[tuple[str, list[str]]], negations: list[str], text_col: str = "text") -> DataFrame:
     return texts.withColumn("severity", keyword_severity(text_col, buckets, negations)).withColumn("phrases", matched_phrases(text_col, buckets, negations))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import title_case
-from ..operators import graph, quantiles, search_index, snapshot, textmine
+from ..operators import detectors, graph, quantiles, search_index, snapshot, textmine
 from ..sources import zips
 from ..sources.buckets import Buckets
 from ..sources.staging import new_path, written
@@ -278,3 +278,52 @@ _CRIMINAL, _CIVIL = ["that is the", "was on"], ["of the"]
 def enforcement_severities(spark, d):
     docs = fixtures.table(spark, d, "documents")
     return docs.select("doc_id", textmine.enforcement_severity("text", criminal=_CRIMINAL, civil=_CIVIL).alias("severity"))
+
+
+@query("""SELECT o_custkey AS id, 'Order ' || o_orderkey || ' of ' || o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'https://x.test/' ELSE 'https://site.test/news/' END || o_orderkey AS url,
+CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date, CASE o_orderstatus WHEN 'F' THEN 'Was sentenced' WHEN 'O' THEN 'A settlement of ' || o_orderpriority ELSE '' END AS summary,
+CASE o_orderstatus WHEN 'F' THEN 'critical' WHEN 'O' THEN 'adverse' ELSE 'warning' END AS severity FROM orders WHERE o_orderkey % 7 <> 0""")
+def press_cards(spark, d):
+    """A page of each customer's orders as press releases, some without date, body or title."""
+    o = fixtures.table(spark, d, "orders")
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    title = F.concat(F.lit('<h2 class="t">\n <a rel="x" href="'), F.when(F.col("o_orderkey") % 2 == 0, "https://x.test/").otherwise("/news/"), key, F.lit('">Order <b>'), key, F.lit("</b>\n of "), kind, F.lit("</a></h2>"))
+    body = F.when(F.col("o_orderstatus") == "F", F.lit("<p>Was\n  sentenced</p>")).when(F.col("o_orderstatus") == "O", F.concat(F.lit("A <i>settlement</i> of "), kind))
+    card = F.concat(
+        F.lit('<article class="node node--type-press-release c">'), F.when(F.col("o_orderkey") % 7 != 0, title).otherwise(F.lit("<h2>none</h2>")),
+        F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit('<time datetime="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00">x</time>'))).otherwise(F.lit("")),
+        F.coalesce(F.concat(F.lit('<div class="field field--name-body f">'), body, F.lit("</div>")), F.lit("")), F.lit("</article><article>other</article>"))
+    pages = o.groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(card)), "\n").alias("html"))
+    return textmine.press_cards(pages, "https://site.test").drop("n").withColumn("date", F.col("date").cast("string"))
+
+
+_DAYS = "date_diff('day', d, DATE '2024-06-30')"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS npi, c_custkey % 10 = 0 AS off, CASE WHEN c_custkey % 3 = 0 THEN DATE '2024-06-30' - INTERVAL (c_custkey % 1500) DAY END AS d, c_custkey % 4 AS q, c_custkey % 5 AS a, c_custkey % 6 AS p, c_mktsegment AS s FROM customer),
+m AS (SELECT *, greatest(0, CAST(floor({_DAYS} / 30.0) AS INTEGER)) AS months FROM c),
+f AS (SELECT npi, 'critical' AS severity, 'deactivated, status D' AS title FROM m WHERE off UNION ALL SELECT npi, CASE WHEN months <= 24 THEN 'warning' ELSE 'info' END, 'new, ' || months || ' months' FROM m WHERE months <= 36
+UNION ALL SELECT npi, 'adverse', 'name differs from billing record' FROM m WHERE q = 1 UNION ALL SELECT npi, 'info', a || ' other names' FROM m WHERE a > 0 UNION ALL SELECT npi, 'info', p || ' places' FROM m WHERE p >= 3)
+SELECT * FROM f UNION ALL SELECT npi, 'none', 'identity verified, ' || s FROM m WHERE npi NOT IN (SELECT npi FROM f)""")
+def registry_checked(spark, d):
+    """Records made of customers: some deactivated, new, under another name, with other names or many places, and the rest verified."""
+    c = fixtures.table(spark, d, "customer").select(F.col("c_custkey").alias("npi"), "c_name", "c_mktsegment")
+    day = F.date_sub(F.lit("2024-06-30").cast("date"), (F.col("npi") % 1500).cast("int"))
+    many = lambda n, value: F.transform(F.filter(F.sequence(F.lit(1), F.lit(6)), lambda i: i <= n), lambda i: value)
+    basic = F.struct(
+        F.when(F.col("npi") % 10 == 0, "D").otherwise("A").alias("status"), F.when(F.col("npi") % 3 == 0, day.cast("string")).alias("enumeration_date"),
+        F.when(F.col("npi") % 4 >= 2, F.concat(F.lower("c_name"), F.lit(" inc"))).alias("organization_name"), F.when(F.col("npi") % 4 == 1, "other").otherwise("Same ").alias("last_name"))
+    record = F.to_json(F.struct(
+        basic.alias("basic"), many(F.col("npi") % 5, F.struct(F.lit("").alias("organization_name"), F.lit("x").alias("first_name"))).alias("other_names"),
+        F.concat(many(F.col("npi") % 6, F.struct(F.lit("Location").alias("address_purpose"))), F.array(F.struct(F.lit("MAILING").alias("address_purpose")))).alias("addresses"),
+        F.array(F.struct(F.col("c_mktsegment").alias("desc"))).alias("taxonomies")))
+    return textmine.registry_checks(c.select("npi", record.alias("record"), F.lit("A").alias("first_name"), F.lit("SAME").alias("last_name"), F.col("c_name").alias("organization")), "2024-06-30")
+
+
+@query("""WITH p AS (SELECT o_orderpriority AS specialty, o_orderstatus AS state, o_totalprice AS v FROM orders)
+SELECT specialty, state, count(*) AS peers, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90, round(quantile_cont(v, 0.99), 4) AS p99 FROM p GROUP BY 1, 2 HAVING count(*) >= 5""")
+def benchmarks_of_hot_groups(spark, d):
+    """Benchmarks whose groups of more than a hundred are selected by counted ranges."""
+    o = fixtures.table(spark, d, "orders").select(F.col("o_orderpriority").alias("specialty"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("total_payment"))
+    out = detectors.provider_benchmarks(o, hot=100)
+    return out.select("specialty", "state", "peers", *(F.round(c, 4).alias(c) for c in ("p50", "p90", "p99")))
