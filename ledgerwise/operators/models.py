@@ -1,9 +1,9 @@
 """Model scores: isolation forest, boosted trees, reconstruction error, attributions.
 
-Spark ML has no isolation forest and no autoencoder. The forest is built here: each tree is grown in a task of its
-own from a sample of all rows, and all trees are walked level by level inside a pandas UDF. Reconstruction
-error comes from principal components, a stated substitute. Attributions are the change of the fitted model's
-score with a feature at its median.
+Spark ML has no isolation forest. The forest is built here: each tree is grown in a task of its own from a sample of
+all rows, and all trees are walked level by level inside a pandas UDF. Reconstruction error comes from principal
+components here, and from a fitted net in autoencoder.py. Attributions here are the change of the fitted model's
+score with a feature at its median; Shapley values are in shapley.py.
 """
 
 from __future__ import annotations
@@ -18,14 +18,31 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
 from .scoring import class_balance, ordinal_rank
 
+
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """features: median and interquartile range at 0 and 1; columns without spread become 0."""
     vectors = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep").transform(df)
     return RobustScaler(inputCol="_raw", outputCol="features", withCentering=True).fit(vectors).transform(vectors).drop("_raw")
 
 
+def robust(df: DataFrame, columns: list[str], out: str = "x") -> DataFrame:
+    """df with `out`: the columns as an array, less their medians, in interquartile ranges; 0 for nulls and for columns without spread.
+
+    The quantiles are exact: of counted ranges, so a column of any length fits.
+    """
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("e")).select("e.*")
+    found = percentiles(long, ["i"], "v", [0.25, 0.5, 0.75]).collect()  # a row for each column
+    of = {r["i"]: r["p"] for r in found}
+    parts = []
+    for i, c in enumerate(columns):
+        low, middle, high = of.get(i, (0.0, 0.0, 0.0))
+        parts.append(F.coalesce((F.col(c).cast("double") - middle) / (high - low), F.lit(0.0)) if high > low else F.lit(0.0))
+    return df.withColumn(out, F.array(*parts))
+
+
 def grow(x: np.ndarray, features: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[list, list, list, list]:
     """A tree of random cuts as arrays (feature, cut, left child, path length of a leaf); the right child follows the left one."""
     feature, cut, child, length = [-1], [0.0], [0], [0.0]

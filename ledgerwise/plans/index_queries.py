@@ -215,6 +215,21 @@ def delivered_late(spark, d):
     return spark.read.parquet(sent).select("flag_id", "batch")
 
 
+@query(f"""WITH {ALERTS}, q AS (SELECT quantile_cont(epoch_us(ts), [0.25, 0.5, 0.75]) AS q FROM events),
+b AS (SELECT flag_id, severity, created_at, CASE WHEN epoch_us(created_at) <= q[1] THEN 0 WHEN epoch_us(created_at) <= q[2] THEN 1 WHEN epoch_us(created_at) <= q[3] THEN 2 ELSE 3 END AS batch FROM alerts, q),
+n AS (SELECT batch, flag_id, row_number() OVER (PARTITION BY batch ORDER BY severity, created_at DESC, flag_id) AS n FROM b WHERE severity <= 2 AND batch <> 2)
+SELECT batch, 'alert' AS kind, flag_id FROM n WHERE n <= 15 UNION ALL SELECT DISTINCT 2, 'heartbeat', -1 FROM events""")
+def batches_with_heartbeat(spark, d):
+    """Four batches: the worst and latest alerts of three, and a heartbeat for the one that has none."""
+    cuts = fixtures.table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.percentile("t", [0.5, 0.75])).first()[0]
+    at, out = F.unix_micros("created_at"), new_path(spark, "told")
+    stream = _events(spark, d, _by_day(spark, d)).where((F.col("severity") <= 2) & ((at <= cuts[0]) | (at > cuts[1])))
+    put = lambda df, number, kind: df.select(F.lit(number).alias("batch"), F.lit(kind).alias("kind"), F.col("flag_id").cast("long").alias("flag_id")).write.mode("append").parquet(out)
+    feeds.send_batches(
+        stream, lambda df, n: put(df, n, "alert"), lambda n: put(spark.createDataFrame([(-1,)], "flag_id long"), n, "heartbeat"), new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("""SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99,
 round(quantile_cont(l_quantity, 0.5), 4) AS q50 FROM lineitem GROUP BY 1, 2""")
 def hot_percentiles(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import autoencoder, models, shapley
 from ..sources.staging import written
-from .registry import query, scored
+from .registry import SCORED, query, scored
 from .serving_queries import MODEL
 
 
@@ -16,11 +16,13 @@ def labelled(spark, d):
     return written(p, "labelled")
 
 
-def standard(p, columns):
-    """x: the columns as an array, less their medians, in interquartile ranges; all of them exact."""
-    middle = p.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_{c}") for c in columns))
-    parts = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_{c}")[1], F.col(f"_{c}")[2] - F.col(f"_{c}")[0]), F.lit(0.0)) for c in columns]
-    return p.crossJoin(F.broadcast(middle)).withColumn("x", F.array(*parts)).drop(*(f"_{c}" for c in columns))  # one row
+_SCALED = ", ".join(f"round((CAST({c} AS DOUBLE) - m_{c}[2]) / (m_{c}[3] - m_{c}[1]), 6) AS {c}" for c in MODEL)
+
+
+@query(f"""WITH {SCORED}, q AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS m_{c}" for c in MODEL)} FROM scored) SELECT npi, {_SCALED} FROM scored, q""")
+def robust_scaled(spark, d):
+    p = models.robust(scored(spark, d).select("npi", *MODEL), MODEL)
+    return p.select("npi", *(F.round(F.get("x", F.lit(i)), 6).alias(c) for i, c in enumerate(MODEL)))
 
 
 @query(None)
@@ -36,6 +38,6 @@ def shapley_values(spark, d):
 @query(None)
 def autoencoder_errors(spark, d):
     """The net is fitted on providers up to the 90th percentile of payment against peers; all are judged."""
-    p = standard(labelled(spark, d), MODEL)
+    p = models.robust(labelled(spark, d), MODEL)
     net = autoencoder.fit(autoencoder.usual(p, "pv"), layers=(16, 4, 16), rounds=15)
     return autoencoder.reconstruction_errors(p.select("npi", "x"), net).select("npi", "error")
