@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +25,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists of what is written while someone keeps account; the innermost one counts.
+_ACCOUNTS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def written_within() -> Iterator[list[DataFrame]]:
+    """The tables that are written inside, for whoever drops them once nothing reads them any more."""
+    _ACCOUNTS.append([])
+    try:
+        yield _ACCOUNTS[-1]
+    finally:
+        _ACCOUNTS.pop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _ACCOUNTS:
+        _ACCOUNTS[-1].append(out)
     return out
 
 
