@@ -53,7 +53,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, gram: in
     A document's word is hit inside any occurrence of a run. spans: array of (from, to), word positions
     from 0, `to` not included, joined where runs overlap or touch; item_ids: the items with occurring
     runs as strings, sorted as strings. Null and empty texts have no words and no hits; null item texts
-    or ids are left out; repeated items and rows change nothing but the rows given back. Other columns,
+    or ids are left out; repeated items and rows change nothing but the rows given back. Texts of any length are judged
+    whole: their words are an array of one row. Without items nothing is hit; no documents give no rows. Other columns,
     whatever their names, are ignored.
     """
     listed = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words"))

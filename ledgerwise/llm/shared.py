@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.staging import dropped, new_path, shared_dir, written
+from ..sources.staging import dropped, new_path, shared_dir, written, written_within
 
-__all__ = ["ascii_lower", "dropped", "new_path", "shared_dir", "written"]
+__all__ = ["ascii_lower", "dropped", "new_path", "shared_dir", "written", "written_within"]
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

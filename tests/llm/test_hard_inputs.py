@@ -186,3 +186,18 @@ def test_many_rows_without_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [tuple(r) for r in substring_dedup.cut_repeats(docs, k=13).select("doc_id", "n_words", "n_removed").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_pipeline_takes_white_space_and_leaves_one_table(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(0, f"{words(30)}{' ' * 1_200_000}{words(30)}"), (1, words(80)), (2, f"{words(20)}{chr(10) * 1_200_000}{words(9)}"), (3, None), (None, words(40))]
+    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, words(12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = []
+    assert left_behind(spark, lambda: out.extend(corpus_pipeline.run(spark, str(tmp_path)).collect())) == ["stage-packing"]
+    ids = {d: len(library_ids(t)) + 1 for d, t in rows if t}
+    assert {r["doc_id"]: r["doc_tokens"] for r in out} == ids
+    assert sum(r["length"] for r in out) == sum(ids.values())
