@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise.llm import decontamination, language_id, near_dedup, packing, substring_dedup
-from ledgerwise.llm.shared import dropped, written
+from ledgerwise.llm.shared import dropped, written, written_within
 from ledgerwise.llm.url_filter import without
 
 
@@ -67,7 +67,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2,048 tokens along the Hilbert curve, as op4 gives them; every row is a document of its own."""
+    """Pieces of sequences of 2,048 tokens along the Hilbert curve, as op4 gives them; every row is a document of its own.
+
+    A null text is an empty one, of one id; null and repeated ids are handed on. Texts whose keys tie lie in the order
+    of the table.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
@@ -84,11 +88,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the whole documents table; a stage's table is deleted once the next one is written."""
+    """The last stage's rows over the whole documents table.
+
+    A stage's table is deleted once the next one is written, and so is what a stage has written on its way. Nulls, ties
+    and repeated rows are what each stage says of them; a table without documents gives no pieces.
+    """
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '_')}")
-        if last is not None:
-            dropped(last)
+        with written_within() as made:
+            docs = stage(spark, docs, sf_dir)
+        docs = written(docs, f"stage-{name.replace(' ', '_')}")
+        dropped(*made, *([last] if last is not None else []))
         last = docs
     return docs
