@@ -149,7 +149,7 @@ class Trie:
         self.vocabulary = vocabulary
         self.child, self.state, self.last = {}, [""], [-1]  # the root is node 0
 
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
+    def encode(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Inserts distinct words and gives their tokens.
 
         In sorted order, words are met depth-first: the path down to where a word leaves the one before stands. New
@@ -187,8 +187,7 @@ class Trie:
                 token = lasts[path[at]]
                 ids.append(token)
                 at -= sizes[token]
-            ids.reverse()
-            out[word] = ids
+            out[word] = tuple(ids[::-1])
             before = word
         return out
 
@@ -218,9 +217,13 @@ class Encoder:
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, added)) + b")").split if added else (lambda x: [x])
         self.forget()
 
-    def forget(self) -> None:
-        self.vocabulary.next.clear()
-        self.known, self.size, self.encoded, self.trie = {}, 0, {}, Trie(self.vocabulary)
+    def forget(self, everything: bool = True) -> None:
+        """Begins pieces anew; words that were met since the last time are kept once more, unless everything goes."""
+        self.known, self.size = {}, 0
+        self.older, self.encoded = ({} if everything else self.encoded), {}
+        if everything or len(self.trie.last) > NODES:
+            self.vocabulary.next.clear()
+            self.trie = Trie(self.vocabulary)
         self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def words(self, segment: bytes) -> list[str]:
@@ -245,7 +248,10 @@ class Encoder:
         for piece in pieces:
             segments = self.cut(piece)
             parts.append(words(piece) if len(segments) == 1 else [w for x in segments for w in ([added[x]] if x in added else words(x))])
-        encoded.update(self.trie.encode(list({w for part in parts for w in part if w not in encoded and isinstance(w, str)})))
+        new = {w for part in parts for w in part if w not in encoded and isinstance(w, str)}
+        seen = new.intersection(self.older)
+        encoded.update(zip(seen, map(self.older.__getitem__, seen), strict=True))
+        encoded.update(self.trie.encode(list(new - seen)))
         ids = []
         for part in parts:
             ids.append(encoded[part[0]] if len(part) == 1 and isinstance(part[0], str) else [i for w in part for i in (encoded[w] if isinstance(w, str) else (w,))])
@@ -259,8 +265,8 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         split = [text.split() for text in texts]
-        if len(self.known) > PIECES or self.size > PIECE_BYTES or len(self.trie.last) > NODES:
-            self.forget()
+        if len(self.known) > PIECES or self.size > PIECE_BYTES or len(self.trie.last) > 2 * NODES:
+            self.forget(everything=False)
         if new := set().union(*split).difference(self.known):
             self.learn(list(new))
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))

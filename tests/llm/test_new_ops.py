@@ -186,7 +186,7 @@ def test_shared_beginnings_are_encoded_once():
     assert len(trie.last) - 1 == len({w[:k] for w in words for k in range(1, len(w) + 1)})  # a node for each beginning
     nodes = len(trie.last)
     assert trie.encode(words) == out and len(trie.last) == nodes
-    assert out == {w: known.merged(w) for w in words}
+    assert out == {w: tuple(known.merged(w)) for w in words}
 
 
 def test_a_full_memory_changes_nothing(monkeypatch):
