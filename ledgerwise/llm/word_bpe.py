@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .textarrays import lean, text_slices
 
 #: Pieces, their bytes and nodes of the trie that a task remembers, and bytes of text between two looks at how many there are.
-PIECES, PIECE_BYTES, NODES, STEP = 100_000, 8 << 20, 200_000, 1 << 19
+PIECES, PIECE_BYTES, NODES, STEP = 150_000, 8 << 20, 350_000, 1 << 19
 #: Symbols down to which nodes are kept; what longer words have in common beyond is rarely met again.
 DEEP = 64
 #: Normalisation and split of the tokenizer files that this module reads. Fixed values.
