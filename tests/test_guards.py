@@ -114,3 +114,35 @@ def test_send_batches_of_worst_alerts(spark, tmp_path):
     feeds.send_batches(stream, lambda df, n: sent.extend(r["flag_id"] for r in df.collect()), lambda n: None, str(tmp_path / "progress"), limit=15).awaitTermination()
     want = sorted(range(40), key=lambda i: (i % 3, -i))[:15]
     assert sorted(sent) == sorted(want)
+
+
+def test_many_keys_are_a_few_states(spark, tmp_path):
+    """Thousands of tickets and keys in three batches: the verdicts of a walk over the rows, and no more states than buckets."""
+    schema = "ticket string, issued_at timestamp, use_id long, used_at timestamp"
+    batches = [[(f"t{(i * 7 + b) % 900}", at(((i * 7 + b) % 900) // 9), b * 2000 + i, at(b * 40 + (i * 13) % 60)) for i in range(2000)] for b in range(3)]
+    got, held = streamed(spark, tmp_path / "t", batches, schema, lambda s: guards.tickets(s, 30, "1 hour", buckets=8))
+    want, taken = {}, set()
+    for rows in batches:
+        for ticket, issued, use, used in sorted(rows, key=lambda r: (r[3], r[2])):
+            ok = used <= issued + timedelta(seconds=30)
+            want[use] = "expired" if not ok else "used" if ticket in taken else "accepted"
+            taken |= {ticket} if ok else set()
+    assert {r[0]: r[3] for r in got} == want and {r[0]: r[2] for r in got} == {r[2]: r[3] for rows in batches for r in rows}
+    assert set(want.values()) == {"expired", "used", "accepted"} and 0 < max(held) <= 8
+
+    schema = "key long, ask_id long, at timestamp, kind string, value double"
+    kinds = ["get", "set", "get", "delete", "get"]
+    batches = [[(None if i % 701 == 0 else 2**60 + i % 701, b * 2000 + i, at(b * 50 + (i * 11) % 70), kinds[i % 5], float(i)) for i in range(2000)] for b in range(3)]
+    got, held = streamed(spark, tmp_path / "c", batches, schema, lambda s: guards.cached(s, 20, "1 hour", buckets=8))
+    want, kept = {}, {}
+    for rows in batches:
+        for key, ask, now, kind, value in sorted(rows, key=lambda r: (r[2], r[1])):
+            if kind == "get":
+                value, until = kept.get(key, (None, now))
+                want[ask] = (key, value if now <= until else None)
+            elif kind == "set":
+                kept[key] = (value, now + timedelta(seconds=20))
+            else:
+                kept.pop(key, None)
+    assert {r[0]: r[1:] for r in got} == want and 0 < max(held) <= 8
+    assert any(v is not None for _, v in want.values())
