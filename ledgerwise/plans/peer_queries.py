@@ -77,7 +77,7 @@ bench AS (SELECT specialty, state, code, count(*) AS peers, quantile_cont(paymen
 
 
 def _lines(spark, d):
-    return fixtures.lines(spark, d).join(fixtures.people(spark, d).select("npi", "specialty", "state"), "npi")
+    return fixtures.lines_by_provider(spark, d).join(fixtures.people(spark, d).select("npi", "specialty", "state"), "npi")
 
 
 @query(f"WITH {CODE} SELECT specialty, state, code, peers, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99, round(median_spb, 4) AS median_spb, round(median_charge, 5) AS median_charge FROM bench")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerwise.functions.english import stem
 from ledgerwise.operators import graph, quantiles, search_index, snapshot
-from ledgerwise.sources import zips
+from ledgerwise.plans import fixtures
+from ledgerwise.sources import staging, zips
 from ledgerwise.sources.buckets import Buckets
 
 
@@ -229,3 +230,14 @@ def test_zip_members(spark, tmp_path, monkeypatch):
         z.writestr("readme.md", "no")
     with pytest.raises(Exception, match="no member that fits"):
         zips.zip_lines(spark, str(tmp_path / "c.zip")).collect()
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Edges and providers of a table of many tasks' rows: dealt by its number of rows, with the same results."""
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, fixtures.edges(spark, sf).collect())), sorted(map(tuple, fixtures.providers(spark, sf).collect()))
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(staging, "TASK_ROWS", 250)
+    edges, lines = fixtures.edges(spark, sf), fixtures.lines_by_provider(spark, sf)
+    assert edges.rdd.getNumPartitions() == -(-2 * n // 250) and lines.rdd.getNumPartitions() == -(-n // 250)
+    assert (sorted(map(tuple, edges.collect())), sorted(map(tuple, fixtures.providers(spark, sf).collect()))) == whole
