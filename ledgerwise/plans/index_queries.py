@@ -161,6 +161,9 @@ def _by_day(spark, d) -> str:
     return path
 
 
+#: Lines of an archive, twice that at most on the whole.
+ZIP_LINES = 250_000
+
 #: A ticket for each user and six hours, good for two hours.
 _TICKET = "SELECT event_id AS use_id, user_id || '-' || CAST(time_bucket(INTERVAL 6 HOUR, ts) AS VARCHAR) AS t, time_bucket(INTERVAL 6 HOUR, ts) AS issued_at, ts FROM events"
 
@@ -274,13 +277,13 @@ def zip_pairs(spark, d):
     edges = written(fixtures.edges(spark, d), "edges")
     same_day = F.when(F.col("source") % 3 == 0, "n/a").otherwise(F.col("target").cast("string"))
     line = F.concat_ws(",", "source", "target", (F.col("shared") * 2).cast("string"), F.concat(F.col("shared").cast("string"), F.lit(".0")), same_day)
-    rows = edges.select(line.alias("line"), (F.col("source") % 2).alias("half"), F.lit(1).alias("at"))
-    loops = edges.select(F.concat_ws(",", "source", "source", F.lit("9"), F.lit("9"), F.lit("1")).alias("line"), F.lit(0).alias("half"), F.lit(1).alias("at"))
-    header = spark.createDataFrame([("NPI 1,NPI 2,Pair Count,Bene Count,Same Day Count", 0, 0)], "line string, half long, at int")
-    folder = new_path(spark, "zips")
-    every = header.unionByName(rows).unionByName(loops.distinct())
+    rows = edges.select(line.alias("line"), (F.col("source") % 2).alias("half"))
+    loops = edges.select(F.concat_ws(",", "source", "source", F.lit("9"), F.lit("9"), F.lit("1")).alias("line"), F.lit(0).alias("half"))
+    folder, header = new_path(spark, "zips"), "NPI 1,NPI 2,Pair Count,Bene Count,Same Day Count"
+    zips.write_zips(spark.createDataFrame([(header,)], "line string"), folder).count()  # one without pairs
+    every, archives = rows.unionByName(loops.distinct()), edges.count() // ZIP_LINES + 1
     for half in (0, 1):
-        zips.write_zips(every.where(F.col("half") == half).coalesce(1).sortWithinPartitions("at"), folder).count()
+        zips.write_zips(every.where(F.col("half") == half).repartition(archives, "line"), folder, header=None if half else header).count()
     return zips.pairs_of(zips.zip_lines(spark, folder), least=3)
 
 

@@ -83,8 +83,8 @@ def pairs_of(lines: DataFrame, least: int = 11, keys: DataFrame | None = None) -
     return rows.join(known.withColumnRenamed("npi", "source"), "source", "left_semi").join(known.withColumnRenamed("npi", "target"), "target", "left_semi")
 
 
-def write_zips(lines: DataFrame, folder: str, member: str = "pairs.csv", line_col: str = "line") -> DataFrame:
-    """(path, lines): an archive under folder for each partition that has lines, deflated as they come."""
+def write_zips(lines: DataFrame, folder: str, member: str = "pairs.csv", line_col: str = "line", header: str | None = None) -> DataFrame:
+    """(path, lines): an archive under folder for each partition that has lines, deflated as they come, the header first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -97,6 +97,8 @@ def write_zips(lines: DataFrame, folder: str, member: str = "pairs.csv", line_co
                 raw = fs.open_output_stream(f"{at}/{name}", compression=None)
                 archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                 out = archive.open(member, "w", force_zip64=True)
+                if header is not None:
+                    out.write(header.encode() + b"\n")
             for line in batch.column(0).to_pylist():
                 out.write((line or "").encode() + b"\n")
                 n += 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerwise.functions.english import stem
 from ledgerwise.operators import graph, quantiles, search_index, snapshot
-from ledgerwise.plans import fixtures
+from ledgerwise.plans import fixtures, index_queries
 from ledgerwise.sources import staging, zips
 from ledgerwise.sources.buckets import Buckets
 
@@ -241,3 +241,16 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
     edges, lines = fixtures.edges(spark, sf), fixtures.lines_by_provider(spark, sf)
     assert edges.rdd.getNumPartitions() == -(-2 * n // 250) and lines.rdd.getNumPartitions() == -(-n // 250)
     assert (sorted(map(tuple, edges.collect())), sorted(map(tuple, fixtures.providers(spark, sf).collect()))) == whole
+
+
+def test_archives_of_a_bounded_size(spark, monkeypatch):
+    """Many pairs are in many archives, half of them with a header, and all are read."""
+    sf, written = "/root/testdata/sf0.01", []
+    write = zips.write_zips
+    monkeypatch.setattr(index_queries, "ZIP_LINES", 500)
+    monkeypatch.setattr(zips, "write_zips", lambda *a, **k: written.append(write(*a, **k).cache()) or written[-1])
+    got = index_queries.zip_pairs(spark, sf)
+    want = fixtures.edges(spark, sf).where("shared >= 3")
+    assert sorted((int(r["source"]), int(r["target"]), r["shared"]) for r in got.collect()) == sorted(map(tuple, want.collect()))
+    sizes = [r["lines"] for df in written for r in df.collect()]
+    assert len(sizes) > 4 and max(sizes) <= 1000
