@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
+from ..sources.staging import dealt, written
 from .serving import latest, new_findings, severity_rank
 
 
@@ -82,8 +83,10 @@ def citations(df: DataFrame, source: str, year: int) -> DataFrame:
 
 def top_neighbours(edges: DataFrame, most: int = 20) -> DataFrame:
     """(npi, other, shared): each provider's neighbours by their best edge."""
+    edges = written(edges.select("source", "target", "shared"), "edges")
     both = edges.select(F.col("source").alias("npi"), F.col("target").alias("other"), "shared").unionByName(edges.select(F.col("target").alias("npi"), F.col("source").alias("other"), "shared"))
-    best = both.groupBy("npi", "other").agg(F.max("shared").alias("shared"))
+    # not by provider alone: the tasks drop what isn't among a hub's best before it is gathered
+    best = dealt(both, 2 * edges.count(), "npi", "other").groupBy("npi", "other").agg(F.max("shared").alias("shared"))
     n = F.row_number().over(Window.partitionBy("npi").orderBy(F.desc("shared"), "other"))
     return best.withColumn("n", n).where(F.col("n") <= most).drop("n")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
-from ..sources.staging import written
+from ..sources.staging import dealt, written
 from .peers import beside
 from .scoring import ordinal_rank
 
@@ -124,7 +124,9 @@ def ego_networks(edges: DataFrame, centers: DataFrame, hops: int = 1, most_edges
         return hop1.unionByName(inner.select("center", *names, F.lit(0).alias("hop")))
     # a neighbour's edges with the centre itself, one each way, take places of it
     strong = _best(ends.join(near.select(F.col("npi").alias("node")).distinct(), "node", "left_semi"), ["node"], order, second_edges + 2)
-    second = near.join(strong, near.npi == strong.node).where("source <> center AND target <> center").select("center", *names).distinct()
+    second = near.join(strong, near.npi == strong.node).where("source <> center AND target <> center").select("center", *names)
+    # dealt once, by centre, for the distinct edges and their order; a centre has a bounded number of rows
+    second = dealt(second, first.count() * (second_edges + 2), "center").distinct()
     hop2 = _best(second, ["center"], order, second_edges).withColumn("hop", F.lit(2))
     both = hop1.unionByName(hop2)
     if people is None:

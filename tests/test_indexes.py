@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwise.functions.english import stem
-from ledgerwise.operators import graph, quantiles, search_index, snapshot
+from ledgerwise.operators import briefs, graph, quantiles, search_index, snapshot
 from ledgerwise.plans import fixtures, index_queries
 from ledgerwise.sources import staging, zips
 from ledgerwise.sources.buckets import Buckets
@@ -254,3 +254,16 @@ def test_archives_of_a_bounded_size(spark, monkeypatch):
     assert sorted((int(r["source"]), int(r["target"]), r["shared"]) for r in got.collect()) == sorted(map(tuple, want.collect()))
     sizes = [r["lines"] for df in written for r in df.collect()]
     assert len(sizes) > 4 and max(sizes) <= 1000
+
+
+def test_neighbours_and_second_hops_of_many_tasks(spark, monkeypatch):
+    """Rows of several tasks, dealt by pair and by centre, have the same best neighbours and networks; edges are computed once."""
+    edges = spark.createDataFrame([(i, j, (i * 31 + j * 17) % 23) for i in range(40) for j in range(i + 1, 40)], "source long, target long, shared long")
+    centers = spark.createDataFrame([(i,) for i in range(0, 40, 7)], "npi long")
+    run = lambda: [sorted(map(tuple, df.collect())) for df in (briefs.top_neighbours(edges, 4), graph.ego_networks(edges, centers, 2, most_edges=6, second_edges=9))]
+    whole, tasks, deal = run(), [], staging.dealt
+    monkeypatch.setattr(staging, "TASK_ROWS", 50)
+    for module in (briefs, graph):
+        monkeypatch.setattr(module, "dealt", lambda df, rows, *keys: tasks.append((rows, keys)) or deal(df, rows, *keys))
+    assert run() == whole
+    assert tasks == [(2 * 780, ("npi", "other")), (6 * 6 * 11, ("center",))]
