@@ -2,6 +2,7 @@
 
 import random
 import zipfile
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerwise.functions.english import stem
 from ledgerwise.operators import briefs, graph, quantiles, search_index, snapshot
-from ledgerwise.plans import fixtures, index_queries
+from ledgerwise.plans import fixtures, index_queries, registry
 from ledgerwise.sources import staging, zips
 from ledgerwise.sources.buckets import Buckets
 
@@ -267,3 +268,27 @@ def test_neighbours_and_second_hops_of_many_tasks(spark, monkeypatch):
         monkeypatch.setattr(module, "dealt", lambda df, rows, *keys: tasks.append((rows, keys)) or deal(df, rows, *keys))
     assert run() == whole
     assert tasks == [(2 * 780, ("npi", "other")), (6 * 6 * 11, ("center",))]
+
+
+def exchanged(df):
+    """What each exchange of the plan deals by: [names of columns]."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.findall(r"(\w+)#", x) for x in re.findall(r"hashpartitioning\((.*?)\)", plan)]
+
+
+def test_distinct_counts_need_no_exchange_of_their_own(spark, monkeypatch):
+    """Lines dealt by provider are counted where they are: Spark's own exchange by (provider, beneficiary, code) would be of tasks that grow."""
+    monkeypatch.setattr(staging, "TASK_ROWS", 250)
+    found = exchanged(fixtures.providers(spark, "/root/testdata/sf0.001"))
+    assert ["npi"] in found and not any("npi" in keys and len(keys) > 1 for keys in found)
+
+
+def test_medians_of_scored_providers_are_selected(spark, monkeypatch):
+    """Specialties of more providers than a buffer should hold: by counted ranges, with the same scores."""
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, registry.scored(spark, sf).collect()))
+    monkeypatch.setattr(registry, "_WRITTEN", {})
+    monkeypatch.setattr(registry, "percentiles", partial(quantiles.percentiles, hot=5, few=3))
+    assert sorted(map(tuple, registry.scored(spark, sf).collect())) == whole
