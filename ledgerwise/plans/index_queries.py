@@ -82,7 +82,7 @@ def substring_refreshed(spark, d):
 def node_search_indexed(spark, d):
     table, index = _people_buckets(spark, scored(spark, d).select("npi", "name", "state", "risk_score"), ["name"])
     maybe = search_index.containing(table, index, spark, "0001", ["name"])
-    return graph.node_search(maybe, fixtures.edges(spark, d), "0001", columns=("name",)).select("npi", "name", "state", "risk_score", "has_edges")
+    return graph.node_search(maybe, fixtures.edges(spark, d, by=("source",)), "0001", columns=("name",)).select("npi", "name", "state", "risk_score", "has_edges")
 
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN -o_totalprice ELSE o_totalprice END AS v, o_orderkey % 2 = 0 AND o_orderstatus = 'F' AS is_new FROM orders

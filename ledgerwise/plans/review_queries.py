@@ -83,7 +83,7 @@ def sweep_order(spark, d):
 SELECT s_suppkey AS npi, s_suppkey IN (SELECT source FROM k) AS has_edges FROM supplier WHERE contains(lower(s_name), '01') OR contains(CAST(s_suppkey AS VARCHAR), '01') ORDER BY has_edges DESC, s_acctbal DESC NULLS LAST, npi LIMIT 20""")
 def node_search(spark, d):
     people = fixtures.table(spark, d, "supplier").select(F.col("s_suppkey").alias("npi"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("risk_score"))
-    return graph.node_search(people, fixtures.edges(spark, d).where("source % 2 = 0"), "01").select("npi", "has_edges")
+    return graph.node_search(people, fixtures.edges(spark, d, by=("source",)).where("source % 2 = 0"), "01").select("npi", "has_edges")
 
 
 @query(f"WITH {SCORED} SELECT address, count(*) AS provider_count, max(risk_score) AS max_risk FROM scored WHERE address = (SELECT address FROM scored WHERE npi = {NPI}) GROUP BY 1 HAVING count(*) >= 2")

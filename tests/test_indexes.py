@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerwise.catalogue import QUERIES
 from ledgerwise.functions.english import stem
 from ledgerwise.operators import briefs, graph, quantiles, search_index, snapshot
 from ledgerwise.plans import fixtures, index_queries, registry
@@ -285,6 +286,17 @@ def test_distinct_counts_need_no_exchange_of_their_own(spark, monkeypatch):
     assert ["npi"] in found and not any("npi" in keys and len(keys) > 1 for keys in found)
 
 
+def test_edges_are_dealt_once_by_source(spark, monkeypatch):
+    """Percentages and sources by edges dealt so; another exchange by source would be of tasks that grow."""
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, fixtures.edges(spark, sf).collect()))
+    monkeypatch.setattr(staging, "TASK_ROWS", 250)
+    assert sorted(map(tuple, fixtures.edges(spark, sf, by=("source",)).collect())) == whole
+    for name in ("edges_percent", "node_search_indexed"):
+        found = exchanged(QUERIES[name](spark, sf))
+        assert [keys for keys in found if keys[0] == "source"] == [["source"]]
+
+
 def test_medians_of_scored_providers_are_selected(spark, monkeypatch):
     """Specialties of more providers than a buffer should hold: by counted ranges, with the same scores."""
     sf = "/root/testdata/sf0.001"
