@@ -9,7 +9,7 @@ from ..operators import briefs, detectors, features, graph, models, review, scor
 from ..sources import readers, writers
 from ..sources.staging import new_path
 from ..streaming import feeds
-from .registry import ALERTS, EDGES, FLAGS, LINES, PEOPLE, PROV, SCORED, fixtures, flags, query, scored
+from .registry import ALERTS, EDGES, FLAGS, LINES, PEOPLE, PROV, SCORED, fixtures, flags, query, scored, scored_by_provider
 
 NPI = 11
 CASES = f"""{PEOPLE}, cases AS (SELECT o_orderkey AS case_id, o_custkey AS npi, state, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'under_review' ELSE 'closed' END AS status, o_orderpriority AS outcome,
@@ -371,7 +371,7 @@ def model_confidence(spark, d):
 
 @query(f"WITH {SCORED} SELECT npi, CASE specialty WHEN 'BUILDING' THEN 'lab' WHEN 'MACHINERY' THEN 'imaging' END AS kind, 'claims, 2022, provider ' || npi AS citation FROM scored")
 def facility_and_citation(spark, d):
-    p = scored(spark, d)
+    p = scored_by_provider(spark, d)
     kind = briefs.facility_kind(F.col("specialty"), {"lab": ["building"], "imaging": ["Machinery"]})
     return p.select("npi", kind.alias("kind")).join(briefs.citations(p, "claims", 2022), "npi")
 

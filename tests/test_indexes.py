@@ -304,3 +304,41 @@ def test_medians_of_scored_providers_are_selected(spark, monkeypatch):
     monkeypatch.setattr(registry, "_WRITTEN", {})
     monkeypatch.setattr(registry, "percentiles", partial(quantiles.percentiles, hot=5, few=3))
     assert sorted(map(tuple, registry.scored(spark, sf).collect())) == whole
+
+
+def test_parts_are_broadcast_or_dealt_with_their_lines(spark, monkeypatch):
+    """Never by Spark's own exchange by part, whose tasks grow with the lines."""
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, fixtures.lines(spark, sf).collect()))
+    by_part = lambda: [keys for keys in exchanged(fixtures.lines(spark, sf)) if keys[0].endswith("partkey")]
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert by_part() == []
+        monkeypatch.setattr(staging, "TASK_ROWS", 100)
+        assert sorted(by_part()) == [["l_partkey"], ["p_partkey"]]
+        plan = fixtures.lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan
+        assert sorted(map(tuple, fixtures.lines(spark, sf).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def dealt_alone(spark, monkeypatch, name, sf="/root/testdata/sf0.001"):
+    """Does a query on scored providers deal large tables to its joins and groups by npi, and leave none to Spark's own exchange, with the same rows?"""
+    whole = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(staging, "TASK_ROWS", 5)
+    try:
+        df = QUERIES[name](spark, sf)
+        plan, found = df._jdf.queryExecution().executedPlan().toString(), exchanged(df)
+        assert sorted(map(tuple, df.collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    own = [x for x in plan.split("\n") if "hashpartitioning(npi#" in x and "ENSURE_REQUIREMENTS" in x]
+    return found.count(["npi"]) == 2 and not own
+
+
+def test_facilities_and_citations_of_many_tasks(spark, monkeypatch):
+    assert dealt_alone(spark, monkeypatch, "facility_and_citation")
