@@ -324,6 +324,21 @@ def test_parts_are_broadcast_or_dealt_with_their_lines(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
 
 
+def test_scored_providers_are_not_dealt_by_specialty(spark, monkeypatch):
+    """A specialty's providers would be one task's."""
+    sf, made, write = "/root/testdata/sf0.001", [], registry.written
+    whole = sorted(map(tuple, registry.scored(spark, sf).collect()))
+    monkeypatch.setattr(registry, "_WRITTEN", {})
+    monkeypatch.setattr(registry, "written", lambda df, name: made.append((name, exchanged(df))) or write(df, name))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, registry.scored(spark, sf).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert dict(made)["scored"] == []
+
+
 def dealt_alone(spark, monkeypatch, name, sf="/root/testdata/sf0.001"):
     """Does a query on scored providers deal large tables to its joins and groups by npi, and leave none to Spark's own exchange, with the same rows?"""
     whole = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
