@@ -8,7 +8,7 @@ from ..functions.columns import clip
 from ..operators import detectors, features, scoring
 from ..operators.peers import with_medians, with_peer_medians, with_z_score
 from ..sources.staging import written
-from .registry import FLAGS, LABELS, LINES, PEOPLE, PROV, SCORED, TIER, TOTALS, fixtures, flags, labels, query, scored, totals
+from .registry import FLAGS, LABELS, LINES, PEOPLE, PROV, SCORED, TIER, TOTALS, fixtures, flags, labels, query, scored, scored_by_provider, totals
 
 GROUPS = "FROM prov WINDOW f AS (PARTITION BY specialty, state), c AS (PARTITION BY specialty)"
 
@@ -143,7 +143,7 @@ def financial_impact(spark, d):
 
 @query(f"""WITH {FLAGS} SELECT npi, round(coalesce(o, greatest(0, total_payment - med)), 6) AS exposure FROM scored LEFT JOIN (SELECT npi, sum(overpayment) AS o FROM flags WHERE overpayment > 0 GROUP BY 1) USING (npi)""")
 def exposure(spark, d):
-    p = scored(spark, d)
+    p = scored_by_provider(spark, d)
     return detectors.exposure(flags(p), p.withColumn("peer_median_payment", F.col("med"))).select("npi", F.round("exposure", 6).alias("exposure"))
 
 
@@ -213,7 +213,7 @@ def flags_explode_migrate(spark, d):
 
 @query(f"""WITH {FLAGS} SELECT npi, coalesce(w, {TIER}) AS risk_tier, coalesce(n, 0) AS flag_count FROM scored LEFT JOIN (SELECT npi, min(severity) AS w, count(*) AS n FROM flags WHERE is_active GROUP BY 1) USING (npi)""")
 def flag_counts(spark, d):
-    p = scored(spark, d)
+    p = scored_by_provider(spark, d)
     return scoring.tier_from_flags(p.select("npi", scoring.tier(F.col("risk_score")).alias("risk_tier")), flags(p))
 
 

@@ -357,3 +357,7 @@ def dealt_alone(spark, monkeypatch, name, sf="/root/testdata/sf0.001"):
 
 def test_facilities_and_citations_of_many_tasks(spark, monkeypatch):
     assert dealt_alone(spark, monkeypatch, "facility_and_citation")
+
+
+def test_flags_of_many_tasks_are_counted_by_provider(spark, monkeypatch):
+    assert dealt_alone(spark, monkeypatch, "flag_counts")
