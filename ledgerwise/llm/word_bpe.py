@@ -70,10 +70,14 @@ class Vocabulary:
         self.made = {token: (rank, *pair) for pair, (rank, token) in self.merges.items()}
         if len(self.made) < len(self.merges):
             raise ValueError("a token that is made in two ways")
-        self.begun = {text[:k] for text in self.ids for k in range(len(text) + 1)}
+        self.begun = {"": 0}  # the automaton's states are beginnings of tokens, by number
+        for text in self.ids:
+            for k in range(1, len(text) + 1):
+                self.begun.setdefault(text[:k], len(self.begun))
+        self.states = list(self.begun)
         if not all(chr(ord(c) + more) in self.ids for c in SHOWN.values() for more in (0, END)):
             raise ValueError("a byte without a token")
-        self.next, self.ends, self.follows, self.edges = {}, {}, {}, {}
+        self.next, self.ends, self.follows, self.edges = {}, [None] * len(self.states), {}, {}
 
     def symbols(self, name: str) -> str:
         """A token as written in the file -> one character for each symbol."""
@@ -127,17 +131,18 @@ class Vocabulary:
             self.edges[key] = found
         return found
 
-    def step(self, text: str) -> str:
-        """The longest beginning of a token that a state and one more symbol end in."""
-        found = text
-        while found not in self.begun:
-            found = found[1:]
-        self.next[text] = found
+    def step(self, state: int, symbol: str) -> int:
+        """The state of the longest beginning of a token that a state and one more symbol end in."""
+        text = self.states[state] + symbol
+        while text not in self.begun:
+            text = text[1:]
+        found = self.next[state << 16 | ord(symbol)] = self.begun[text]
         return found
 
-    def ending(self, state: str) -> list[tuple[int, int]]:
+    def ending(self, state: int) -> list[tuple[int, int]]:
         """(token, symbols) of all tokens that this state ends in and that encode themselves, the longest first."""
-        tails = (state[k:] for k in range(len(state)))
+        text = self.states[state]
+        tails = (text[k:] for k in range(len(text)))
         found = self.ends[state] = [(self.ids[t], len(t)) for t in tails if t in self.ids and self.merged(t) == [self.ids[t]]]
         return found
 
@@ -147,7 +152,7 @@ class Trie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.child, self.state, self.last = {}, [""], [-1]  # the root is node 0
+        self.child, self.state, self.last = {}, [0], [-1]  # the root is node 0
 
     def encode(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Inserts distinct words and gives their tokens.
@@ -156,30 +161,37 @@ class Trie:
         nodes get their last token from those above; nodes deeper than DEEP aren't found again by later words.
         """
         known = self.vocabulary
-        step, steps, ends, follows, sizes = known.step, known.next.get, known.ends.get, known.follows.get, known.sizes
+        step, steps, ends, ending, follows, sizes = known.step, known.next.get, known.ends, known.ending, known.follows.get, known.sizes
         child, child_of, states, lasts = self.child, self.child.get, self.state, self.last
         out, before, path = {}, "", [0]  # path: nodes from the root to here
         for word in sorted(words):
-            shared = _common(before, word)
-            del path[shared + 1 :]
+            del path[_common(before, word) + 1 :]
             node = path[-1]
-            for symbol in word[shared:]:
-                edge = node << 16 | ord(symbol)
-                below = child_of(edge)
-                if below is None:
-                    state = steps(states[node] + symbol) or step(states[node] + symbol)
-                    for token, size in ends(state) or known.ending(state):
-                        start = lasts[path[-size]]  # the last token of what is before this one
-                        fits = start < 0 or follows(start << 32 | token)
-                        if fits or (fits is None and known.fits(start, token)):
-                            break
-                    else:
-                        raise AssertionError("no token fits here")
-                    below = len(states)
-                    states.append(state)
-                    lasts.append(token)
-                    if len(path) <= DEEP:
-                        child[edge] = below
+            for symbol in word[len(path) - 1 :]:
+                below = child_of(node << 16 | ord(symbol))
+                if below is None:  # and none below it
+                    break
+                node = below
+                path.append(node)
+            state = states[node]
+            for symbol in word[len(path) - 1 :]:
+                code = ord(symbol)
+                at = steps(state << 16 | code)
+                state = step(state, symbol) if at is None else at
+                for token, size in ends[state] or ending(state):
+                    start = lasts[path[-size]]  # the last token of what is before this one
+                    if start < 0:
+                        break
+                    fits = follows(start << 32 | token)
+                    if fits or (fits is None and known.fits(start, token)):
+                        break
+                else:
+                    raise AssertionError("no token fits here")
+                below = len(states)
+                states.append(state)
+                lasts.append(token)
+                if len(path) <= DEEP:
+                    child[node << 16 | code] = below
                 node = below
                 path.append(node)
             ids, at = [], len(path) - 1
@@ -227,34 +239,42 @@ class Encoder:
         self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def words(self, segment: bytes) -> list[str]:
-        """Normalised and split words, as strings of symbols."""
+        """Normalised and split words, as strings of bytes' characters."""
         letters = segment.rstrip(PUNCTUATION)
         if letters.isalpha():  # A-Z and a-z alone, then punctuation: two matches of the pattern
-            found = [letters.lower().decode()]
-            if len(letters) < len(segment):
-                found.append(segment[len(letters) :].decode())
-        else:
-            text = segment.decode("utf-8", "replace")
-            if self.unsettled(text):
-                found = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-            else:
-                found = [w.encode().decode("latin-1").translate(SHOWN) for w in self.split(text.lower())]
-        return [w[:-1] + self.last[w[-1]] for w in found]
+            text = segment.lower().decode()
+            return [text[: len(letters)], text[len(letters) :]] if len(letters) < len(segment) else [text]
+        text = segment.decode("utf-8", "replace")
+        if self.unsettled(text):
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        found = self.split(text.lower())
+        return found if text.isascii() and text.isprintable() else [w.encode().decode("latin-1").translate(SHOWN) for w in found]
 
     def learn(self, pieces: list[bytes]) -> None:
         """Encodes new pieces; their distinct new words go into the trie."""
-        added, encoded, words = self.vocabulary.added, self.encoded, self.words
-        parts = []
-        for piece in pieces:
-            segments = self.cut(piece)
-            parts.append(words(piece) if len(segments) == 1 else [w for x in segments for w in ([added[x]] if x in added else words(x))])
-        new = {w for part in parts for w in part if w not in encoded and isinstance(w, str)}
-        seen = new.intersection(self.older)
-        encoded.update(zip(seen, map(self.older.__getitem__, seen), strict=True))
-        encoded.update(self.trie.encode(list(new - seen)))
-        ids = []
-        for part in parts:
-            ids.append(encoded[part[0]] if len(part) == 1 and isinstance(part[0], str) else [i for w in part for i in (encoded[w] if isinstance(w, str) else (w,))])
+        added, encoded, older, last, words = self.vocabulary.added, self.encoded, self.older, self.last, self.words
+        # pieces of A-Z and a-z alone are a word each and are lowered together, unless they hold an added token
+        plain = [piece for piece in pieces if piece.isalpha()]
+        if whole := len(self.cut(b" ".join(pieces))) == 1:
+            others = [piece for piece in pieces if not piece.isalpha()]
+            parts = list(map(words, others))
+        else:
+            plain = [piece for piece in plain if len(self.cut(piece)) == 1]
+            others = list(set(pieces).difference(plain))
+            parts = [[w for x in self.cut(piece) for w in ([added[x]] if x in added else words(x))] for piece in others]
+        alone = b" ".join(plain).lower().decode().split(" ") if plain else []
+        new = {w for w in set(alone).union(*parts).difference(encoded) if isinstance(w, str)}
+        seen = [w for w in new if w in older]
+        encoded.update(zip(seen, map(older.__getitem__, seen), strict=True))
+        new.difference_update(seen)
+        shown = [w[:-1] + last[w[-1]] for w in new]
+        encoded.update(zip(new, map(self.trie.encode(shown).__getitem__, shown), strict=True))
+        ids = list(map(encoded.__getitem__, alone))
+        if whole:
+            ids += [encoded[part[0]] if len(part) == 1 else [i for w in part for i in encoded[w]] for part in parts]
+        else:
+            ids += [[i for w in part for i in (encoded[w] if isinstance(w, str) else (w,))] for part in parts]
+        pieces = plain + others
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.size += sum(map(len, pieces))

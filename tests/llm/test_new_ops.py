@@ -206,3 +206,16 @@ def test_long_words_take_linear_time():
     assert time.time() - began < 60
     short = word[:20_000]
     assert mine.encode_long(short.encode()).tolist() == library().encode(short, add_special_tokens=False).ids
+
+
+def test_pieces_are_learned_together(monkeypatch):
+    """Pieces of letters alone are lowered in one step and added tokens looked for once; with them among the pieces, ids are the same."""
+    mine, code = word_bpe.Encoder(WORD_BPE), library()
+    cuts, cut = [], mine.cut
+    monkeypatch.setattr(mine, "cut", lambda x: cuts.append(x) or cut(x))
+    added = next(iter(mine.vocabulary.added)).decode()
+    plain = "Alpha beta, GAMMA delta. a\x00b \x1fx don't x1y2 ÄÖ word " + " ".join(f"word{i}" for i in range(50))
+    assert mine.encode_long(plain.encode()).tolist() == code.encode(plain, add_special_tokens=False).ids
+    assert len(cuts) == 1
+    for text in (f"New {added} Words{added}here x{added} beta", f"{added}", added * 3):
+        assert mine.encode_long(text.encode()).tolist() == code.encode(text, add_special_tokens=False).ids
