@@ -348,7 +348,8 @@ def dealt_alone(spark, monkeypatch, name, sf="/root/testdata/sf0.001"):
     try:
         df = QUERIES[name](spark, sf)
         plan, found = df._jdf.queryExecution().executedPlan().toString(), exchanged(df)
-        assert sorted(map(tuple, df.collect())) == whole
+        for got, want in zip(sorted(map(tuple, df.collect())), whole, strict=True):
+            assert got == tuple(pytest.approx(x, abs=0.011) if isinstance(x, float) else x for x in want)  # rounded sums of doubles in another order
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     own = [x for x in plan.split("\n") if "hashpartitioning(npi#" in x and "ENSURE_REQUIREMENTS" in x]
