@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ledgerwise.catalogue import QUERIES
 from ledgerwise.operators import autoencoder, models, shapley
 
 COLUMNS = ["a", "b", "c", "d"]
@@ -177,3 +178,15 @@ def test_held_out_rows_teach_nothing(spark):
     flipped = df.withColumn("label", F.when(train, F.col("label")).otherwise(1 - F.col("label")))
     a, b = ({r["npi"]: r["boosted"] for r in models.boosted_scores(x, COLUMNS, rounds=4, depth=3, train=train).collect()} for x in (df, flipped))
     assert a == b and len(a) == 300
+
+
+def test_gbt_score_is_of_all_four_hundred_trees(spark, monkeypatch):
+    """The query's fit has as many trees, as deep, and as small a step as the survey's M-09, and each score is the walk of all of them."""
+    fits, fit = [], models.boosted_model
+    monkeypatch.setattr(models, "boosted_model", lambda *a, **k: fits.append(fit(*a, **k)) or fits[-1])
+    got = {r["npi"]: r["boosted"] for r in QUERIES["gbt_score"](spark, "/root/testdata/sf0.001").collect()}
+    [(rows, model)] = fits
+    assert (model.getNumTrees, model.getMaxDepth(), model.getStepSize()) == (400, 6, 0.05)
+    trees = shapley.trees_of(model, spark)
+    for r in rows.select("npi", vector_to_array("features").alias("x")).orderBy("npi").limit(20).collect():
+        assert abs(got[r["npi"]] - 1 / (1 + np.exp(-2 * expected(trees, r["x"], {0, 1, 2, 3})))) < 1e-9
